@@ -27,11 +27,11 @@ def size_for(keys: int, bits_per_key: int = 14, max_bits: int = 1 << 28) -> int:
     return bits
 
 
-def _positions(keys: np.ndarray, level: np.ndarray | int, j: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, bit within it) of hash j for each key at each level."""
+def _positions(keys: np.ndarray, level: int, j: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, bit within it) of hash j for each key at a level."""
     base = mix(keys.astype(U64))
     segment = base & U64(bits // SEGMENT_BITS - 1)
-    x = mix(base + _SALT * (np.asarray(level).astype(U64) * U64(16) + U64(j + 1)))
+    x = mix(base + _SALT * np.array([level * 16 + j + 1], dtype=U64))
     return segment, x >> U64(64 - 19)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, mixing, packing, repeats, simhash, tokencount
-from .common import table
+from . import cws, langid, lm, mixing, nndescent, packing, repeats, simhash, tokencount, toxicity
+from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +25,26 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    told = langid.identify(docs, langid.fit(docs, ~held_out))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,16 +63,39 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    told = toxicity.score(docs, model)
+    return told.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_embedding_near_dedup,
+        op3_bloom_lm_scores,
         op4_sainte_lague_mix,
+        op5_language_id,
         op6_weighted_fingerprints,
         op7_token_counts,
         op8_bounded_packing,
         op9_repeated_strings,
+        op10_toxicity,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_sainte_lague_mix": mixing.SQL}
+#: Exact links by SQL; NN-descent finds them all on a table small enough for SQL to compare all pairs.
+_LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_sainte_lague_mix": mixing.SQL, "op2_embedding_near_dedup": _LINKS_SQL}

@@ -98,12 +98,12 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word; a word never crosses the end of its text."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run of bytes outside ``space``; none crosses the end of its text."""
     if len(data) == 0:
         none = np.empty(0, dtype=np.int64)
         return none, none, none
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     begins = ink.copy()
     begins[1:] &= ~ink[:-1]
     inner = offsets[1:-1]
