@@ -113,6 +113,61 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarra
     return w[:-1], float(w[-1])
 
 
+def _families(found: list[np.ndarray]) -> np.ndarray:
+    """A number for each sample text that near copies mostly share: its smallest feature that few texts have."""
+    every = np.concatenate(found or [np.zeros(0, dtype=U64)])
+    features, counts = np.unique(every, return_counts=True)
+    few = features[(counts >= 2) & (counts <= max(60, len(found) // 100))]
+    out = np.arange(len(found), dtype=U64)
+    for i, f in enumerate(found):
+        at = np.minimum(np.searchsorted(few, f), max(len(few) - 1, 0))
+        own = f[few[at] == f] if len(few) else f[:0]
+        if len(own):
+            out[i] = own.min()
+    return np.unique(out, return_inverse=True)[1]
+
+
+def learn(found: list[np.ndarray], gold: np.ndarray, prior: float) -> Model:
+    """Voters and weights from the feature sets of sample texts and their labels (-1: none).
+
+    A voter's support counts families of near copies, so that the words of one much copied text do not vote.
+    """
+    family = _families(found)
+
+    def firing(label: int) -> tuple[np.ndarray, np.ndarray, int]:
+        of = np.flatnonzero(gold == label)
+        if not len(of):
+            return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), 1
+        every = np.concatenate([found[i] for i in of])
+        who = np.repeat(family[of], [len(found[i]) for i in of])
+        features, at = np.unique(every, return_inverse=True)
+        pairs = np.unique(at * (family.max() + 1) + who)
+        return features, np.bincount(pairs // (family.max() + 1), minlength=len(features)), len(np.unique(family[of]))
+
+    toxic, in_toxic, n_toxic = firing(1)
+    clean, in_clean, n_clean = firing(0)
+    strong = in_toxic >= min(LEAST_SUPPORT, max(2, n_toxic // 20))
+    toxic, in_toxic = toxic[strong], in_toxic[strong]
+    at = np.minimum(np.searchsorted(clean, toxic), max(len(clean) - 1, 0))
+    other = np.where(clean[at] == toxic, in_clean[at], 0) if len(clean) else np.zeros(len(toxic))
+    lift = (in_toxic / n_toxic) / ((other + 0.2) / n_clean)
+    good = np.flatnonzero(lift >= LEAST_LIFT)
+    good = good[np.argsort(-(in_toxic[good] * np.log(lift[good])), kind="stable")][:MOST_VOTERS]
+    voters = np.sort(toxic[good])
+    if not len(voters):
+        return Model(voters, np.zeros(0), -3.0)
+    votes = np.zeros((len(found), len(voters)), dtype=np.float32)
+    for i, f in enumerate(found):
+        at = np.minimum(np.searchsorted(voters, f), len(voters) - 1)
+        votes[i, at[voters[at] == f]] = 1
+    posterior, fire = label_model(votes, gold, prior)
+    # rows weigh as their class does among all labelled rows
+    toxic_rows, clean_rows, rest = (max((gold == k).sum(), 1) for k in (1, 0, -1))
+    weight = np.where(gold == 1, prior / toxic_rows, np.where(gold == 0, (1 - prior) / clean_rows, 1 / rest))
+    weights, bias = _logistic(votes, posterior, weight, fire)
+    return Model(voters, np.maximum(weights, 0), bias)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_when: Column, id_col: str = "doc_id", text_col: str = "text", texts_per_class: int = TEXTS_PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
     """Fit on hash samples of about ``texts_per_class`` labelled texts of each class where ``train_when`` holds,
     and about ``unlabelled`` others; equal texts count once. Without toxic or clean labels no voter is found and
@@ -154,32 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_when: Column, id_col: str = "d
     gold = np.array([label for _, (label, _) in pairs])
     found = [f for _, (_, f) in pairs]
 
-    def firing(label: int) -> tuple[np.ndarray, np.ndarray, int]:
-        of = [f for f, g in zip(found, gold, strict=True) if g == label]
-        return *np.unique(np.concatenate(of or [np.zeros(0, dtype=U64)]), return_counts=True), max(len(of), 1)
-
-    toxic, in_toxic, n_toxic = firing(1)
-    clean, in_clean, n_clean = firing(0)
-    strong = in_toxic >= min(LEAST_SUPPORT, max(2, n_toxic // 20))
-    toxic, in_toxic = toxic[strong], in_toxic[strong]
-    at = np.minimum(np.searchsorted(clean, toxic), max(len(clean) - 1, 0))
-    other = np.where(clean[at] == toxic, in_clean[at], 0) if len(clean) else np.zeros(len(toxic))
-    lift = (in_toxic / n_toxic) / ((other + 0.2) / n_clean)
-    good = np.flatnonzero(lift >= LEAST_LIFT)
-    good = good[np.argsort(-(in_toxic[good] * np.log(lift[good])), kind="stable")][:MOST_VOTERS]
-    voters = np.sort(toxic[good])
-    if not len(voters):
-        return Model(voters, np.zeros(0), -3.0)
-    votes = np.zeros((len(found), len(voters)), dtype=np.float32)
-    for i, f in enumerate(found):
-        at = np.minimum(np.searchsorted(voters, f), len(voters) - 1)
-        votes[i, at[voters[at] == f]] = 1
-    prior = count[1] / (count[0] + count[1])
-    posterior, fire = label_model(votes, gold, prior)
-    # rows weigh as their class does among all labelled rows
-    weight = np.where(gold == 1, prior / n_toxic, np.where(gold == 0, (1 - prior) / n_clean, 1 / max((gold < 0).sum(), 1)))
-    weights, bias = _logistic(votes, posterior, weight, fire)
-    return Model(voters, np.maximum(weights, 0), bias)
+    return learn(found, gold, count[1] / (count[0] + count[1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
