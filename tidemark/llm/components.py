@@ -11,7 +11,8 @@ from .common import discard, materialize
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
-    Each round every node hooks itself and its parent to the smallest grandparent among its neighbours and
+    First every node is merged with its smallest neighbour, in one pass: of the many links within a dense group
+    few are left, and only those go through the rounds. In each round every node hooks itself and its parent to the smallest grandparent among its neighbours and
     jumps to its own grandparent, so the number of rounds grows with the logarithm of the longest path. Only
     minima per node are kept, so a hub costs no task more than its share: sums are partly built before the
     shuffle, and the join on a hub's edges can be split. Empty input gives an empty table. Self links and
@@ -19,6 +20,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
     both = materialize(edges.union(edges.select(F.col("v"), F.col("u"))).distinct(), "links")
+    first = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("f")), "first")
+    left, right = first.select("u", F.col("f").alias("p")), first.select(F.col("u").alias("v"), F.col("f").alias("q"))
+    merged = both.where("u < v").join(left, "u").join(right, "v").where("p != q")
+    merged = merged.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+    rest = _labels(materialize(merged, "merged"), max_rounds)
+    out = first.join(rest, first.f == rest.node, "left")
+    return out.select(F.col("u").alias("node"), F.coalesce("component", "f").alias("component"))
+
+
+def _labels(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) of distinct links (u, v)."""
+    both = materialize(edges.union(edges.select(F.col("v"), F.col("u"))), "links")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("f")), "labels")
     total = _total(labels)
     for _ in range(max_rounds):
