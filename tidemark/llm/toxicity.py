@@ -77,25 +77,28 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int =
     """(posterior of each row, log weights of each voter) from votes (rows x voters) and gold labels (-1: none).
 
     The rates at which voters fire in either class are fitted by expectation maximisation, labels being one more
-    voter of trust LABEL_TRUST. A voter's weight is divided by the sum of its correlations with all voters
-    within the classes, so that many voters on one word count as about one.
+    voter of trust LABEL_TRUST. A silent voter abstains: only that none fires at all is evidence, as one voter more. A
+    voter's weight is divided by the sum of its squared correlations (shared variance) with all voters within the
+    classes, so that many voters on one word count as about one, and loosely related ones as themselves.
     """
+    votes = np.hstack([votes, votes.sum(1, keepdims=True) == 0])
     post = np.where(gold < 0, prior, np.where(gold == 1, LABEL_TRUST, 1 - LABEL_TRUST))
     share = np.ones(votes.shape[1])
     for i in range(rounds):
         a = (post @ votes + 0.5) / (post.sum() + 1)
         b = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1)
-        if i in (0, rounds // 2):
+        if i in (rounds // 3, 2 * rounds // 3):  # once the classes are told apart, else their difference counts as correlation
             left = votes - np.outer(post, a) - np.outer(1 - post, b)
             deviation = np.sqrt(np.maximum((left**2).sum(0), 1e-9))
-            related = np.abs(left.T @ left) / np.outer(deviation, deviation)
-            share = 1 / np.maximum(np.where(related > 0.2, related, 0).sum(0), 1)
-        fire, silent = np.log(a / b) * share, np.log((1 - a) / (1 - b)) * share
-        log_odds = votes @ (fire - silent) + silent.sum() + np.log(prior / (1 - prior))
+            related = (left.T @ left / np.outer(deviation, deviation)) ** 2
+            share = 1 / np.maximum(np.where(related > 0.04, related, 0).sum(0), 1)
+            share[-1] = 1
+        fire = np.log(a / b) * share
+        log_odds = votes @ fire + np.log(prior / (1 - prior))
         trust = np.log(LABEL_TRUST / (1 - LABEL_TRUST))
         log_odds += np.where(gold < 0, 0, np.where(gold == 1, trust, -trust))
         post = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return post, fire
+    return post, fire[:-1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
