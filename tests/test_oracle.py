@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.plans import reports  # noqa: F401  registers its queries
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,19 @@ def histogram2d(df: DataFrame, x: str, y: str, x_bins: tuple[float, float, int],
     ix = equal_bin(F.col(x), *x_bins, closed="both")
     iy = equal_bin(F.col(y), *y_bins, closed="both")
     return df.select(ix.alias("ix"), iy.alias("iy")).dropna().groupBy("ix", "iy").agg(F.count("*").alias("n"))
+
+
+def marginal_slopes(hist: DataFrame, x_bins: tuple[float, float, int], y_bins: tuple[float, float, int]) -> DataFrame:
+    """(axis, slope, intercept): straight lines through a histogram's mean counts by column and by row.
+
+    Empty cells count as 0; the largest mean (of equal ones the first) gives way to the mean of all; x is a bin's left edge.
+    """
+    lines = []
+    for axis, (low, width, n), others in (("ix", x_bins, y_bins[2]), ("iy", y_bins, x_bins[2])):
+        spine = hist.sparkSession.range(n).select(F.col("id").cast("int").alias(axis))
+        means = spine.join(hist.groupBy(axis).agg(F.sum("n").alias("n")), axis, "left").select(axis, (F.coalesce("n", F.lit(0)) / others).alias("m"))
+        top = F.row_number().over(Window.orderBy(F.desc("m"), axis)) == 1
+        y = F.when(top, F.avg("m").over(Window.partitionBy())).otherwise(F.col("m"))
+        line = means.select((low + F.col(axis) * width).alias("x"), y.alias("y"))
+        lines.append(line.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")).select(F.lit(axis).alias("axis"), "slope", "intercept"))
+    return lines[0].unionByName(lines[1])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.bins import edge_bin, equal_bin
 from tidemark.functions.geo import haversine_km
+from tidemark.operators.asof import nearest
+from tidemark.operators.resample import coefficients_at
 
 LEAD_STEP, LEAD_BINS = 4.0, 48
 RUN = ["buoy_id", "start_ts"]
@@ -51,6 +53,22 @@ def initial_mismatch(df: DataFrame) -> DataFrame:
     return out.withColumns({"diff_init": first_known("_diff"), "along_init": first_known("_along"), "angle_init": first_known("_angle")}).drop("_diff", "_along", "_angle")
 
 
+def initial_speeds(df: DataFrame) -> DataFrame:
+    """The run's first observed and first modelled speed."""
+    out = df.withColumns({"_seen": F.hypot("u", "v"), "_said": F.hypot("mu", "mv")})
+    return out.withColumns({"seen_init": first_known("_seen"), "said_init": first_known("_said")}).drop("_seen", "_said")
+
+
+def enrich(df: DataFrame, seen: DataFrame, tolerance_s: float, bucket_s: int | None = None) -> DataFrame:
+    """Forecasts (buoy_id, ts, lead_h, positions, mu, mv) with the nearest reading of u and v, the run's start and first values.
+
+    ``seen`` is (buoy_id, fix_id, seen_ts, u, v). The start comes from time and lead, to the minute; runs are told
+    apart by it.
+    """
+    matched = nearest(df, seen, ["buoy_id"], "ts", "seen_ts", ["u", "v"], tolerance_s, bucket_s=bucket_s)
+    return initial_mismatch(initial_position(matched.withColumn("start_ts", start_time(F.col("ts"), F.col("lead_h")))))
+
+
 def skill_displacement(df: DataFrame) -> DataFrame:
     """1 - error / distance of the forecast from the start, at least 0."""
     far = haversine_km(F.col("lat_init"), F.col("lon_init"), F.col("lat_fc"), F.col("lon_fc"))
@@ -90,10 +108,23 @@ def mean_skill(df: DataFrame, step: float = LEAD_STEP, n: int = LEAD_BINS) -> Da
     return zero.union(means.select((F.col("bin") + 1) * step, "skill"))
 
 
-def rmse_at(df: DataFrame, lead: float, width: float = 2.0) -> DataFrame:
+def rmse_at(df: DataFrame, lead: float, width: float = 2.0, keys: list[str] | None = None) -> DataFrame:
     """RMSE within an open interval around one lead."""
     near = df.where((F.col("lead_h") > lead - width) & (F.col("lead_h") < lead + width))
-    return near.agg(F.sqrt(F.avg(F.col("error_km") * F.col("error_km"))).alias("rmse"), F.count("error_km").alias("n"))
+    return near.groupBy(*(keys or [])).agg(F.sqrt(F.avg(F.col("error_km") * F.col("error_km"))).alias("rmse"), F.count("error_km").alias("n"))
+
+
+def model_table(fits: DataFrame, raw: DataFrame, corrected: DataFrame, lead: float = 168.0) -> DataFrame:
+    """(model, r, z, phase, second, rmse_raw, rmse_corrected): how each model fits and errs at one lead.
+
+    ``fits`` comes from the model sweep (r_x, angle_x, z_x and c_turn); ``raw`` and ``corrected`` are errors with a model column.
+    A model without errors at that lead stays, with nulls.
+    """
+    size = F.hypot("z_x_re", "z_x_im")
+    out = fits.select("model", F.col("r_x").alias("r"), size.alias("z"), F.col("angle_x").alias("phase"), F.hypot("c_turn_re", "c_turn_im").alias("second"))
+    for name, errors in (("rmse_raw", raw), ("rmse_corrected", corrected)):
+        out = out.join(rmse_at(errors, lead, keys=["model"]).select("model", F.col("rmse").alias(name)), "model", "left")
+    return out
 
 
 def error_by_predictor(df: DataFrame, predictor: str, bin_: int, n: int = 19) -> DataFrame:
@@ -131,6 +162,13 @@ def r_squared(df: DataFrame, seen: str, said: str) -> DataFrame:
     return sums.select((1 - F.try_divide("a", "b")).alias("r2"))
 
 
+def against_surface(binned: DataFrame, surface: DataFrame, lead: float, q: float) -> DataFrame:
+    """2-D bins with the surface's quantile at their mean place and its relative error."""
+    plane = surface.where((F.col("lead_h") == lead) & (F.col("q") == q)).select("b0", "b_speed", "b_lat")
+    out = binned.join(F.broadcast(plane)).withColumn("predicted", F.col("b0") + F.col("b_speed") * F.col("x") + F.col("b_lat") * F.col("y"))
+    return out.withColumn("relative", F.try_divide(F.col("predicted") - F.col("quantile"), F.col("quantile"))).drop("b0", "b_speed", "b_lat")
+
+
 def daily_error(df: DataFrame, bin_: int, rows: int = 30) -> DataFrame:
     """(day, error_km, rolling): mean error of a start day in one lead bin, and its centred mean."""
     days = df.where(lead_bin(F.col("lead_h")) == bin_).groupBy(F.to_date("start_ts").alias("day")).agg(F.avg("error_km").alias("error_km"))
@@ -158,3 +196,11 @@ def uncertainty(runs: DataFrame, surface: DataFrame) -> DataFrame:
     radius = _floored(F.col("b0") + F.col("b_speed") * F.col("diff_init") + F.col("b_lat") * F.col("lat_init"), 0.01)
     out = runs.join(F.broadcast(surface)).withColumn("radius_km", radius)
     return out.withColumn("radius_deg", F.col("radius_km") / 111).drop("b0", "b_speed", "b_lat")
+
+
+def uncertainty_at(runs: DataFrame, surface: DataFrame) -> DataFrame:
+    """As uncertainty(), at the runs' own leads, the surface being linear between its leads and beyond them."""
+    values = ["b0", "b_speed", "b_lat"]
+    placed = coefficients_at(runs, surface, values=values)
+    radius = _floored(F.col("b0") + F.col("b_speed") * F.col("diff_init") + F.col("b_lat") * F.col("lat_init"), 0.01)
+    return placed.withColumn("radius_km", radius).withColumn("radius_deg", F.col("radius_km") / 111).drop(*values)

@@ -178,10 +178,10 @@ fq("d5_one_track", "SELECT fix_id, " + r("lat AS lat_true", "lon AS lon_true") +
 fq("d6_active_by_events", """SELECT day::DATE AS day, (sum(coalesce(d, 0)) OVER (ORDER BY day))::BIGINT AS active FROM (SELECT unnest(generate_series((SELECT min(entry_ts)::DATE FROM spans), (SELECT max(exit_ts)::DATE FROM spans), INTERVAL 1 DAY))::DATE AS day)
   LEFT JOIN (SELECT day, sum(d) AS d FROM (SELECT entry_ts::DATE AS day, 1 AS d FROM spans UNION ALL SELECT exit_ts::DATE, -1 FROM spans) GROUP BY day) USING (day)""")(selection.active_by_events)
 fq("d7_active_by_observation", "SELECT ts::DATE AS day, count(DISTINCT buoy_id) AS active, year(min(ts))::INT AS year FROM fixes GROUP BY ts::DATE")(selection.active_by_observation)
-_D8 = """SELECT * FROM (SELECT *, max(day) OVER (PARTITION BY buoy_id) AS last_day FROM (SELECT *, ts::DATE AS day FROM fixes WHERE ts < TIMESTAMP '2024-01-20')) WHERE last_day = DATE '2024-01-19'"""
+D8 = """SELECT * FROM (SELECT *, max(day) OVER (PARTITION BY buoy_id) AS last_day FROM (SELECT *, ts::DATE AS day FROM fixes WHERE ts < TIMESTAMP '2024-01-20')) WHERE last_day = DATE '2024-01-19'"""
 fq("d8_latest_segments", f"""SELECT {KEY}, segment::BIGINT AS segment FROM (SELECT *, max(segment) OVER (PARTITION BY buoy_id) AS top FROM (
   SELECT *, sum(CASE WHEN day - before >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY buoy_id ORDER BY ts, fix_id) AS segment FROM (
-  SELECT *, lag(day) OVER (PARTITION BY buoy_id ORDER BY ts, fix_id) AS before FROM ({_D8})))) WHERE segment = top""")(lambda f: selection.latest_segments(f, "2024-01-20").select("buoy_id", "fix_id", "segment"))
+  SELECT *, lag(day) OVER (PARTITION BY buoy_id ORDER BY ts, fix_id) AS before FROM ({D8})))) WHERE segment = top""")(lambda f: selection.latest_segments(f, "2024-01-20").select("buoy_id", "fix_id", "segment"))
 fq("d9_last_fixes", f"SELECT buoy_id, {r('arg_max(lon, (ts, fix_id)) AS lon', 'arg_max(lat, (ts, fix_id)) AS lat')} FROM fixes GROUP BY buoy_id")(selection.last_fixes)
 fq("d9_mean_centre", f"SELECT {r('avg(lon) AS lon', 'avg(lat) AS lat')} FROM (SELECT arg_max(lon, (ts, fix_id)) AS lon, arg_max(lat, (ts, fix_id)) AS lat FROM fixes GROUP BY buoy_id)")(lambda f: selection.mean_centre(selection.last_fixes(f)))
 fq("d10_clip", f"SELECT buoy_id, fix_id FROM (SELECT *, count(*) OVER (PARTITION BY buoy_id) AS n FROM fixes WHERE ts BETWEEN TIMESTAMP '{T0}' AND TIMESTAMP '{T1}') WHERE n > 1")(lambda f: selection.clip(f, T0, T1).select("buoy_id", "fix_id"))
