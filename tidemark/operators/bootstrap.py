@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Modulus of the draws, a prime.
+PRIME = 2147483647
+
+
+def drawn_index(resample: Column, draw: Column, n: int | Column, seed: int) -> Column:
+    """A number 0..n-1 for each draw: a cubic in (resample, draw) modulo a prime, which SQL can repeat.
+
+    A linear form would give each n draws every number once, so no resample would differ from another.
+    """
+    k = ((resample * 7919 + draw * 104729 + seed) * 48271) % PRIME
+    return ((k * k) % PRIME * k + k) % PRIME % n
+
+
 def draws(spark: SparkSession, resamples: int, n: int, size: int | None = None, seed: int = 1) -> DataFrame:
-    """Draws with replacement from 0..n-1 by whole-number arithmetic that any SQL engine can repeat."""
+    """(resample, draw, idx): draws with replacement from 0..n-1 by whole-number arithmetic that any SQL engine can repeat."""
     size = n if size is None else size
     r = spark.range(resamples).select(F.col("id").alias("resample"))
     d = spark.range(size).select(F.col("id").alias("draw"))
-    return r.join(F.broadcast(d)).withColumn("idx", (F.col("resample") * 7919 + F.col("draw") * 104729 + seed) % n)
+    return r.join(F.broadcast(d)).withColumn("idx", drawn_index(F.col("resample"), F.col("draw"), n, seed))
 
 
 def band(means: DataFrame, keys: list[str], value: str = "mean") -> DataFrame:
@@ -51,8 +64,7 @@ def coherence_band(spectra: DataFrame, block: str, draw_table: DataFrame) -> Dat
 def cell_error(rows: DataFrame, cells: list[str], value: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
     """(cells, mean, error): mean in each cell and the 95 % point of its bootstrap means above it.
 
-    Draws go to distinct values with their counts, not to rows: a cell's n draws are spread over its ranks by
-    arithmetic on (resample, draw).
+    A cell's n draws go to its ranks by drawn_index().
     """
     from pyspark.sql import Window
 
@@ -61,7 +73,7 @@ def cell_error(rows: DataFrame, cells: list[str], value: str, resamples: int = 1
     plan = ranked.groupBy(*cells, "_n").agg(F.avg(value).alias("mean"))
     spread = plan.join(F.broadcast(rows.sparkSession.range(resamples).select(F.col("id").alias("resample"))))
     spread = spread.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    spread = spread.withColumn("_i", ((F.col("resample") * 7919 + F.col("draw") * 104729 + seed) % F.col("_n")).cast("int"))
+    spread = spread.withColumn("_i", drawn_index(F.col("resample"), F.col("draw"), F.col("_n"), seed).cast("int"))
     drawn = spread.join(ranked.select(*cells, "_i", value), [*cells, "_i"]).groupBy(*cells, "mean", "resample").agg(F.avg(value).alias("m"))
     return drawn.groupBy(*cells, "mean").agg(F.percentile("m", F.lit(0.95)).alias("_p")).select(*cells, "mean", (F.col("_p") - F.col("mean")).alias("error"))
 

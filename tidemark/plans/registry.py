@@ -24,6 +24,12 @@ def hav(a: str, b: str, c: str, d: str) -> str:
     return f"(CASE WHEN {inner} IS NOT NULL THEN 2 * {geo.EARTH_RADIUS_KM} * asin(sqrt(least(1.0, greatest(0.0, {inner})))) END)"
 
 
+def drawn(resample: str, draw: str, n: str) -> str:
+    """SQL of bootstrap.drawn_index() with seed 1."""
+    k = f"((({resample} * 7919 + {draw} * 104729 + 1) * 48271) % {bootstrap.PRIME})"
+    return f"((({k} * {k}) % {bootstrap.PRIME} * {k} + {k}) % {bootstrap.PRIME} % {n})"
+
+
 B = views.BOX
 #: Named parts of the SQL; each may use those before it.
 PARTS = {
@@ -294,7 +300,7 @@ fq("h13_binned_field", f"SELECT floor(lon * 2)::INT AS ix, floor(lat * 2)::INT A
 )
 fq("h14_cell_bootstrap", f"""SELECT iy, {r('mean', 'p - mean AS error')} FROM (SELECT iy, mean, quantile_cont(m, 0.95) AS p FROM (SELECT s.iy, s.mean, s.resample, avg(v.speed) AS m FROM
   (SELECT iy, n, mean, resample, unnest(range(n)) AS draw FROM (SELECT iy, count(*) AS n, avg(speed) AS mean FROM c GROUP BY iy), (SELECT unnest(range(20)) AS resample)) s
-  JOIN c v ON v.iy = s.iy AND v.i = (s.resample * 7919 + s.draw * 104729 + 1) % s.n GROUP BY ALL) GROUP BY iy, mean)""".replace("FROM c GROUP", "FROM (SELECT floor(lat)::INT AS iy, speed FROM cleaned WHERE speed IS NOT NULL) GROUP").replace(
+  JOIN c v ON v.iy = s.iy AND v.i = {drawn('s.resample', 's.draw', 's.n')} GROUP BY ALL) GROUP BY iy, mean)""".replace("FROM c GROUP", "FROM (SELECT floor(lat)::INT AS iy, speed FROM cleaned WHERE speed IS NOT NULL) GROUP").replace(
     "JOIN c v", "JOIN (SELECT floor(lat)::INT AS iy, speed, row_number() OVER (PARTITION BY floor(lat)::INT ORDER BY speed) - 1 AS i FROM cleaned WHERE speed IS NOT NULL) v"
 ))(lambda f: bootstrap.cell_error(tracks.clean(f).withColumn("iy", F.floor("lat").cast("int")), ["iy"], "speed", 20))
 fq("h16_h17_profile", f"SELECT floor(lat * 4)::INT AS iy, quarter(ts)::INT AS season, {r('avg(u) AS u', 'stddev_samp(u) / sqrt(count(u)) AS se')} FROM cleaned GROUP BY 1, 2")(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import bins
 from tidemark.operators import bootstrap, cregress, field, forecast, resample, selection, spectra, tracks, verify
 from tidemark.plans import views
-from tidemark.plans.registry import D8, fq, hav, r
+from tidemark.plans.registry import D8, drawn, fq, hav, r
 
 #: Edges of the 2-D error bins: first speed difference and first latitude.
 SPEED_EDGES = [0.0, 1 / 7, 2 / 7, 3 / 7, 4 / 7, 1.0]
@@ -235,7 +235,7 @@ def _slope_sql(axis: str, low: float) -> str:
 
 fq("h12_marginal_slopes", _slope_sql("ix", -164.25) + " UNION ALL " + _slope_sql("iy", 4.25))(lambda f: bins.marginal_slopes(bins.histogram2d(f, "lon", "lat", LON_BINS, LAT_BINS), LON_BINS, LAT_BINS))
 fq("h15_density_band", f"""SELECT iy, {r('avg(m) AS mean', 'quantile_cont(m, 0.95) AS high')} FROM (SELECT iy, resample, sum(coalesce(n, 0)) / 8.0::DOUBLE / 2 AS m FROM
-  (SELECT resample, (resample * 7919 + draw * 104729 + 1) % 8 AS ix FROM (SELECT unnest(range(100)) AS resample), (SELECT unnest(range(8)) AS draw)) d CROSS JOIN (SELECT unnest(range(8)) AS iy) LEFT JOIN {_HIST} USING (ix, iy) GROUP BY ALL) GROUP BY iy""")(
+  (SELECT resample, {drawn('resample', 'draw', '8')} AS ix FROM (SELECT unnest(range(100)) AS resample), (SELECT unnest(range(8)) AS draw)) d CROSS JOIN (SELECT unnest(range(8)) AS iy) LEFT JOIN {_HIST} USING (ix, iy) GROUP BY ALL) GROUP BY iy""")(
     lambda f: bootstrap.density_band(bins.histogram2d(f, "lon", "lat", LON_BINS, LAT_BINS), bootstrap.draws(f.sparkSession, 100, 8), LAT_BINS[2], 8, years=2.0)
 )
 
