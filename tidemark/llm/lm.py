@@ -224,8 +224,8 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
                 pair, at, inverse = np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True)
                 total = np.bincount(row, weights=m.log10(pair, count[at], history[at], before[at])[inverse], minlength=n)
                 exact = m.exact(word)
-                # a word the filter lacks was not seen at all
-                rare = (exact == 0) & m.filter.contains(word, 1)
+                # the filter may lack words that were seen, so each word that is not common is joined
+                rare = exact == 0
                 known = (exact > 0)[back]
                 base = np.bincount(row, weights=np.log10(exact + 1.0)[back], minlength=n)
                 who = np.flatnonzero(rare[back])
