@@ -4,10 +4,12 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm
+from tests.llm.test_dedup import brute_components
+from tidemark.llm import lm, nndescent
 from tidemark.llm.common import fold
 
 
@@ -25,3 +27,21 @@ def test_exact_columns_when_words_outgrow_the_filter(spark):
     for r in got:
         own = [*dict(rows)[r.id].split(), None]
         assert r.base_score == pytest.approx(sum(math.log10(counts.get(w, 0) + 1) - floor for w in own))
+
+
+def test_dense_groups_that_link_one_another(spark):
+    # cosines of about 0.97 within each group, 0.91 between neighbouring ones
+    rng = np.random.default_rng(8)
+    axes = np.linalg.qr(rng.standard_normal((64, 5)))[0].T
+    centres = [axes[0], 0.94 * axes[0] + np.sqrt(1 - 0.94**2) * axes[1], axes[2], 0.94 * axes[2] + np.sqrt(1 - 0.94**2) * axes[3], axes[4]]
+    m = np.concatenate([c + rng.standard_normal((300, 64)) * np.sqrt(0.03 / 64) for c in centres] + [rng.standard_normal((200, 64))]).astype(np.float32)
+    ids = list(range(len(m)))
+    got = nndescent.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")).collect()
+    m = m.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    linked = m @ m.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked[:300, 300:600].mean() > 0.5
+    parts = brute_components(ids, zip(*np.nonzero(linked), strict=True))
+    assert {parts[0], parts[300], parts[600], parts[900], parts[1200]} == {0, 600, 1200}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (linked[i].sum(), parts[i]) for i in ids}

@@ -3,7 +3,9 @@
 A graph of approximate nearest neighbours starts from blocks of vectors that fall together under random
 hyperplanes, and is refined by joining the neighbours of each vector with one another. A brute-force audit on a
 sample decides how long. Pairs above the threshold link; where links join more vectors than a neighbour list
-holds, lists are enlarged to all vectors they connect, compared block by block.
+holds, lists are enlarged to all vectors they connect, compared block by block. Vectors whose lists are full of
+links may have more of them elsewhere: blocks of such vectors in different components are compared exactly, unless
+their centres are too far apart for a link.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ BLOCK = 48
 MOST_ROUNDS = 8
 AUDITED = 1024
 RECALL = 0.98
+#: Times that new hash tables, twice as many each time, are added where the audit finds too few links.
+MOST_RESTARTS = 6
+#: Fewer audited links than this tell nothing: refinement then goes on until under 1% of the lists change.
+TELLING = 100
 #: Half-precision cosines are wrong by less than this.
 SLACK = 0.004
 _COMPARE = 256
@@ -138,7 +144,10 @@ def _refined(graph: DataFrame, codes: DataFrame, dims: int, k: int) -> DataFrame
 
 
 def _audit(codes: DataFrame, vectors: DataFrame, dims: int, n: int, threshold: float, audited: int) -> DataFrame:
-    """(node, links): the true numbers of links of a hash sample of vectors, by brute force against all."""
+    """(node, links, times): the true numbers of links of a hash sample of vectors, by brute force against all.
+
+    links counts different vectors, times the rows that hold them.
+    """
     draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
     sample = vectors.where(draw < min(1.0, audited / max(n, 1))).select("node", "embedding").toArrow().combine_chunks()
     ids = sample.column("node").to_numpy()
@@ -148,13 +157,16 @@ def _audit(codes: DataFrame, vectors: DataFrame, dims: int, n: int, threshold: f
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, y = shared.value
         for batch in batches:
-            x, node = _matrix(batch.column("embedding"), dims), batch.column("node").to_numpy()
-            hits = np.zeros(len(ids), dtype=np.int64)
+            x, node, n = _matrix(batch.column("embedding"), dims), batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            hits, times = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
             for i in range(0, len(x), 2048):
-                hits += ((x[i : i + 2048] @ y.T >= threshold) & (node[i : i + 2048, None] != ids)).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits)], names=["node", "links"])
+                near = (x[i : i + 2048] @ y.T >= threshold) & (node[i : i + 2048, None] != ids)
+                hits += near.sum(0)
+                times += n[i : i + 2048] @ near
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits), pa.array(times)], names=["node", "links", "times"])
 
-    return vectors.select("node", "embedding").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    counted = vectors.select("node", "embedding", "n").mapInArrow(count, "node long, links long, times long")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"), F.sum("times").alias("times"))
 
 
 def _verified(near: DataFrame, vectors: DataFrame, dims: int, threshold: float) -> DataFrame:
@@ -169,6 +181,73 @@ def _verified(near: DataFrame, vectors: DataFrame, dims: int, threshold: float)
     return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _pairs_of_groups(rows: DataFrame, group: str, groups: int) -> DataFrame:
+    """``rows`` once for each pair (i, j) of groups that holds its own."""
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return other.withColumn("i", F.least(group, "other")).withColumn("j", F.greatest(group, "other")).drop("other")
+
+
+def _cross_links(graph: DataFrame, vectors: DataFrame, components: DataFrame, dims: int, k: int, threshold: float) -> DataFrame | None:
+    """(a, b): a link between any two components that full lists may have kept apart, None if there is but one.
+
+    A link that is in neither list has an end with a full list of links on both sides, so only such vectors are
+    compared: in blocks of about _COMPARE of one component, all pairs of blocks of different components whose
+    centres lie no farther apart than both radii and the angle of the threshold.
+    """
+    full = graph.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("size")).where((F.col("size") >= k) & (F.col("low") >= threshold - SLACK))
+    own = F.coalesce("component", "node").alias("component")
+    crowded = materialize(full.select(F.col("a").alias("node")).join(components, "node", "left").select("node", own), "crowded")
+    sizes = materialize(crowded.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    n, n_blocks, n_components = sizes.agg(F.sum("size"), F.sum(F.ceil(F.col("size") / _COMPARE)), F.count("*")).first()
+    if n_components < 2:
+        return None
+    block = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / _COMPARE).cast("int"))).alias("block")
+    placed = materialize(crowded.join(sizes, "component").select("node", "component", block).join(vectors.select("node", "embedding"), "node"), "blocks")
+
+    def ball(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, block, component = _matrix(table.column("embedding").combine_chunks(), dims), table.column("block").to_numpy(), table.column("component").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+        centres, radii = [], []
+        for p in np.split(order, cuts[1:]):
+            c = x[p].sum(0)
+            c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[p[0]]
+            centres.append(c)
+            radii.append(float(np.arccos(np.clip((x[p] @ c).min(), -1, 1))))
+        heads = order[cuts]
+        return pa.table({"block": block[heads], "component": component[heads], "centre": pa.array(list(np.array(centres)), pa.list_(pa.float64())), "radius": radii})
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        x, radius = _matrix(table.column("centre").combine_chunks(), dims), table.column("radius").to_numpy()
+        block, component, part = (table.column(c).to_numpy() for c in ("block", "component", "part"))
+        p, q = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        apart = np.arccos(np.clip(x[p] @ x[q].T, -1, 1)) - radius[p][:, None] - radius[q]
+        close = (apart <= np.arccos(threshold) + 1e-6) & (component[p][:, None] != component[q])
+        if i == j:
+            close &= block[p][:, None] < block[q]
+        a, b = np.nonzero(close)
+        return pa.table({"x": block[p[a]], "y": block[q[b]]})
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, node, block = _matrix(table.column("embedding").combine_chunks(), dims), table.column("node").to_numpy(), table.column("block").to_numpy()
+        first = block == table.column("x")[0].as_py()
+        a, b = node[first], node[~first]
+        near = np.flatnonzero((x[first] @ x[~first].T >= threshold).ravel())[:1]
+        return pa.table({"a": np.minimum(a[near // len(b)], b[near % len(b)]), "b": np.maximum(a[near // len(b)], b[near % len(b)])})
+
+    bins = F.pmod(F.col("block"), F.lit(max(int(n // 1000), 1)))
+    balls = placed.groupBy(bins).applyInArrow(ball, "block long, component long, centre array<double>, radius double")
+    parts = int(-(-n_blocks // 2048))
+    dealt = _pairs_of_groups(balls.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")), "part", parts)
+    close = materialize(dealt.groupBy("i", "j").applyInArrow(meet, "x long, y long"), "close")
+    ends = close.select("x", "y", F.explode(F.array("x", "y")).alias("block"))
+    return ends.join(placed, "block").select("x", "y", "block", "node", "embedding").groupBy("x", "y").applyInArrow(compare, "a long, b long")
+
+
 def _link_counts(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(node, links): for (component, node, n, embedding), the rows of the component that each node links.
 
@@ -212,9 +291,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Vectors that are null, zero or hold null or non-finite parts, those with a null id, and those of another
     length than most, link with nothing. Equal vectors are one class in the graph and are counted as often as
-    they occur (rows that repeat an id too). No pair below the threshold is linked; the share of links found is
-    audited by brute force on a sample and refinement goes on until it reaches ``recall`` or MOST_ROUNDS. An empty
-    table gives an empty result; other columns are not read.
+    they occur (rows that repeat an id too). No pair below the threshold is linked; the share of all links found is
+    audited by brute force on a sample, and hash tables and rounds are added until it reaches ``recall``; where it
+    does not, an error is raised. An empty table gives an empty result; other columns are not read.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
     lengths = rows.where(_usable("embedding") & F.col("id").isNotNull()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -231,18 +310,28 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     codes = materialize(vectors.select("node", "embedding").mapInArrow(encode, "node long, code binary"), "codes")
     graph = materialize(_kept(_first_graph(codes, dims, n, neighbours, tables, seed).withColumn("new", F.lit(1)), neighbours), "graph")
     truth = materialize(_audit(codes, vectors, dims, n, threshold, AUDITED), "audit")
-    wanted = truth.agg(F.sum(F.least("links", F.lit(neighbours)))).first()[0] or 0
-    for _ in range(MOST_ROUNDS):
-        graph = materialize(_refined(graph, codes, dims, neighbours), "graph")
-        linked = graph.where(F.col("sim") >= threshold).join(truth, F.col("a") == F.col("node"), "left_semi").count()
-        if linked >= recall * wanted:
+    wanted, wanted_times = (x or 0 for x in truth.agg(F.sum(F.least("links", F.lit(neighbours))), F.sum("times")).first())
+    for restart in range(1, MOST_RESTARTS + 1):
+        for _ in range(MOST_ROUNDS):
+            graph = materialize(_refined(graph, codes, dims, neighbours), "graph")
+            linked = graph.where(F.col("sim") >= threshold).join(truth, F.col("a") == F.col("node"), "left_semi").count()
+            if linked >= recall * wanted and (wanted >= TELLING or graph.where("new = 1").count() <= 0.01 * n * neighbours):
+                break
+        near = graph.where(F.col("sim") >= threshold - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = materialize(_verified(near, vectors, dims, threshold), "links")
+        components = materialize(connected_components(links), "components")
+        crossing = _cross_links(graph, vectors, components, dims, neighbours, threshold)
+        if crossing is not None:
+            components = materialize(connected_components(links.union(crossing)), "components")
+        members = components.join(vectors, "node").select("component", "node", "n", "embedding")
+        counts = materialize(_link_counts(members, dims, threshold), "counts")
+        found_times = counts.join(truth.select("node"), "node").agg(F.sum("links")).first()[0] or 0
+        if found_times >= recall * wanted_times:
             break
-
-    near = graph.where(F.col("sim") >= threshold - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(_verified(near, vectors, dims, threshold), "links")
-    components = materialize(connected_components(links), "components")
-    members = components.join(vectors, "node").select("component", "node", "n", "embedding")
-    counts = _link_counts(members, dims, threshold)
+        more = _first_graph(codes, dims, n, neighbours, tables << restart, seed + restart).withColumn("new", F.lit(1))
+        graph = materialize(_kept(graph.unionByName(more), neighbours), "graph")
+    else:
+        raise RuntimeError("near_duplicates: the audit found too few links within MOST_RESTARTS")
     told = vectors.select("embedding", "node", "n").join(components, "node", "left").join(counts, "node", "left")
     told = told.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("component", "node").alias("component"))
     usable = rows.where(good)
