@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, packing, repeats, simhash
+from tidemark.llm import langid, mixing, packing, repeats, shingles
 from tidemark.llm.common import fold, materialize, table
 from tidemark.llm.queries import vocabulary
 
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    return simhash.keep_one_of_each_group(docs)
+    """One document of each group that shares 0.8 of its five-word shingles: that of the smallest doc_id."""
+    return shingles.keep_one_of_each_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

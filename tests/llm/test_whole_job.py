@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_dedup import brute_components
+import corpus_pipeline
+from tests.llm.test_dedup import DOCS, brute_components
 from tidemark.llm import lm, nndescent
 from tidemark.llm.common import fold
 
@@ -45,3 +46,29 @@ def test_dense_groups_that_link_one_another(spark):
     parts = brute_components(ids, zip(*np.nonzero(linked), strict=True))
     assert {parts[0], parts[300], parts[600], parts[900], parts[1200]} == {0, 600, 1200}
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (linked[i].sum(), parts[i]) for i in ids}
+
+
+def test_pipeline_drops_near_copies_of_similarity_0_8(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows.append((i, " ".join(words)))
+        for k in range(1, 4):  # one word changed, then two, then six
+            changed = list(words)
+            for at in rng.sample(range(120), (1, 2, 6)[k - 1]):
+                changed[at] = "changed"
+            rows.append((100 * k + i, " ".join(changed)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "ONE  two")]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[j : j + 5]) for j in range(max(len(words) - 4, 1))} if words else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    linked = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    parts = brute_components(ids, linked)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == set(parts.values()) and 60 <= len(kept) < 200

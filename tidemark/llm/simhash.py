@@ -132,7 +132,11 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     The document with the smallest id stays (among rows of that id the smallest text hash, and one of rows that
     repeat both); a group whose ids are all null keeps one row by text hash.
     """
-    groups = near_duplicates(docs, id_col, text_col, max_distance=max_distance)
+    return keep_first_of_groups(docs, near_duplicates(docs, id_col, text_col, max_distance=max_distance), id_col, text_col)
+
+
+def keep_first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that keep_one_of_each_group keeps of ``groups`` (id, text_key, fingerprint, component_id)."""
     order = F.struct(F.col("id").isNull().alias("_no"), F.col("id").alias("_id"), F.col("text_key").alias("_key"))
     stay = groups.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fingerprint").cast("string"))).alias("_g")).agg(F.min(order).alias("_o")).select("_o._id", "_o._key")
     keyed = docs.withColumn("_tidemark_key", text_key(F.col(text_col)))
