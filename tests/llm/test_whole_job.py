@@ -72,3 +72,10 @@ def test_pipeline_drops_near_copies_of_similarity_0_8(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
     assert kept == set(parts.values()) and 60 <= len(kept) < 200
+
+
+def test_pairs_seen_once_are_in_the_filter(spark):
+    text = " ".join(f"v{i}" for i in range(200))
+    model, _ = lm.train(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    tokens, row = lm._tokens(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]))
+    assert (model.counts(lm._pair_keys(lm._histories(tokens, row), tokens)) >= 1).all()

@@ -150,8 +150,7 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, com
             which = ((key[pair].view(U64) >> U64(1)) & _CLASS).astype(np.int64)
             types += np.bincount(which, minlength=len(types))
             tokens += np.bincount(which, weights=n[pair], minlength=len(types)).astype(np.int64)
-            keep = ~pair | (n > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[keep].astype(np.int32)), pa.array(key[keep]), pa.array(n[keep])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(key), pa.array(n)], names=names)
         some = np.flatnonzero(types)
         for kind, x in ((2, types), (3, tokens)):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, dtype=np.int32)), pa.array(some), pa.array(x[some])], names=names)
