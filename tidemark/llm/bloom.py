@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +27,14 @@ def size_for(keys: int, bits_per_key: int = 14, max_bits: int = 1 << 28) -> int:
     return bits
 
 
-def _positions(keys: np.ndarray, level: int, j: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, bit within it) of hash j for each key at a level."""
+def _places(keys: np.ndarray, level: int, bits: int, hashes: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(segment, 64-bit word within it, bits within that word) of each key at a level.
+
+    All bits of a key at a level lie in one word, so a probe reads memory once.
+    """
     base = mix(keys.astype(U64))
-    segment = base & U64(bits // SEGMENT_BITS - 1)
-    x = mix(base + _SALT * np.array([level * 16 + j + 1], dtype=U64))
-    return segment, x >> U64(64 - 19)
+    x = mix(base + _SALT * U64(level + 1))
+    return base & U64(bits // SEGMENT_BITS - 1), x >> U64(64 - 13), [(x >> U64(6 * j)) & U64(63) for j in range(hashes)]
 
 
 class Bloom:
@@ -42,16 +44,11 @@ class Bloom:
         self.data, self.bits, self.hashes = data, bits, hashes
 
     def contains(self, keys: np.ndarray, level: int = 0) -> np.ndarray:
-        alive = np.arange(len(keys))
-        for j in range(self.hashes):
-            segment, bit = _positions(keys[alive], level, j, self.bits)
-            at = segment * U64(SEGMENT_BITS) + bit
-            alive = alive[(self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0]
-            if not len(alive):
-                break
-        out = np.zeros(len(keys), dtype=bool)
-        out[alive] = True
-        return out
+        segment, word, places = _places(keys, level, self.bits, self.hashes)
+        wanted = np.zeros(len(keys), dtype=U64)
+        for bit in places:
+            wanted |= U64(1) << bit
+        return self.data[segment * U64(SEGMENT_BITS // 64) + word] & wanted == wanted
 
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         """The longest run 1..q of levels found for each key: its quantised log count, 0 if absent."""
@@ -65,33 +62,33 @@ class Bloom:
         return out
 
 
-def build(keys: DataFrame, bits: int, hashes: int = 6) -> Bloom:
+def build(keys: DataFrame, bits: int, hashes: int = 5) -> Bloom:
     """Filter of the rows (key long, first int, last int): each key at the levels first..last."""
     n_segments = bits // SEGMENT_BITS
 
-    def part(frame: pd.DataFrame) -> pd.DataFrame:
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = (mix(batch.column("key").to_numpy().view(U64)) & U64(n_segments - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["key", "first", "last", "segment"])
+
+    def part(table: pa.Table) -> pa.Table:
         marks = np.zeros(SEGMENT_BITS, dtype=bool)
-        k, lo, hi = frame["key"].to_numpy().view(U64), frame["first"].to_numpy(), frame["last"].to_numpy()
+        k, lo, hi = table["key"].to_numpy().view(U64), table["first"].to_numpy(), table["last"].to_numpy()
         for level in range(int(lo.min()), int(hi.max()) + 1):
-            now = k[(lo <= level) & (level <= hi)]
-            for j in range(hashes):
-                marks[_positions(now, level, j, bits)[1]] = True
-        return pd.DataFrame({"segment": [int(frame["segment"].iloc[0])], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
-
-    def segment(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            own = (mix(frame["key"].to_numpy().view(U64)) & U64(n_segments - 1)).astype(np.int32)
-            yield frame.assign(segment=own)
-
-    placed = keys.select("key", "first", "last").mapInPandas(segment, "key long, first int, last int, segment int")
-    data = np.zeros(bits // 8, dtype=np.uint8)
-    size = SEGMENT_BITS // 8
-    for row in placed.groupBy("segment").applyInPandas(part, "segment int, bits binary").collect():
-        data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], dtype=np.uint8)
+            _, word, places = _places(k[(lo <= level) & (level <= hi)], level, bits, hashes)
+            for bit in places:
+                marks[word * U64(64) + bit] = True
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    placed = keys.select("key", F.col("first").cast("byte").alias("first"), F.col("last").cast("byte").alias("last")).mapInArrow(segment, "key long, first byte, last byte, segment int")
+    data = np.zeros(bits // 64, dtype=U64)
+    size = SEGMENT_BITS // 64
+    for row in placed.groupBy("segment").applyInArrow(part, "segment int, bits binary").toLocalIterator():
+        data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], dtype="<u8")
     return Bloom(data, bits, hashes)
 
 
-def plain(keys: DataFrame, bits: int, hashes: int = 6) -> Bloom:
+def plain(keys: DataFrame, bits: int, hashes: int = 5) -> Bloom:
     """Filter of the rows (key long), one level."""
     zero = F.lit(0)
     return build(keys.select("key", zero.alias("first"), zero.alias("last")), bits, hashes)

@@ -3,8 +3,9 @@
 Counts of words and of word pairs are gathered over all training texts. Each count c is quantised to a level
 1 + floor(log_b c), and the n-gram is put into a Bloom filter at all levels up to its own; a reader probes level
 after level until one is missing, and takes the mean count of the last level found. The filter has a fixed
-greatest size, so it can be broadcast at any scale; where more n-grams come than it holds, word pairs below a
-count chosen from the histogram of levels are left to the smoothing.
+greatest size, so it can be broadcast at any scale. Where more n-grams come than it holds, those of the lower levels
+are left out of it, and tokens whose n-grams the filter lacks are joined with the counts of exactly those, quantised
+alike: each n-gram seen in training counts in every score, whatever the size of the corpus.
 
 A pair (h, w) has probability (c(hw) + T(h) P(w)) / (c(h) + T(h)), T the number of different followers
 (Witten-Bell), with T and c of the history known by classes of its hash, and P(w) = (c(w) + 1) / (N + V + 1).
@@ -33,6 +34,7 @@ COMMON_WORDS = 1 << 19
 MAX_BITS = 1 << 28
 BITS_PER_ENTRY = 10
 HASHES = 5
+LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts.
 _HELD = 1 << 20
 
@@ -109,22 +111,33 @@ def ngram_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Model:
-    """The broadcast part of a trained model; its size has fixed bounds."""
+    """The broadcast part of a trained model; its size has fixed bounds.
 
-    def __init__(self, filter_: bloom.Bloom, n: int, v: int, ratio: np.ndarray, common: tuple[np.ndarray, np.ndarray], base: float):
+    ``words_open`` and ``pairs_open`` say that the filter lacks some words or pairs that were seen.
+    """
+
+    def __init__(self, filter_: bloom.Bloom, n: int, v: int, ratio: np.ndarray, common: tuple[np.ndarray, np.ndarray], base: float, words_open: bool, pairs_open: bool):
         self.filter, self.n, self.v, self.ratio, self.common, self.base = filter_, n, v, ratio, common, base
+        self.words_open, self.pairs_open = words_open, pairs_open
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts: the middle of the last level found, 0 if none."""
         level = self.filter.levels(keys, MOST_LEVELS).astype(float)
         return np.where(level > 0, np.maximum((self.base ** (level - 1) + self.base**level - 1) / 2, 1.0), 0.0)
 
+    def types(self, before: np.ndarray) -> np.ndarray:
+        """Different followers of a history for each time it occurs."""
+        return self.ratio[(before & _CLASS).astype(np.int64)]
+
     def log10(self, pair: np.ndarray, count: np.ndarray, history: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 probability of tokens, from the keys of their pairs and the counts of token and history."""
+        return self.smoothed(self.counts(pair), count, history, before)
+
+    def smoothed(self, both: np.ndarray, count: np.ndarray, history: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 probability of tokens, from the counts of pair, token and history."""
         own = (count + 1) / (self.n + self.v + 1)
-        types = np.maximum(history * self.ratio[(before & _CLASS).astype(np.int64)], 1e-9)
-        both = np.minimum(self.counts(pair), history)
-        return np.log10(np.where(history > 0, (both + types * own) / (history + types), own))
+        types = np.maximum(history * self.types(before), LEAST_TYPES)
+        return np.log10(np.where(history > 0, (np.minimum(both, history) + types * own) / (history + types), own))
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of common words, 0 of others."""
@@ -135,11 +148,13 @@ class Model:
         return np.where(have[at] == keys, counts[at], 0)
 
 
-def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, common_words: int = COMMON_WORDS, base: float = LOG_BASE) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str = "text", **options: float) -> tuple[Model, DataFrame]:
     """(model, word counts (key, n)) of all texts of ``docs``."""
+    return _trained(docs, text_col, **options)[:2]
+
 
-    def level_of(n: np.ndarray) -> np.ndarray:
-        return np.minimum(1 + np.floor(np.log(n) / math.log(base) + 1e-9), MOST_LEVELS).astype(np.int64)
+def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_words: int = COMMON_WORDS, base: float = LOG_BASE) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, word counts (key, n), quantised counts (key, count) of the n-grams that the filter lacks) of all texts."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, tokens = np.zeros(1 << CLASS_BITS, dtype=np.int64), np.zeros(1 << CLASS_BITS, dtype=np.int64)
@@ -156,7 +171,7 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, com
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, dtype=np.int32)), pa.array(some), pa.array(x[some])], names=names)
 
     rows = materialize(ngram_counts(docs, text_col).mapInArrow(split, "kind int, key long, n long"), "counts")
-    single, pairs = rows.where("kind = 0").select("key", "n"), rows.where("kind = 1").select("key", "n")
+    single = rows.where("kind = 0").select("key", "n")
     n, v = single.agg(F.sum("n"), F.count("*")).first()
     n, v = n or 0, v or 0
     classes = rows.where("kind > 1").groupBy("key").agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("t"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("c")).toPandas()
@@ -175,7 +190,9 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, com
     while entries() > room and max(least.values()) < MOST_LEVELS:
         least[1 if least[1] <= least[0] + 2 else 0] += 1
     bits = bloom.size_for(entries(), BITS_PER_ENTRY, max_bits)
-    kept = levels.where(F.col("level") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1]))
+    inside = F.col("level") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])
+    kept, lacking = levels.where(inside), levels.where(~inside)
+    middle = F.greatest((F.pow(F.lit(base), F.col("level") - 1) + F.pow(F.lit(base), F.col("level")) - 1) / 2, F.lit(1.0))
     filter_ = bloom.build(kept.select("key", F.lit(1).alias("first"), F.col("level").alias("last")), bits, HASHES)
 
     # the most frequent words, as many as fit: all above a count taken from the histogram
@@ -188,7 +205,17 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, com
     common = levels.where((F.col("kind") == 0) & (F.col("level") >= floor_)).select("key", "n").toArrow()
     keys, counts = common.column("key").to_numpy().view(U64), common.column("n").to_numpy()
     order = np.argsort(keys)
-    return Model(filter_, n, v, ratio, (keys[order], counts[order]), base), single
+    is_open = [any(c and lv < least[kind] for (k, lv), c in histogram.items() if k == kind) for kind in (0, 1)]
+    return Model(filter_, n, v, ratio, (keys[order], counts[order]), base, *is_open), single, lacking.select("key", middle.alias("count"))
+
+
+def _lists(row: np.ndarray, item: np.ndarray, n: int, arrays: dict[str, np.ndarray]) -> list[pa.Array]:
+    """For rows 0..n-1 the lists of their different items: each array taken at the items, then how often they come."""
+    pairs, times = np.unique(row * (item.max() + 1 if len(item) else 1) + item, return_counts=True)
+    width = item.max() + 1 if len(item) else 1
+    bounds = pa.array(np.searchsorted(pairs // width, np.arange(n + 1)).astype(np.int32))
+    at = pairs % width
+    return [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (*(a[at] for a in arrays.values()), times.astype(np.int32))]
 
 
 def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
@@ -198,15 +225,17 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
     each text, so a null or empty text is an end alone. base_score is exact: log10((c + 1) / (N + V + 1)) over the
     tokens, counts of words being equal where 64-bit hashes of words are; counts of common words are at hand in
     every task, and rows of the other words are joined with their counts. score is log10 of the model's
-    probability. Null ids and repeated rows are scored like others; a table without training rows gives every token the same
+    probability; tokens that the filter does not tell are joined with the counts it lacks, if there are any. Null ids
+    and repeated rows are scored like others; a table without training rows gives every token the same
     probability; an empty table gives an empty result.
     """
     learn = docs.where(train_when)
-    model, singles = train(learn, text_col, **options)
+    model, singles, lacking = _trained(learn, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("id"), (~F.coalesce(train_when, F.lit(False))).alias("held_out"), F.col(text_col).alias("text"))
-    more = "row long, n_tokens long, n_known long, base double, score double, keys array<bigint>, times array<bigint>"
-    schema = shape(slim.select("id", "held_out"), more)
+    rare = "keys array<bigint>, times array<int>"
+    untold = "pair array<bigint>, word array<bigint>, before array<bigint>, count array<double>, history array<double>, types array<double>, often array<int>"
+    schema = shape(slim.select("id", "held_out"), f"row long, n_tokens long, n_known long, base double, score double, {rare}, {untold}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -217,19 +246,28 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
                 tokens, row = _tokens(data, offsets)
                 before = _histories(tokens, row)
                 word, back = np.unique(_word_keys(tokens), return_inverse=True)
-                count = m.counts(word)[back]
-                history = np.append(0.0, count[:-1])[: len(count)]
-                history[before == U64(START)] = 0
+                count = m.counts(word)
+                missing = m.words_open & (count == 0)
                 pair, at, inverse = np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True)
-                total = np.bincount(row, weights=m.log10(pair, count[at], history[at], before[at])[inverse], minlength=n)
+                # of each different pair: its history's place among the words, -1 at a text's first
+                past = np.where(before[at] == U64(START), -1, back[np.maximum(at - 1, 0)])
+                own, history = count[back[at]], np.where(past < 0, 0, count[past])
+                both = m.counts(pair)
+                no_word, no_past = missing[back[at]], missing[past] & (past >= 0)
+                is_open = (m.pairs_open & (both == 0) & (past >= 0)) | no_word | no_past
+                log = np.where(is_open, 0, m.smoothed(both, own, history, before[at]))
+                told = {
+                    "pair": pair.view(np.int64),
+                    "word": np.where(no_word, word[back[at]], 0).view(np.int64),
+                    "before": np.where(no_past, word[past], 0).view(np.int64),
+                    "count": own,
+                    "history": history.astype(float),
+                    "types": np.where(past < 0, -1, m.types(before[at])),
+                }
                 exact = m.exact(word)
                 # the filter may lack words that were seen, so each word that is not common is joined
-                rare = exact == 0
-                known = (exact > 0)[back]
-                base = np.bincount(row, weights=np.log10(exact + 1.0)[back], minlength=n)
-                who = np.flatnonzero(rare[back])
-                both, times = np.unique(np.stack([row[who], back[who]]), axis=1, return_counts=True) if len(who) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-                bounds = pa.array(np.searchsorted(both[0], np.arange(n + 1)).astype(np.int32))
+                seldom = np.flatnonzero((exact == 0)[back])
+                opened = np.flatnonzero(is_open[inverse])
                 part = slice(first, first + n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -237,11 +275,11 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
                         batch.column("held_out")[part],
                         pa.array(np.arange(row_id, row_id + n)),
                         pa.array(np.bincount(row, minlength=n)),
-                        pa.array(np.bincount(row, weights=known, minlength=n).astype(np.int64)),
-                        pa.array(base),
-                        pa.array(total),
-                        pa.ListArray.from_arrays(bounds, pa.array(word[both[1]].view(np.int64))),
-                        pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int64))),
+                        pa.array(np.bincount(row, weights=(exact > 0)[back], minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(row, weights=np.log10(exact + 1.0)[back], minlength=n)),
+                        pa.array(np.bincount(row, weights=log[inverse], minlength=n)),
+                        *_lists(row[seldom], back[seldom], n, {"keys": word.view(np.int64)}),
+                        *_lists(row[opened], inverse[opened], n, told),
                     ],
                     names=schema.names,
                 )
@@ -249,8 +287,12 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
 
     scored = materialize(slim.mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    found = rare.join(singles, "key").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
-    out = scored.drop("keys", "times").join(found, "row", "left")
+    known = rare.join(singles, "key")
+    more = known.select("row", F.col("times").cast("long").alias("known"), (F.col("times") * F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("score"))
+    if model.words_open or model.pairs_open:
+        more = more.union(_untold(scored, lacking, model))
+    found = more.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more"), F.sum("score").alias("more_score"))
+    out = scored.select("id", "held_out", "row", "n_tokens", "n_known", "base", "score").join(found, "row", "left")
     floor_ = F.lit(math.log10(model.n + model.v + 1))
     return out.select(
         "id",
@@ -259,5 +301,32 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * floor_).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
+
+
+def _untold(scored: DataFrame, lacking: DataFrame, model: Model) -> DataFrame:
+    """(row, 0, 0.0, log10 probability) of the tokens that the filter does not tell, by joins with what it lacks."""
+    names = ["pair", "word", "before", "count", "history", "types", "often"]
+    rows = scored.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *[F.col(f"x.{c}").alias(c) for c in names])
+    if model.words_open:
+        words_ = lacking.where(F.col("key") % 2 == 0)
+        for key, count in (("word", "count"), ("before", "history")):
+            told, rest = rows.where(F.col(key) == 0), rows.where(F.col(key) != 0)
+            rest = rest.join(words_.select(F.col("key").alias(key), F.col("count").alias("seen")), key, "left")
+            rows = told.unionByName(rest.withColumn(count, F.coalesce("seen", F.col(count))).select(told.columns))
+    rows = rows.select("row", "pair", "count", "history", "types", "often")
+    if model.pairs_open:
+        rows = rows.join(lacking.where(F.col("key") % 2 != 0).select(F.col("key").alias("pair"), F.col("count").alias("both")), "pair", "left")
+    else:
+        rows = rows.withColumn("both", F.lit(None).cast("double"))
+    return rows.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("often") * _log10(model)).alias("score"))
+
+
+def _log10(model: Model) -> Column:
+    """Model.smoothed as a column of (both, count, history, types)."""
+    own = (F.col("count") + 1) / (model.n + model.v + 1)
+    history = F.col("history")
+    types = F.greatest(history * F.col("types"), F.lit(LEAST_TYPES))
+    both = F.least(F.coalesce("both", F.lit(0.0)), history)
+    return F.log10(F.when((history > 0) & (F.col("types") >= 0), (both + types * own) / (history + types)).otherwise(own))
