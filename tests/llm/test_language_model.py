@@ -6,11 +6,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm
 from tidemark.llm.common import fold
+from tidemark.llm.textarrays import chunks
 
 
 def quantised(count):
@@ -58,11 +60,10 @@ def chains(seed, n, vocabulary=60):
     return [*rows, (n, None), (n + 1, ""), (n + 2, "neverseen W1 again"), (None, "w1 w4"), (n + 3, "w1 " * 30000)]
 
 
-@pytest.mark.parametrize("max_bits", [1 << 28, 1 << 12, 1 << 4])
+@pytest.mark.parametrize("max_bits", [1 << 28, 1 << 18, 1 << 4])
 def test_scores_equal_plain_python_at_any_filter_size(spark, monkeypatch, max_bits):
-    # so many bits for each entry that no probe is wrong; a filter without room leaves all to the joins
-    room = {1 << 28: 400, 1 << 12: 10, 1 << 4: 10}[max_bits]
-    monkeypatch.setattr(lm, "BITS_PER_ENTRY", room)
+    # so many bits for each entry that no probe is wrong; room for all blocks, for some, for none
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 400)
     rows = chains(3, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("score", F.lit(1.0))
     got = {r.id: r for r in lm.score(df, fold(F.col("doc_id"), 7) != 2, max_bits=max_bits, common_words=8).collect()}
@@ -73,13 +74,20 @@ def test_scores_equal_plain_python_at_any_filter_size(spark, monkeypatch, max_bi
         assert got[i].score == pytest.approx(x, rel=1e-5), i
 
 
-def test_least_levels_leave_lower_counts_to_joins(spark):
+def test_blocks_that_are_not_broadcast_hold_the_rest(spark):
     df = spark.createDataFrame([(i, t) for i, t in chains(5, 80)], "doc_id long, text string")
-    model, words, lacking = lm._trained(df, "text", max_bits=1 << 11)
-    assert model.pairs_open and lacking.count() > 0
-    have = {r.key for r in lacking.collect()}
-    keys = np.array([k for k in (r.key for r in words.collect()) if k not in have], dtype=np.int64).view(np.uint64)
-    assert (model.counts(keys) >= 1).all()
+    full, words = lm.train(df)
+    model, _, lacking = lm._trained(df, "text", max_bits=64 * len(full.blocks.data) * 3 // 4)
+    rest = lacking.collect()
+    assert model.pairs_open and not model.words_open and rest
+    other = lm.Blocks(np.array([r.place for r in rest]), [np.frombuffer(r.bits, dtype="<u8") for r in rest], model.blocks.segments)
+    counts = {r.key: r.n for r in words.collect()}
+    keys = np.array(sorted(counts), dtype=np.int64).view(np.uint64)
+    assert (model.counts(keys) >= lm._middle(lm._level(np.array([counts[k] for k in sorted(counts)]), lm.LOG_BASE), lm.LOG_BASE)).all()
+    tokens, row = lm._tokens(*next(iter(chunks(pa.array([t for _, t in chains(5, 80)]))))[1:])
+    pairs = np.unique(lm._pair_keys(lm._histories(tokens, row), tokens))
+    levels = np.maximum(model.blocks.levels(pairs), other.levels(pairs))
+    assert (levels >= full.blocks.levels(pairs)).mean() > 0.98 and (levels >= 1).all()
 
 
 def test_empty_table(spark):

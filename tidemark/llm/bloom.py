@@ -1,5 +1,7 @@
 """Bloom filters built on the cluster, segment by segment, and probed with numpy in tasks.
 
+``block`` and ``found`` are filters of any size for the keys of one segment, built and probed where they lie.
+
 A key's segment is a slice of its hash, so each segment is built whole by one task from a bounded share of
 the keys, and only the finished bits, whose size is fixed beforehand, reach the driver.
 """
@@ -33,7 +35,7 @@ def _places(keys: np.ndarray, level: int, bits: int, hashes: int) -> tuple[np.nd
     All bits of a key at a level lie in one word, so a probe reads memory once.
     """
     base = mix(keys.astype(U64))
-    x = mix(base + _SALT * U64(level + 1))
+    x = mix(base + U64(int(_SALT) * (level + 1) % (1 << 64)))
     return base & U64(bits // SEGMENT_BITS - 1), x >> U64(64 - 13), [(x >> U64(6 * j)) & U64(63) for j in range(hashes)]
 
 
@@ -83,7 +85,7 @@ def build(keys: DataFrame, bits: int, hashes: int = 5) -> Bloom:
     placed = keys.select("key", F.col("first").cast("byte").alias("first"), F.col("last").cast("byte").alias("last")).mapInArrow(segment, "key long, first byte, last byte, segment int")
     data = np.zeros(bits // 64, dtype=U64)
     size = SEGMENT_BITS // 64
-    for row in placed.groupBy("segment").applyInArrow(part, "segment int, bits binary").toLocalIterator():
+    for row in placed.groupBy("segment").applyInArrow(part, "segment int, bits binary").collect():
         data[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], dtype="<u8")
     return Bloom(data, bits, hashes)
 
@@ -92,3 +94,36 @@ def plain(keys: DataFrame, bits: int, hashes: int = 5) -> Bloom:
     """Filter of the rows (key long), one level."""
     zero = F.lit(0)
     return build(keys.select("key", zero.alias("first"), zero.alias("last")), bits, hashes)
+
+
+def _masks(keys: np.ndarray, level: int, words: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits within it) of each key at a level in a block of ``words`` 64-bit words."""
+    x = mix(mix(keys.astype(U64)) + U64(int(_SALT) * (level + 1) % (1 << 64)))
+    bits = np.zeros(len(keys), dtype=U64)
+    for j in range(hashes):
+        bits |= U64(1) << ((x >> U64(6 * j)) & U64(63))
+    return ((x >> U64(32)) * words.astype(U64)) >> U64(32), bits
+
+
+def block(keys: np.ndarray, last: np.ndarray, bits_per_entry: float, hashes: int = 5) -> np.ndarray:
+    """The words of a filter of ``keys``, each at the levels 1..last; empty without keys."""
+    entries = int(last.sum())
+    if not entries:
+        return np.zeros(0, dtype=U64)
+    words = int(entries * bits_per_entry) // 64 + 4  # with some room where entries are few
+    marks = np.zeros(words * 64, dtype=bool)
+    for level in range(1, int(last.max()) + 1):
+        now = keys[last >= level]
+        x = mix(mix(now.astype(U64)) + U64(int(_SALT) * (level + 1) % (1 << 64)))
+        word = ((x >> U64(32)) * U64(words)) >> U64(32)
+        for j in range(hashes):
+            marks[word * U64(64) + ((x >> U64(6 * j)) & U64(63))] = True
+    return np.packbits(marks, bitorder="little").view("<u8").astype(U64)
+
+
+def found(data: np.ndarray, start: np.ndarray, words: np.ndarray, keys: np.ndarray, level: int, hashes: int = 5) -> np.ndarray:
+    """Whether each key is there at a level, in its own block: ``words`` words of ``data`` from ``start``."""
+    word, bits = _masks(keys, level, words, hashes)
+    have = words > 0
+    at = np.where(have, start + word.astype(np.int64), 0)
+    return have & (data[at] & bits == bits) if len(data) else have & False

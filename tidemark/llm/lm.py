@@ -2,10 +2,11 @@
 
 Counts of words and of word pairs are gathered over all training texts. Each count c is quantised to a level
 1 + floor(log_b c), and the n-gram is put into a Bloom filter at all levels up to its own; a reader probes level
-after level until one is missing, and takes the mean count of the last level found. The filter has a fixed
-greatest size, so it can be broadcast at any scale. Where more n-grams come than it holds, those of the lower levels
-are left out of it, and tokens whose n-grams the filter lacks are joined with the counts of exactly those, quantised
-alike: each n-gram seen in training counts in every score, whatever the size of the corpus.
+after level until one is missing, and takes the mean count of the last level found. The filter lies in blocks, by
+segments of the keys and classes of levels, built where the counts of a segment are. Blocks of the higher classes are
+broadcast, as many as a fixed room holds. Tokens that these do not tell are sent to the blocks of their segment, and
+rare words are joined with their counts: each n-gram seen in training counts in every score, whatever the size of
+the corpus.
 
 A pair (h, w) has probability (c(hw) + T(h) P(w)) / (c(h) + T(h)), T the number of different followers
 (Witten-Bell), with T and c of the history known by classes of its hash, and P(w) = (c(w) + 1) / (N + V + 1).
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import materialize, partition_id, shape
+from .common import materialize, partition_id, release, shape
 from .textarrays import U64, chunks, lower, mix, prefix_hash, span_hash, words
 
 LOG_BASE = 1.5
@@ -31,12 +32,14 @@ MOST_LEVELS = 64
 CLASS_BITS = 16
 #: Words whose exact counts go to all tasks; the counts of the others are joined.
 COMMON_WORDS = 1 << 19
-MAX_BITS = 1 << 28
+#: Bits of the blocks that are broadcast, at most.
+MAX_BITS = 1 << 29
 BITS_PER_ENTRY = 10
-HASHES = 5
+#: The lowest level of each class of blocks.
+CLASSES = np.array([1, 2, 3, 5, 9, 14])
 LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts.
-_HELD = 1 << 20
+_HELD = 1 << 22
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
 START = int(mix(np.array([0x5354415254], dtype=U64))[0])
@@ -83,8 +86,21 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
 
 
-def ngram_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, n): counts of words and pairs over all texts of ``docs``."""
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return ((keys >> U64(40)) & U64(segments - 1)).astype(np.int64)
+
+
+def _level(n: np.ndarray, base: float) -> np.ndarray:
+    return np.minimum(1 + np.floor(np.log(n) / math.log(base) + 1e-9), MOST_LEVELS).astype(np.int64)
+
+
+def _middle(level: np.ndarray, base: float) -> np.ndarray:
+    """The count that a level stands for; 0 for none."""
+    return np.where(level > 0, np.maximum((base ** (level - 1.0) + base ** (level * 1.0) - 1) / 2, 1.0), 0.0)
+
+
+def _partial_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, n): counts of words and pairs, summed over some millions of tokens each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -93,37 +109,125 @@ def ngram_counts(docs: DataFrame, text_col: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
                 tokens, row = _tokens(data, offsets)
                 held += [_word_keys(tokens), _pair_keys(_histories(tokens, row), tokens)]
                 size += 2 * len(tokens)
-                if size >= 4 * _HELD:
+                if size >= _HELD:
                     yield flush()
                     size = 0
         if held:
             yield flush()
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n int")
+
+
+_ROWS = "kind int, key long, n long, bits binary"
+_WORD, _TYPES, _TIMES, _BLOCK, _SIZE = range(5)
+
+
+def _counted(docs: DataFrame, text_col: str, base: float, bits_per_entry: float) -> tuple[DataFrame, int]:
+    """The materialised counts of all texts, and the number of segments: words with their counts, followers and
+    occurrences of each class of histories, and blocks (key: segment, order and class; n: words of 64 bits).
+
+    A segment is a slice of the keys and is counted whole by one task, which builds its blocks on the spot.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = 1 << max(6, (8 * parts - 1).bit_length())
+
+    def rows(kind: int, key: np.ndarray, n: np.ndarray, bits: list[bytes] | None = None) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(key), kind, dtype=np.int32))
+        held = pa.nulls(len(key), pa.binary()) if bits is None else pa.array(bits, pa.binary())
+        return pa.RecordBatch.from_arrays([kinds, pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64)), held], names=["kind", "key", "n", "bits"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        keys, n = np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
+
+        for batch in batches:
+            held.append((batch.column("key").to_numpy().view(U64), batch.column("n").to_numpy()))
+            size += len(batch)
+            if size > max(_HELD, len(keys)):
+                (keys, n), held, size = merged(), [], 0
+        keys, n = merged()
+        if not len(keys):
+            return
+        pair = (keys & U64(1)) == 1
+        yield rows(_WORD, keys[~pair].view(np.int64), n[~pair])
+        which = ((keys[pair] >> U64(1)) & _CLASS).astype(np.int64)
+        for kind, x in ((_TYPES, np.bincount(which)), (_TIMES, np.bincount(which, weights=n[pair]))):
+            some = np.flatnonzero(x)
+            yield rows(kind, some, x[some])
+        level = _level(n, base)
+        place = (_segment(keys, segments) * 2 + pair) * len(CLASSES) + np.searchsorted(CLASSES, level, side="right") - 1
+        order = np.argsort(place, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
+        for at in np.split(order, cuts[1:]):
+            bits = bloom.block(keys[at], level[at], bits_per_entry)
+            yield rows(_BLOCK, place[at[:1]], np.array([len(bits)]), [bits.tobytes()])
+
+    segment = F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(segments - 1))
+    out = materialize(_partial_counts(docs, text_col).repartition(parts, segment).mapInArrow(count, _ROWS), "counts")
+    release(spark)
+    return out, segments
+
+
+class Blocks:
+    """Blocks of some classes: a mapping from keys to levels."""
+
+    def __init__(self, places: np.ndarray, blocks: list[np.ndarray], segments: int):
+        self.segments = segments
+        self.words = np.zeros(segments * 2 * len(CLASSES), dtype=np.int64)
+        self.words[places] = [len(b) for b in blocks]
+        self.start = np.zeros(len(self.words), dtype=np.int64)
+        self.start[places] = np.cumsum([0, *map(len, blocks)])[:-1]
+        self.data = np.concatenate(blocks) if blocks else np.zeros(0, dtype=U64)
+        shape = self.words.reshape(segments, 2, len(CLASSES))
+        self.classes = [np.flatnonzero(shape[:, order].any(0)) for order in (0, 1)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, 0 if no block holds it; all keys are words or all are pairs."""
+        out = np.zeros(len(keys), dtype=np.int64)
+        if not len(keys):
+            return out
+        order = int(keys[0] & U64(1))
+        home = (_segment(keys, self.segments) * 2 + order) * len(CLASSES)
+        open_ = np.arange(len(keys))
+        for c in self.classes[order][::-1]:
+            alive, last = open_, CLASSES[c + 1] - 1 if c + 1 < len(CLASSES) else MOST_LEVELS
+            reached = np.zeros(len(keys), dtype=np.int64)
+            for level in range(1, last + 1):
+                at = home[alive] + c
+                alive = alive[bloom.found(self.data, self.start[at], self.words[at], keys[alive], level)]
+                if not len(alive):
+                    break
+                reached[alive] = level
+            got = reached[open_] >= CLASSES[c]
+            out[open_[got]] = reached[open_[got]]
+            open_ = open_[~got]
+        return out
 
 
 class Model:
     """The broadcast part of a trained model; its size has fixed bounds.
 
-    ``words_open`` and ``pairs_open`` say that the filter lacks some words or pairs that were seen.
+    ``words_open`` and ``pairs_open`` say that the blocks lack some words or pairs that were seen.
     """
 
-    def __init__(self, filter_: bloom.Bloom, n: int, v: int, ratio: np.ndarray, common: tuple[np.ndarray, np.ndarray], base: float, words_open: bool, pairs_open: bool):
-        self.filter, self.n, self.v, self.ratio, self.common, self.base = filter_, n, v, ratio, common, base
+    def __init__(self, blocks: Blocks, n: int, v: int, ratio: np.ndarray, common: tuple[np.ndarray, np.ndarray], base: float, words_open: bool, pairs_open: bool):
+        self.blocks, self.n, self.v, self.ratio, self.common, self.base = blocks, n, v, ratio, common, base
         self.words_open, self.pairs_open = words_open, pairs_open
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: the middle of the last level found, 0 if none."""
-        level = self.filter.levels(keys, MOST_LEVELS).astype(float)
-        return np.where(level > 0, np.maximum((self.base ** (level - 1) + self.base**level - 1) / 2, 1.0), 0.0)
+        """Quantised counts: the middle of the last level found, 0 if none. The keys are all words or all pairs."""
+        return _middle(self.blocks.levels(keys), self.base)
 
     def types(self, before: np.ndarray) -> np.ndarray:
         """Different followers of a history for each time it occurs."""
@@ -154,59 +258,43 @@ def train(docs: DataFrame, text_col: str = "text", **options: float) -> tuple[Mo
 
 
 def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_words: int = COMMON_WORDS, base: float = LOG_BASE) -> tuple[Model, DataFrame, DataFrame]:
-    """(model, word counts (key, n), quantised counts (key, count) of the n-grams that the filter lacks) of all texts."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, tokens = np.zeros(1 << CLASS_BITS, dtype=np.int64), np.zeros(1 << CLASS_BITS, dtype=np.int64)
-        names = ["kind", "key", "n"]
-        for batch in batches:
-            key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-            pair = (key & 1) == 1
-            which = ((key[pair].view(U64) >> U64(1)) & _CLASS).astype(np.int64)
-            types += np.bincount(which, minlength=len(types))
-            tokens += np.bincount(which, weights=n[pair], minlength=len(types)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(key), pa.array(n)], names=names)
-        some = np.flatnonzero(types)
-        for kind, x in ((2, types), (3, tokens)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, dtype=np.int32)), pa.array(some), pa.array(x[some])], names=names)
-
-    rows = materialize(ngram_counts(docs, text_col).mapInArrow(split, "kind int, key long, n long"), "counts")
-    single = rows.where("kind = 0").select("key", "n")
-    n, v = single.agg(F.sum("n"), F.count("*")).first()
-    n, v = n or 0, v or 0
-    classes = rows.where("kind > 1").groupBy("key").agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("t"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("c")).toPandas()
+    """(model, word counts (key, n), blocks (segment, place, bits) of pairs that are not in the model) of all texts."""
+    rows, segments = _counted(docs, text_col, base, BITS_PER_ENTRY)
+    single = rows.where(F.col("kind") == _WORD).select("key", "n")
+    classes = rows.where(F.col("kind").isin(_TYPES, _TIMES)).groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    types, times = (classes[classes["kind"] == k] for k in (_TYPES, _TIMES))
     ratio = np.ones(1 << CLASS_BITS)
-    ratio[classes["key"].to_numpy(dtype=np.int64)] = classes["t"].to_numpy(dtype=float) / np.maximum(classes["c"].to_numpy(dtype=float), 1)
-
-    # entries of each order and level, to see what the filter can hold
-    level = F.least(F.lit(MOST_LEVELS), F.floor(F.ln("n") / math.log(base) + 1e-9) + 1).cast("int")
-    levels = rows.where("kind < 2").withColumn("level", level)
-    histogram = {(r["kind"], r["level"]): r["count"] for r in levels.groupBy("kind", "level").count().collect()}
-    room, least = max_bits / BITS_PER_ENTRY, {0: 1, 1: 1}
-
-    def entries() -> int:
-        return sum(c * lv for (k, lv), c in histogram.items() if lv >= least[k])
-
-    while entries() > room and max(least.values()) < MOST_LEVELS:
-        least[1 if least[1] <= least[0] + 2 else 0] += 1
-    bits = bloom.size_for(entries(), BITS_PER_ENTRY, max_bits)
-    inside = F.col("level") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])
-    kept, lacking = levels.where(inside), levels.where(~inside)
-    middle = F.greatest((F.pow(F.lit(base), F.col("level") - 1) + F.pow(F.lit(base), F.col("level")) - 1) / 2, F.lit(1.0))
-    filter_ = bloom.build(kept.select("key", F.lit(1).alias("first"), F.col("level").alias("last")), bits, HASHES)
-
-    # the most frequent words, as many as fit: all above a count taken from the histogram
-    heads, floor_, room = sorted(((lv, c) for (k, lv), c in histogram.items() if k == 0), reverse=True), MOST_LEVELS + 1, common_words
-    for lv, c in heads:
-        room -= c
+    ratio[types["key"]] = types["n"]
+    ratio[times["key"]] /= times["n"]
+
+    # the most frequent words, as many as there is room for: all above a count taken from the levels
+    level = F.least(F.lit(MOST_LEVELS), F.floor(F.ln("n") / math.log(base) + 1e-9) + 1)
+    histogram = single.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+    n, v = sum(r["n"] for r in histogram), sum(r["v"] for r in histogram)
+    floor_, room = MOST_LEVELS + 1, common_words
+    for r in histogram:
+        room -= r["v"]
         if room < 0:
             break
-        floor_ = lv
-    common = levels.where((F.col("kind") == 0) & (F.col("level") >= floor_)).select("key", "n").toArrow()
+        floor_ = r["level"]
+    common = single.where(level >= floor_).toArrow()
     keys, counts = common.column("key").to_numpy().view(U64), common.column("n").to_numpy()
-    order = np.argsort(keys)
-    is_open = [any(c and lv < least[kind] for (k, lv), c in histogram.items() if k == kind) for kind in (0, 1)]
-    return Model(filter_, n, v, ratio, (keys[order], counts[order]), base, *is_open), single, lacking.select("key", middle.alias("count"))
+    by_key = np.argsort(keys)
+
+    # the classes that are broadcast: pairs leave first, by rising counts
+    block = rows.where(F.col("kind") == _BLOCK)
+    order, kind = F.floor(F.col("key") / len(CLASSES)) % 2, F.col("key") % len(CLASSES)
+    sizes = {(r["o"], r["c"]): 64 * r["n"] for r in block.groupBy(order.alias("o"), kind.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    least = [0, 0]
+    while sum(x for (o, c), x in sizes.items() if c >= least[o]) > max_bits:
+        least[1 if least[1] <= least[0] + 1 and least[1] < len(CLASSES) else 0] += 1
+    inside = kind >= F.when(order == 0, least[0]).otherwise(least[1])
+    got = block.where(inside).select("key", "bits").toArrow()
+    places, blocks = got["key"].to_numpy(), [np.frombuffer(b.as_buffer(), dtype="<u8") for b in got["bits"]]
+    is_open = [any(x and c < least[o] for (o, c), x in sizes.items() if o == own) for own in (0, 1)]
+    model = Model(Blocks(places, blocks, segments), n, v, ratio, (keys[by_key], counts[by_key]), base, *is_open)
+    lacking = block.where(~inside & (order == 1)).select(F.floor(F.col("key") / (2 * len(CLASSES))).alias("segment"), F.col("key").alias("place"), "bits")
+    return model, single, lacking
 
 
 def _lists(row: np.ndarray, item: np.ndarray, n: int, arrays: dict[str, np.ndarray]) -> list[pa.Array]:
@@ -225,7 +313,7 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
     each text, so a null or empty text is an end alone. base_score is exact: log10((c + 1) / (N + V + 1)) over the
     tokens, counts of words being equal where 64-bit hashes of words are; counts of common words are at hand in
     every task, and rows of the other words are joined with their counts. score is log10 of the model's
-    probability; tokens that the filter does not tell are joined with the counts it lacks, if there are any. Null ids
+    probability; tokens that the broadcast blocks do not tell are sent to the other blocks, if there are any. Null ids
     and repeated rows are scored like others; a table without training rows gives every token the same
     probability; an empty table gives an empty result.
     """
@@ -286,11 +374,12 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
                 row_id += n
 
     scored = materialize(slim.mapInArrow(run, schema), "scored")
+    shared.unpersist()
     rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     known = rare.join(singles, "key")
     more = known.select("row", F.col("times").cast("long").alias("known"), (F.col("times") * F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("score"))
     if model.words_open or model.pairs_open:
-        more = more.union(_untold(scored, lacking, model))
+        more = more.union(_untold(scored, singles, lacking, model))
     found = more.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more"), F.sum("score").alias("more_score"))
     out = scored.select("id", "held_out", "row", "n_tokens", "n_known", "base", "score").join(found, "row", "left")
     floor_ = F.lit(math.log10(model.n + model.v + 1))
@@ -305,28 +394,39 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
     )
 
 
-def _untold(scored: DataFrame, lacking: DataFrame, model: Model) -> DataFrame:
-    """(row, 0, 0.0, log10 probability) of the tokens that the filter does not tell, by joins with what it lacks."""
+def _untold(scored: DataFrame, words_: DataFrame, lacking: DataFrame, model: Model) -> DataFrame:
+    """(row, known 0, base 0.0, score): log10 probabilities of the tokens that the model does not tell.
+
+    Words that its blocks lack are joined with their counts. Pairs go to their segment's blocks, two numbers with
+    each: those that the pair's own count is added to, T(h) P(w), and held under, c(h).
+    """
     names = ["pair", "word", "before", "count", "history", "types", "often"]
     rows = scored.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *[F.col(f"x.{c}").alias(c) for c in names])
     if model.words_open:
-        words_ = lacking.where(F.col("key") % 2 == 0)
+        level = F.least(F.lit(MOST_LEVELS), F.floor(F.ln("n") / math.log(model.base) + 1e-9) + 1)
+        middle = F.greatest((F.pow(F.lit(model.base), level - 1) + F.pow(F.lit(model.base), level) - 1) / 2, F.lit(1.0))
         for key, count in (("word", "count"), ("before", "history")):
             told, rest = rows.where(F.col(key) == 0), rows.where(F.col(key) != 0)
-            rest = rest.join(words_.select(F.col("key").alias(key), F.col("count").alias("seen")), key, "left")
+            rest = rest.join(words_.select(F.col("key").alias(key), middle.alias("seen")), key, "left")
             rows = told.unionByName(rest.withColumn(count, F.coalesce("seen", F.col(count))).select(told.columns))
-    rows = rows.select("row", "pair", "count", "history", "types", "often")
-    if model.pairs_open:
-        rows = rows.join(lacking.where(F.col("key") % 2 != 0).select(F.col("key").alias("pair"), F.col("count").alias("both")), "pair", "left")
-    else:
-        rows = rows.withColumn("both", F.lit(None).cast("double"))
-    return rows.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("often") * _log10(model)).alias("score"))
-
-
-def _log10(model: Model) -> Column:
-    """Model.smoothed as a column of (both, count, history, types)."""
     own = (F.col("count") + 1) / (model.n + model.v + 1)
-    history = F.col("history")
-    types = F.greatest(history * F.col("types"), F.lit(LEAST_TYPES))
-    both = F.least(F.coalesce("both", F.lit(0.0)), history)
-    return F.log10(F.when((history > 0) & (F.col("types") >= 0), (both + types * own) / (history + types)).otherwise(own))
+    followed = (F.col("history") > 0) & (F.col("types") >= 0)
+    types = F.greatest(F.col("history") * F.col("types"), F.lit(LEAST_TYPES))
+    rows = rows.select("row", "pair", "often", followed.alias("followed"), own.alias("own"), "history", (types * own).alias("added"), (F.col("history") + types).alias("whole"))
+    alone = F.when(F.col("followed"), -F.log10("whole")).otherwise(F.log10("own"))
+    segment = F.shiftrightunsigned("pair", 40).bitwiseAND(F.lit(model.blocks.segments - 1))
+    asked = rows.where("followed").select(segment.alias("segment"), "row", "pair", F.col("history").cast("float").alias("history"), F.col("added").cast("float").alias("added"), "often")
+    base = model.base
+
+    def probe(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        keys = asked["pair"].to_numpy().view(U64)
+        have = Blocks(blocks["place"].to_numpy() % (2 * len(CLASSES)), [np.frombuffer(b, dtype="<u8") for b in blocks["bits"].to_pylist()], 1)
+        history, added, often, row = (asked[c].to_numpy().astype(t) for c, t in (("history", float), ("added", float), ("often", float), ("row", np.int64)))
+        different, at = np.unique(keys, return_inverse=True)
+        both = np.minimum(_middle(have.levels(different), base)[at], history)
+        who, at = np.unique(row, return_inverse=True)
+        return pa.table({"row": who, "score": np.bincount(at, weights=often * np.log10(both + added), minlength=len(who))})
+
+    told = asked.groupBy("segment").cogroup(lacking.groupBy("segment")).applyInArrow(probe, "row long, score double")
+    out = told.union(rows.select("row", F.col("often") * alone))
+    return out.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
