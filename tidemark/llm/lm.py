@@ -34,12 +34,15 @@ CLASS_BITS = 16
 COMMON_WORDS = 1 << 19
 #: Bits of the blocks that are broadcast, at most.
 MAX_BITS = 1 << 29
+#: Bits up to which blocks of pairs below this class are broadcast too; they are most of the bits and tell the least.
+MAX_RARE_BITS = 1 << 24
+FREQUENT = 2
 BITS_PER_ENTRY = 10
 #: The lowest level of each class of blocks.
 CLASSES = np.array([1, 2, 3, 5, 9, 14])
 LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts.
-_HELD = 1 << 22
+_HELD = 1 << 23
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
 START = int(mix(np.array([0x5354415254], dtype=U64))[0])
@@ -285,13 +288,14 @@ def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_wo
     block = rows.where(F.col("kind") == _BLOCK)
     order, kind = F.floor(F.col("key") / len(CLASSES)) % 2, F.col("key") % len(CLASSES)
     sizes = {(r["o"], r["c"]): 64 * r["n"] for r in block.groupBy(order.alias("o"), kind.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    least = [0, 0]
+    least = [0, FREQUENT if sum(x for (o, c), x in sizes.items() if o == 1 and c < FREQUENT) > MAX_RARE_BITS else 0]
     while sum(x for (o, c), x in sizes.items() if c >= least[o]) > max_bits:
         least[1 if least[1] <= least[0] + 1 and least[1] < len(CLASSES) else 0] += 1
     inside = kind >= F.when(order == 0, least[0]).otherwise(least[1])
     got = block.where(inside).select("key", "bits").toArrow()
     places, blocks = got["key"].to_numpy(), [np.frombuffer(b.as_buffer(), dtype="<u8") for b in got["bits"]]
     is_open = [any(x and c < least[o] for (o, c), x in sizes.items() if o == own) for own in (0, 1)]
+    del got
     model = Model(Blocks(places, blocks, segments), n, v, ratio, (keys[by_key], counts[by_key]), base, *is_open)
     lacking = block.where(~inside & (order == 1)).select(F.floor(F.col("key") / (2 * len(CLASSES))).alias("segment"), F.col("key").alias("place"), "bits")
     return model, single, lacking
@@ -379,7 +383,9 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
     known = rare.join(singles, "key")
     more = known.select("row", F.col("times").cast("long").alias("known"), (F.col("times") * F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("score"))
     if model.words_open or model.pairs_open:
-        more = more.union(_untold(scored, singles, lacking, model))
+        told = materialize(_untold(scored, singles, lacking, model), "told")
+        release(docs.sparkSession)
+        more = more.union(told)
     found = more.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more"), F.sum("score").alias("more_score"))
     out = scored.select("id", "held_out", "row", "n_tokens", "n_known", "base", "score").join(found, "row", "left")
     floor_ = F.lit(math.log10(model.n + model.v + 1))
@@ -429,4 +435,4 @@ def _untold(scored: DataFrame, words_: DataFrame, lacking: DataFrame, model: Mod
 
     told = asked.groupBy("segment").cogroup(lacking.groupBy("segment")).applyInArrow(probe, "row long, score double")
     out = told.union(rows.select("row", F.col("often") * alone))
-    return out.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
+    return out.groupBy("row").agg(F.sum("score").alias("score")).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
