@@ -7,15 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shape, text_key
 from .components import connected_components
-from .textarrays import chunks, lower
+from .textarrays import U64, chunks, lower, mix
 
 #: The even bits: one of each two-bit segment.
-_EVEN = 0x5555555555555555
+_EVEN = U64(0x5555555555555555)
 _BLOCK = 1 << 16
 
 
@@ -60,53 +60,204 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, schema)
 
 
-def segment_popcounts(fingerprint: Column) -> Column:
-    """The 32 popcounts (0, 1 or 2) of the two-bit segments, as the two-bit digits of one long."""
-    low = fingerprint.bitwiseAND(F.lit(_EVEN))
-    high = F.shiftrightunsigned(fingerprint, 1).bitwiseAND(F.lit(_EVEN))
-    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+def segment_popcounts(fingerprints: np.ndarray) -> np.ndarray:
+    """The 32 popcounts (0, 1 or 2) of the two-bit segments, as the two-bit digits of one number."""
+    low, high = fingerprints & _EVEN, (fingerprints >> U64(1)) & _EVEN
+    return ((low & high) << U64(1)) | (low ^ high)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Grid:
+    """Cells of the popcounts of some segments of one fingerprint word.
 
+    Words within Manhattan distance ``radius`` there share a cell: with radius 1 each word lies in its own cell and
+    in those one step up along an axis, with radius 2 in its own and in those one step up or down (two words meet
+    half way).
+    """
 
-def grid_axes(max_distance: int) -> list[tuple[list[int], int]]:
-    """(segments, radius) of each grid: radii of 1 or 0 with the sum of radius+1 equal to max_distance+1.
+    def __init__(self, word: int, segments: list[int], radius: int):
+        self.word, self.segments, self.radius = word, segments, radius
+        self.mask = U64(sum(3 << (2 * s) for s in segments))
 
-    Were the Manhattan distance above the radius in every grid, the sum would exceed max_distance; so each
-    pair within it meets in one grid at least.
-    """
-    radii = [1] * ((max_distance + 1) // 2) + [0] * ((max_distance + 1) % 2)
+    def cells(self, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cells) of each step; the own cells come first."""
+        own, salt = counts & self.mask, mix(np.array([self.word * 64 + self.segments[0]], dtype=U64))
+        rows = np.arange(len(counts))
+        out = [(rows, mix(own ^ salt))]
+        for s in self.segments if self.radius else []:
+            digit = (counts >> U64(2 * s)) & U64(3)
+            # one step between 0 and 1 flips the low bit of a digit, one between 1 and 2 both
+            for moves, flips_low in ((digit < 2, digit == 0), *([(digit > 0, digit == 1)] if self.radius > 1 else [])):
+                at = rows[moves]
+                step = np.where(flips_low[at], U64(1 << (2 * s)), U64(3 << (2 * s)))
+                out.append((at, mix((own[at] ^ step) ^ salt)))
+        return out
+
+
+def _cut(word: int, radii: list[int]) -> list[Grid]:
     cuts = np.linspace(0, 32, len(radii) + 1).round().astype(int)
-    return [(list(range(i, j)), r) for i, j, r in zip(cuts[:-1], cuts[1:], radii, strict=True)]
+    return [Grid(word, list(range(i, j)), r) for i, j, r in zip(cuts[:-1], cuts[1:], radii, strict=True)]
+
+
+def exact_grids(max_distance: int, n: int) -> list[Grid]:
+    """Grids of one word in which each pair within ``max_distance`` bits meets, for ``n`` fingerprints.
+
+    Were the Manhattan distance above the radius in every grid, the sum would exceed max_distance, as the radii
+    plus one add up to max_distance + 1. Fewer grids of radius 2 have rarer cells and more rows, which pays in
+    large tables.
+    """
+    fine = [1] * ((max_distance + 1) // 2) + [0] * ((max_distance + 1) % 2)
+    coarse = [2] * ((max_distance + 1) // 3) + [(max_distance + 1) % 3 - 1] * ((max_distance + 1) % 3 > 0)
+    return _cut(0, min((fine, coarse), key=lambda radii: _work(_cut(0, radii), n)))
+
+
+def _work(grids: list[Grid], n: int) -> float:
+    """Rows of all cells and, 200 of which cost about as much, comparisons of random fingerprints."""
+    rows, chance = 0.0, 0.0
+    for g in grids:
+        m = len(g.segments)
+        rows += 1 + (0, 0.75, 1.5)[g.radius] * m
+        meets = [(3 / 8) ** m, m / 2 * (3 / 8) ** (m - 1) if m else 0, (m * (m - 1) / 8 * (3 / 8) ** (m - 2) + m / 8 * (3 / 8) ** (m - 1)) if m > 1 else 0]
+        chance += sum(meets[: g.radius + 1])
+    return n * rows + n * n / 2 * chance / 200
+
+
+#: Distinct fingerprints of one cell beyond which it is split into pairs of blocks.
+CROWDED = 50_000
+_SMALL = 32
+
+
+def _members(rows: DataFrame, grids: list[Grid], carry: list[str], own_only: bool = False) -> DataFrame:
+    """(cell, *carry) of each row (words array<bigint>, ...) for each cell that it lies in.
+
+    ``carry`` may name ``other``: a word of the row's that the cell was not made from.
+    """
+    kept = [c for c in carry if c != "other"]
+    schema = shape(rows.select(*kept), "cell long" + (", other long" if "other" in carry else ""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words_ = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(U64).reshape(len(batch), -1)
+            for g in grids:
+                steps = g.cells(segment_popcounts(words_[:, g.word]))[: 1 if own_only else None]
+                at = np.concatenate([r for r, _ in steps])
+                columns = [batch.column(c).take(pa.array(at)) for c in kept]
+                columns.append(pa.array(np.concatenate([c for _, c in steps]).view(np.int64)))
+                if "other" in carry:
+                    columns.append(pa.array(words_[at, (g.word + 1) % words_.shape[1]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.select("words", *kept).mapInArrow(run, schema)
+
+
+def _split(rows: DataFrame, grids: list[Grid], carry: list[str]) -> DataFrame:
+    """_members, where a cell of more than CROWDED is one for each pair of its blocks."""
+    members = _members(rows, grids, carry)
+    own = _members(rows, grids, [], own_only=True).groupBy("cell").count().where(F.col("count") > CROWDED / 32)
+    if own.isEmpty():
+        return members
+    sizes = members.groupBy("cell").count().where(F.col("count") > CROWDED).select("cell", F.ceil(F.col("count") / CROWDED).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cell", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other_block", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(F.lit(0)))))
+    pair = F.xxhash64("cell", F.least("block", "other_block"), F.greatest("block", "other_block"))
+    return placed.withColumn("cell", F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(pair)).select(members.columns)
+
+
+def _near_in_cell(bits: np.ndarray, group: np.ndarray, limit: int, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions within ``limit`` bits and of different groups: all of them, or a spanning forest if many."""
+    a, b, found = [], [], 0
+    for i in range(0, len(bits), 256):
+        near = np.bitwise_count(bits[i : i + 256, None] ^ bits[i:]) <= limit
+        near &= group[i : i + 256, None] != group[i:]
+        p, q = np.nonzero(near)
+        later = p < q
+        a.append(i + p[later])
+        b.append(i + q[later])
+        found += len(a[-1])
+        if found > 8 * len(bits) and not all_pairs:
+            return _forest(bits, group, limit)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _forest(bits: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``limit`` bits; the members of a group count as joined already."""
+    a, b, rest = [], [], np.arange(len(bits))
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            now, front = front[:64], front[64:]
+            near = np.bitwise_count(bits[now, None] ^ bits[rest]) <= limit
+            hit = near.any(0)
+            a.append(now[near.argmax(0)[hit]])
+            b.append(rest[hit])
+            front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+    none = np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+    other = group[a] != group[b]
+    return a[other], b[other]
+
+
+def _pairs_in_cells(members: DataFrame, bits_col: str, limit: int, group_col: str = "node", all_pairs: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes that share a cell and whose ``bits_col`` differ in at most ``limit`` bits.
+
+    A cell's pairs are all compared, and where nearly all of many are near, a spanning forest of them is given (unless
+    ``all_pairs``): a large group of near fingerprints costs rows in proportion to its size.
+    """
+    columns = list(dict.fromkeys(["cell", "node", bits_col, group_col]))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select(*columns).repartition(parts, "cell").sortWithinPartitions("cell")
+
+    def told(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {c: np.concatenate([h[c] for h in held]) for c in columns}
+        cell, node, bits, group = x["cell"], x["node"], x[bits_col].view(U64), x[group_col]
+        heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sizes = np.diff(np.append(heads, len(cell)))
+        a, b = [], []
+        small = np.repeat(sizes <= _SMALL, sizes)
+        at = np.flatnonzero(small)
+        for d in range(1, min(_SMALL, int(sizes.max()))):
+            p, q = at[:-d], at[d:]
+            p, q = p[cell[p] == cell[q]], q[cell[p] == cell[q]]
+            near = (np.bitwise_count(bits[p] ^ bits[q]) <= limit) & (group[p] != group[q])
+            a.append(node[p[near]])
+            b.append(node[q[near]])
+        for i in np.flatnonzero(sizes > _SMALL).tolist():
+            part = slice(heads[i], heads[i] + sizes[i])
+            p, q = _near_in_cell(bits[part], group[part], limit, all_pairs)
+            a.append(node[part][p])
+            b.append(node[part][q])
+        none = np.zeros(0, dtype=np.int64)
+        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            held.append(new)
+            size += len(batch)
+            # a cell is compared once its last row is there
+            last = int(np.searchsorted(new["cell"], new["cell"][-1])) if len(batch) else 0
+            if size > 1 << 17 and last:
+                yield told([*held[:-1], {c: x[:last] for c, x in new.items()}])
+                held, size = [{c: x[last:] for c, x in new.items()}], len(batch) - last
+        if size:
+            yield told(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_fingerprints(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that differ in at most ``max_distance`` bits (at least one way round).
+def similar_fingerprints(distinct: DataFrame, max_distance: int = 4, n: int | None = None) -> DataFrame:
+    """Links (a, b) between different fingerprints that differ in at most ``max_distance`` bits.
 
-    The Manhattan distance between segment popcounts is a lower bound of the Hamming distance. Each fingerprint
-    lies in one cell of every grid, and looks into its own cell and those one step up along one axis; a pair is
-    verified exactly inside the join, so no candidate is written.
+    The Manhattan distance between segment popcounts is a lower bound of the Hamming distance, so each such pair
+    meets in a cell, where it is verified exactly. Pairs of a crowded cell may be given as a spanning forest: what
+    is reachable by links stays so.
     """
-    embedded = distinct.select("fingerprint", segment_popcounts(F.col("fingerprint")).alias("counts"))
-    homes, probes = [], []
-    for g, (segments, radius) in enumerate(grid_axes(max_distance)):
-        mask = sum(3 << (2 * s) for s in segments)
-        cell = F.col("counts").bitwiseAND(F.lit(_signed(mask)))
-        homes.append(F.struct(F.lit(g).cast("byte").alias("grid"), cell.alias("cell")))
-        probes.append(F.struct(F.lit(g).cast("byte").alias("grid"), cell.alias("cell"), F.lit(False).alias("up")))
-        for s in segments if radius else []:
-            digit = F.shiftrightunsigned(F.col("counts"), 2 * s).bitwiseAND(F.lit(3))
-            # a digit one higher: 0 to 1 flips its low bit, 1 to 2 both
-            above = F.when(digit == 0, F.lit(_signed(1 << (2 * s)))).otherwise(F.lit(_signed(3 << (2 * s))))
-            upper = F.struct(F.lit(g).cast("byte").alias("grid"), cell.bitwiseXOR(above).alias("cell"), F.lit(True).alias("up"))
-            probes.append(F.when(digit < 2, upper))
-    home = embedded.select(F.col("fingerprint").alias("a"), F.explode(F.array(*homes)).alias("h")).select("a", "h.*")
-    probe = embedded.select(F.col("fingerprint").alias("b"), F.explode(F.filter(F.array(*probes), lambda x: x.isNotNull())).alias("p")).select("b", "p.*")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    on = (home.grid == probe.grid) & (home.cell == probe.cell) & near & (F.col("up") | (F.col("a") < F.col("b")))
-    return home.join(probe, on).select("a", "b")
+    grids = exact_grids(max_distance, distinct.count() if n is None else n)
+    rows = distinct.select(F.col("fingerprint").alias("node"), F.array("fingerprint").alias("words"))
+    return _pairs_in_cells(_split(rows, grids, ["node"]), "node", max_distance)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4, seed: int = 42) -> DataFrame:
