@@ -25,6 +25,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 _STEP = U64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 16
+#: Sets of one candidate group that one task compares, or of each of two blocks of a larger group.
+BLOCK = 1000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,50 +122,81 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fingerprint long, shingles array<bigint>").groupBy("fingerprint").agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, bits: int) -> DataFrame:
-    """The pairs (a, b) whose fingerprints are near enough and whose sets are as similar as asked."""
-
-    def of(end: str, name: str, rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("fingerprint").alias(end), *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c != "fingerprint"])
-
-    slim = classes.select("fingerprint", "size", "words")
-    near = pairs.distinct().join(of("a", "x", slim), "a").join(of("b", "y", slim), "b")
-    distance = F.aggregate(F.zip_with("words_x", "words_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    alike = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y")
-    near = materialize(near.where(alike & (distance <= _most_bits(similarity, bits))).select("a", "b"), "near")
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(_whole_sets(docs, nodes, width), "sets")
-    common = F.size(F.array_intersect("shingles_x", "shingles_y"))
-    union = F.size("shingles_x") + F.size("shingles_y") - common
-    return near.join(of("a", "x", sets), "a").join(of("b", "y", sets), "b").where(common >= similarity * union).select("a", "b")
+def _forest(owner: np.ndarray, h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the sets 0..k-1 (rows owner, h) that are as similar as asked."""
+    starts = np.searchsorted(owner, np.arange(owner[-1] + 1))
+    sizes = np.diff(np.append(starts, len(h)))
+    values, place = np.unique(h, return_inverse=True)
+    mark = np.zeros(len(values), dtype=bool)
+    out, rest = [], np.ones(len(sizes), dtype=bool)
+    for first in range(len(sizes)):
+        if not rest[first]:
+            continue
+        front, rest[first] = [first], False
+        while front and rest.any():
+            i = front.pop()
+            own = place[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[place], starts, dtype=np.int64)
+            mark[own] = False
+            for j in np.flatnonzero(rest & (common >= similarity * (sizes[i] + sizes - common))).tolist():
+                out.append((i, j))
+                front.append(j)
+                rest[j] = False
+    return out
+
+
+def _links(near: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all sets as similar as asked, given what may be similar: (node, component).
+
+    Each set goes once to its component, where sets are compared exactly; a component of more than BLOCK is cut into
+    blocks, and goes once to each pair of them. Small components share groups.
+    """
+    near = materialize(near, "candidates")
+    sets = _whole_sets(docs, near.select("node"), width).join(near, F.col("fingerprint") == F.col("node"))
+    sets = materialize(sets.select("component", "node", "shingles"), "sets")
+    sizes = sets.groupBy("component").agg(F.count("*").alias("size"))
+    placed = sets.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bins = F.pmod(F.xxhash64("component"), F.lit(max(near.count() // BLOCK, 1)))
+    group = F.when(F.col("blocks") > 1, F.col("component")).otherwise(bins)
+    placed = placed.select("component", "node", "shingles", group.alias("g"), (F.col("blocks") > 1).alias("large"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        component, node = table.column("component").to_numpy(), table.column("node").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        order = np.argsort(component, kind="stable")
+        a, b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            sets = [flat[bounds[i] : bounds[i + 1]] for i in at]
+            for i, j in _forest(np.repeat(np.arange(len(at)), [len(x) for x in sets]), np.concatenate(sets), similarity):
+                a.append(node[at[i]])
+                b.append(node[at[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.groupBy("large", "g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, text_key, fingerprint, component_id): groups of documents linked by a Jaccard similarity of shingles.
 
     Equal sets are one class. No pair of sets less similar than ``similarity`` links; of those exactly as similar
-    about 4% are missed as pairs, more similar ones hardly ever. First the classes that meet in the grids of one
-    word link, where many meet along a spanning forest; then those in different groups that meet in any grid are
-    compared. Texts without words are one class. Null ids and repeated rows are treated as by
-    simhash.near_duplicates.
+    about 4% are missed as pairs, more similar ones hardly ever. Classes that meet in a grid and whose fingerprints
+    are near form groups, by a spanning forest where many meet; within a group all sets are compared, exactly. Texts
+    without words are one class. Null ids and repeated rows are treated as by simhash.near_duplicates.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     grids = _plan(rows.count(), similarity)
-    count = 1 + max(g.word for g in grids)
-    marked = materialize(_prints(rows, width, count), "prints")
+    marked = materialize(_prints(rows, width, 1 + max(g.word for g in grids)), "prints")
     classes = materialize(marked.groupBy("fingerprint").agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("words").alias("words")), "classes")
     own = classes.where("size > 0").select(F.col("fingerprint").alias("node"), "words")
-    most = _most_bits(similarity, 64)
-    some = _pairs_in_cells(_split(own, [g for g in grids if g.word == 0], ["node", "other"]), "other", most)
-    links = materialize(_verified(some, classes, rows, width, similarity, 64 * count), "links")
-    grouped = connected_components(links)
-    told = materialize(own.join(grouped, "node", "left").select("node", "words", F.coalesce("component", "node").alias("component")), "told")
-    release(spark)
-    rest = _pairs_in_cells(_split(told, grids, ["node", "other", "component"]), "other", most, "component", all_pairs=True)
-    more = materialize(_verified(rest, classes, rows, width, similarity, 64 * count), "more")
+    bits = ["next_word", "second_word"]
+    near = materialize(_pairs_in_cells(_split(own, grids, bits), bits, _most_bits(similarity, 128)), "near")
     release(spark)
-    linked = connected_components(links.union(more))
+    linked = connected_components(_links(connected_components(near), rows, width, similarity))
     joined = classes.join(linked, classes.fingerprint == linked.node, "left").select("fingerprint", "first_id", "component")
     named = joined.where("component is not null").groupBy("component").agg(F.min("first_id").alias("smallest"))
     labelled = joined.join(named, "component", "left").select("fingerprint", F.coalesce("smallest", "first_id").alias("component_id"))

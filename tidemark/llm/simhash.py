@@ -126,32 +126,30 @@ CROWDED = 50_000
 _SMALL = 32
 
 
-def _members(rows: DataFrame, grids: list[Grid], carry: list[str], own_only: bool = False) -> DataFrame:
-    """(cell, *carry) of each row (words array<bigint>, ...) for each cell that it lies in.
+def _members(rows: DataFrame, grids: list[Grid], bits: list[str], own_only: bool = False) -> DataFrame:
+    """(cell, node, *bits) of each row (node, words array<bigint>) for each cell that it lies in.
 
-    ``carry`` may name ``other``: a word of the row's that the cell was not made from.
+    ``bits`` names columns for the words that come after the one that the cell was made from, in a ring.
     """
-    kept = [c for c in carry if c != "other"]
-    schema = shape(rows.select(*kept), "cell long" + (", other long" if "other" in carry else ""))
+    names = ["node", "cell", *bits]
+    schema = ", ".join(f"{c} long" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_ = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(U64).reshape(len(batch), -1)
+            node = batch.column("node").to_numpy(zero_copy_only=False)
             for g in grids:
                 steps = g.cells(segment_popcounts(words_[:, g.word]))[: 1 if own_only else None]
-                at = np.concatenate([r for r, _ in steps])
-                columns = [batch.column(c).take(pa.array(at)) for c in kept]
-                columns.append(pa.array(np.concatenate([c for _, c in steps]).view(np.int64)))
-                if "other" in carry:
-                    columns.append(pa.array(words_[at, (g.word + 1) % words_.shape[1]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                at, cell = np.concatenate([r for r, _ in steps]), np.concatenate([c for _, c in steps])
+                others = [words_[at, (g.word + i) % words_.shape[1]] for i in range(1, len(bits) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), *(pa.array(x.view(np.int64)) for x in (cell, *others))], names=names)
 
-    return rows.select("words", *kept).mapInArrow(run, schema)
+    return rows.select("words", "node").mapInArrow(run, schema)
 
 
-def _split(rows: DataFrame, grids: list[Grid], carry: list[str]) -> DataFrame:
+def _split(rows: DataFrame, grids: list[Grid], bits: list[str]) -> DataFrame:
     """_members, where a cell of more than CROWDED is one for each pair of its blocks."""
-    members = _members(rows, grids, carry)
+    members = _members(rows, grids, bits)
     own = _members(rows, grids, [], own_only=True).groupBy("cell").count().where(F.col("count") > CROWDED / 32)
     if own.isEmpty():
         return members
@@ -162,72 +160,72 @@ def _split(rows: DataFrame, grids: list[Grid], carry: list[str]) -> DataFrame:
     return placed.withColumn("cell", F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(pair)).select(members.columns)
 
 
-def _near_in_cell(bits: np.ndarray, group: np.ndarray, limit: int, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions within ``limit`` bits and of different groups: all of them, or a spanning forest if many."""
+def _apart(x: list[np.ndarray], p: np.ndarray | slice, q: np.ndarray | slice) -> np.ndarray:
+    """Differing bits between each of p and each of q."""
+    return sum(np.bitwise_count(b[p][:, None] ^ b[q]).astype(np.int16) for b in x)
+
+
+def _near_in_cell(x: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions within ``limit`` bits: all of them, or a spanning forest if there are many."""
     a, b, found = [], [], 0
-    for i in range(0, len(bits), 256):
-        near = np.bitwise_count(bits[i : i + 256, None] ^ bits[i:]) <= limit
-        near &= group[i : i + 256, None] != group[i:]
-        p, q = np.nonzero(near)
+    for i in range(0, len(x[0]), 256):
+        p, q = np.nonzero(_apart(x, slice(i, i + 256), slice(i, None)) <= limit)
         later = p < q
         a.append(i + p[later])
         b.append(i + q[later])
         found += len(a[-1])
-        if found > 8 * len(bits) and not all_pairs:
-            return _forest(bits, group, limit)
+        if found > 8 * len(x[0]):
+            return _forest(x, limit)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _forest(bits: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within ``limit`` bits; the members of a group count as joined already."""
-    a, b, rest = [], [], np.arange(len(bits))
+def _forest(x: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``limit`` bits."""
+    none = np.zeros(0, dtype=np.int64)
+    a, b, rest = [none], [none], np.arange(len(x[0]))
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             now, front = front[:64], front[64:]
-            near = np.bitwise_count(bits[now, None] ^ bits[rest]) <= limit
+            near = _apart(x, now, rest) <= limit
             hit = near.any(0)
             a.append(now[near.argmax(0)[hit]])
             b.append(rest[hit])
             front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
-    none = np.zeros(0, dtype=np.int64)
-    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-    other = group[a] != group[b]
-    return a[other], b[other]
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _pairs_in_cells(members: DataFrame, bits_col: str, limit: int, group_col: str = "node", all_pairs: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes that share a cell and whose ``bits_col`` differ in at most ``limit`` bits.
+def _pairs_in_cells(members: DataFrame, bits: list[str], limit: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a cell and differ in at most ``limit`` of the ``bits``.
 
-    A cell's pairs are all compared, and where nearly all of many are near, a spanning forest of them is given (unless
-    ``all_pairs``): a large group of near fingerprints costs rows in proportion to its size.
+    A cell's pairs are all compared, and where very many are near, a spanning forest of them is given: a large
+    group of near fingerprints costs rows in proportion to its size, and what is reachable stays so.
     """
-    columns = list(dict.fromkeys(["cell", "node", bits_col, group_col]))
+    columns = list(dict.fromkeys(["cell", "node", *bits]))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select(*columns).repartition(parts, "cell").sortWithinPartitions("cell")
 
     def told(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        x = {c: np.concatenate([h[c] for h in held]) for c in columns}
-        cell, node, bits, group = x["cell"], x["node"], x[bits_col].view(U64), x[group_col]
+        rows = {c: np.concatenate([h[c] for h in held]) for c in columns}
+        cell, node, x = rows["cell"], rows["node"], [rows[c].view(U64) for c in bits]
         heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         sizes = np.diff(np.append(heads, len(cell)))
-        a, b = [], []
-        small = np.repeat(sizes <= _SMALL, sizes)
-        at = np.flatnonzero(small)
+        none = np.zeros(0, dtype=np.int64)
+        a, b = [none], [none]
+        at = np.flatnonzero(np.repeat(sizes <= _SMALL, sizes))
         for d in range(1, min(_SMALL, int(sizes.max()))):
             p, q = at[:-d], at[d:]
             p, q = p[cell[p] == cell[q]], q[cell[p] == cell[q]]
-            near = (np.bitwise_count(bits[p] ^ bits[q]) <= limit) & (group[p] != group[q])
+            near = sum(np.bitwise_count(y[p] ^ y[q]).astype(np.int16) for y in x) <= limit
             a.append(node[p[near]])
             b.append(node[q[near]])
         for i in np.flatnonzero(sizes > _SMALL).tolist():
             part = slice(heads[i], heads[i] + sizes[i])
-            p, q = _near_in_cell(bits[part], group[part], limit, all_pairs)
+            p, q = _near_in_cell([y[part] for y in x], limit)
             a.append(node[part][p])
             b.append(node[part][q])
-        none = np.zeros(0, dtype=np.int64)
-        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +238,8 @@ def _pairs_in_cells(members: DataFrame, bits_col: str, limit: int, group_col: st
             # a cell is compared once its last row is there
             last = int(np.searchsorted(new["cell"], new["cell"][-1])) if len(batch) else 0
             if size > 1 << 17 and last:
-                yield told([*held[:-1], {c: x[:last] for c, x in new.items()}])
-                held, size = [{c: x[last:] for c, x in new.items()}], len(batch) - last
+                yield told([*held[:-1], {c: y[:last] for c, y in new.items()}])
+                held, size = [{c: y[last:] for c, y in new.items()}], len(batch) - last
         if size:
             yield told(held)
 
@@ -257,7 +255,7 @@ def similar_fingerprints(distinct: DataFrame, max_distance: int = 4, n: int | No
     """
     grids = exact_grids(max_distance, distinct.count() if n is None else n)
     rows = distinct.select(F.col("fingerprint").alias("node"), F.array("fingerprint").alias("words"))
-    return _pairs_in_cells(_split(rows, grids, ["node"]), "node", max_distance)
+    return _pairs_in_cells(_split(rows, grids, []), ["node"], max_distance)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4, seed: int = 42) -> DataFrame:
