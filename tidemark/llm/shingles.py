@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(marked.groupBy("fingerprint").agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("words").alias("words")), "classes")
     own = classes.where("size > 0").select(F.col("fingerprint").alias("node"), "words")
     bits = ["next_word", "second_word"]
-    near = materialize(_pairs_in_cells(_split(own, grids, bits), bits, _most_bits(similarity, 128)), "near")
+    near = materialize(_pairs_in_cells(_split(own, grids, bits), bits, _most_bits(similarity, 128), most=1).distinct(), "near")
     release(spark)
     linked = connected_components(_links(connected_components(near), rows, width, similarity))
     joined = classes.join(linked, classes.fingerprint == linked.node, "left").select("fingerprint", "first_id", "component")

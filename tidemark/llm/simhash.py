@@ -165,8 +165,8 @@ def _apart(x: list[np.ndarray], p: np.ndarray | slice, q: np.ndarray | slice) ->
     return sum(np.bitwise_count(b[p][:, None] ^ b[q]).astype(np.int16) for b in x)
 
 
-def _near_in_cell(x: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions within ``limit`` bits: all of them, or a spanning forest if there are many."""
+def _near_in_cell(x: list[np.ndarray], limit: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions within ``limit`` bits: all, or a spanning forest if there are over ``most`` a position."""
     a, b, found = [], [], 0
     for i in range(0, len(x[0]), 256):
         p, q = np.nonzero(_apart(x, slice(i, i + 256), slice(i, None)) <= limit)
@@ -174,7 +174,7 @@ def _near_in_cell(x: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarr
         a.append(i + p[later])
         b.append(i + q[later])
         found += len(a[-1])
-        if found > 8 * len(x[0]):
+        if found > most * len(x[0]):
             return _forest(x, limit)
     return np.concatenate(a), np.concatenate(b)
 
@@ -195,11 +195,12 @@ def _forest(x: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _pairs_in_cells(members: DataFrame, bits: list[str], limit: int) -> DataFrame:
+def _pairs_in_cells(members: DataFrame, bits: list[str], limit: int, most: int = 8) -> DataFrame:
     """Pairs (a, b) of nodes that share a cell and differ in at most ``limit`` of the ``bits``.
 
-    A cell's pairs are all compared, and where very many are near, a spanning forest of them is given: a large
-    group of near fingerprints costs rows in proportion to its size, and what is reachable stays so.
+    A cell's pairs are all compared, and where over ``most`` for each member are near, a spanning forest of them is
+    given: a large group of near fingerprints costs rows in proportion to its size, and what is reachable stays so.
+    Forests grow from the smallest nodes, so those of a group's many cells have most of their pairs in common.
     """
     columns = list(dict.fromkeys(["cell", "node", *bits]))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -217,13 +218,17 @@ def _pairs_in_cells(members: DataFrame, bits: list[str], limit: int) -> DataFram
             p, q = at[:-d], at[d:]
             p, q = p[cell[p] == cell[q]], q[cell[p] == cell[q]]
             near = sum(np.bitwise_count(y[p] ^ y[q]).astype(np.int16) for y in x) <= limit
-            a.append(node[p[near]])
-            b.append(node[q[near]])
-        for i in np.flatnonzero(sizes > _SMALL).tolist():
-            part = slice(heads[i], heads[i] + sizes[i])
-            p, q = _near_in_cell([y[part] for y in x], limit)
-            a.append(node[part][p])
-            b.append(node[part][q])
+            a.append(p[near])
+            b.append(q[near])
+        a, b = np.concatenate(a), np.concatenate(b)
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        whole = (sizes > _SMALL) | (np.bincount(place[a], minlength=len(sizes)) > most * sizes)
+        a, b = [node[a[~whole[place[a]]]]], [node[b[~whole[place[a]]]]]
+        for i in np.flatnonzero(whole).tolist():
+            part = heads[i] + np.argsort(node[heads[i] : heads[i] + sizes[i]])
+            p, q = _near_in_cell([y[part] for y in x], limit, most)
+            a.append(node[part[p]])
+            b.append(node[part[q]])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
