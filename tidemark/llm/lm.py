@@ -34,15 +34,12 @@ CLASS_BITS = 16
 COMMON_WORDS = 1 << 19
 #: Bits of the blocks that are broadcast, at most.
 MAX_BITS = 1 << 29
-#: Bits up to which blocks of pairs below this class are broadcast too; they are most of the bits and tell the least.
-MAX_RARE_BITS = 1 << 24
-FREQUENT = 2
 BITS_PER_ENTRY = 10
 #: The lowest level of each class of blocks.
 CLASSES = np.array([1, 2, 3, 5, 9, 14])
 LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts.
-_HELD = 1 << 23
+_HELD = 3 << 20
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
 START = int(mix(np.array([0x5354415254], dtype=U64))[0])
@@ -85,8 +82,12 @@ def _pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[heads], np.add.reduceat(counts[order], heads)
 
 
 def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -110,9 +111,12 @@ def _partial_counts(docs: DataFrame, text_col: str) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.concatenate(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
+            keys.sort()
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n = np.diff(np.append(heads, len(keys))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(keys[heads].view(np.int64)), pa.array(n)], names=["key", "n"])
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
@@ -155,11 +159,12 @@ def _counted(docs: DataFrame, text_col: str, base: float, bits_per_entry: float)
             return _summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
 
         for batch in batches:
-            held.append((batch.column("key").to_numpy().view(U64), batch.column("n").to_numpy()))
+            held.append((batch.column("key").to_numpy().view(U64).copy(), batch.column("n").to_numpy().astype(np.int64)))
             size += len(batch)
             if size > max(_HELD, len(keys)):
                 (keys, n), held, size = merged(), [], 0
         keys, n = merged()
+        held.clear()
         if not len(keys):
             return
         pair = (keys & U64(1)) == 1
@@ -288,7 +293,7 @@ def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_wo
     block = rows.where(F.col("kind") == _BLOCK)
     order, kind = F.floor(F.col("key") / len(CLASSES)) % 2, F.col("key") % len(CLASSES)
     sizes = {(r["o"], r["c"]): 64 * r["n"] for r in block.groupBy(order.alias("o"), kind.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    least = [0, FREQUENT if sum(x for (o, c), x in sizes.items() if o == 1 and c < FREQUENT) > MAX_RARE_BITS else 0]
+    least = [0, 0]
     while sum(x for (o, c), x in sizes.items() if c >= least[o]) > max_bits:
         least[1 if least[1] <= least[0] + 1 and least[1] < len(CLASSES) else 0] += 1
     inside = kind >= F.when(order == 0, least[0]).otherwise(least[1])
