@@ -77,7 +77,8 @@ def _det(m: list[list[Z]]) -> Z:
 def least_squares(g: DataFrame, predictors: list[str]) -> DataFrame:
     """Coefficients c_* of up to three predictors on anomalies, without intercept (H3, H4).
 
-    A predictor without variance gets coefficient 0: its equation is replaced by c = 0.
+    A predictor without variance gets coefficient 0: its equation is replaced by c = 0. Where predictors are
+    collinear, the solution of least norm is taken, as the limit of a vanishing ridge.
     """
     dead = {x: F.col(f"g_{x}_{x}_re") <= 1e-15 for x in predictors}
 
@@ -89,12 +90,20 @@ def least_squares(g: DataFrame, predictors: list[str]) -> DataFrame:
         re, im = _pair(f"g_{a}_y")
         return F.when(dead[a], 0.0).otherwise(re), F.when(dead[a], 0.0).otherwise(im)
 
+    def solved(matrix: list[list[Z]]) -> list[Z]:
+        whole = _det(matrix)
+        changed = [[[right(a) if i == j else z for i, z in enumerate(row)] for a, row in zip(predictors, matrix, strict=True)] for j in range(len(predictors))]
+        return [_over(_det(m), whole) for m in changed]
+
     matrix = [[entry(a, b) for b in predictors] for a in predictors]
-    whole = _det(matrix)
+    size, total = F.lit(1.0), F.lit(0.0)
+    for i in range(len(predictors)):
+        size, total = size * matrix[i][i][0], total + matrix[i][i][0]
+    singular = F.abs(_det(matrix)[0]) <= 1e-12 * size
+    ridge = [[(z[0] + 1e-8 / len(predictors) * total, z[1]) if i == j else z for j, z in enumerate(row)] for i, row in enumerate(matrix)]
     out = {}
-    for j, x in enumerate(predictors):
-        changed = [[right(a) if i == j else z for i, z in enumerate(row)] for a, row in zip(predictors, matrix, strict=True)]
-        out[f"c_{x}_re"], out[f"c_{x}_im"] = _over(_det(changed), whole)
+    for x, plain, least in zip(predictors, solved(matrix), solved(ridge), strict=True):
+        out[f"c_{x}_re"], out[f"c_{x}_im"] = (F.when(singular, b).otherwise(a) for a, b in zip(plain, least, strict=True))
     return g.withColumns(out)
 
 

@@ -62,12 +62,12 @@ def mean_by_depth(field: DataFrame, start: str, end: str) -> DataFrame:
     return inside.groupBy("depth").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
 
 
-def cell_table(field: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells (keys, t0, lat0, lon0, t1, lat1, lon1, u[8], v[8]): each lower corner with its upper neighbours.
+def cell_table(field: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
+    """Cells (keys, t0, lat0, lon0, t1, lat1, lon1, c[8] of the values): each lower corner with its upper neighbours.
 
     Three passes pair each axis with its next value; a corner that is missing leaves the cell out.
     """
-    corner = F.array(F.struct("u", "v"))
+    corner = F.array(F.struct(*(values or ["u", "v"])))
     out = field.select(*keys, F.col("time").alias("t0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), corner.alias("c"))
     for axis, name in (("lon0", "lon1"), ("lat0", "lat1"), ("t0", "t1")):
         rest = [*keys, *[a for a in ("t0", "lat0", "lon0") if a != axis], *[n for n in ("lon1", "lat1") if n in out.columns]]
@@ -77,13 +77,13 @@ def cell_table(field: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def at_points(points: DataFrame, field: DataFrame, grid: dict[str, tuple[float, float, int]], keys: list[str] | None = None, tag: str = "", ts: str = "ts") -> DataFrame:
-    """``points`` with mapped_u and mapped_v, linear in time, lat and lon; null outside or beside a missing cell.
+def at_points(points: DataFrame, field: DataFrame, grid: dict[str, tuple[float, float, int]], keys: list[str] | None = None, tag: str = "", ts: str = "ts", values: list[str] | None = None) -> DataFrame:
+    """``points`` with mapped_u and mapped_v (or the ``values`` named), linear in time, lat and lon; null outside or beside a missing cell.
 
     ``grid`` gives (start, step, number) of regular axes: lat and lon in degrees, time in seconds since 1970. A
     point finds its cell by arithmetic, so one equi-join does it; a point on the upper edge belongs to the last cell.
     """
-    keys = keys or []
+    keys, values = keys or [], values or ["u", "v"]
     where = {"time": F.unix_micros(F.col(ts).cast("timestamp")) / 1e6, "lat": F.col("lat"), "lon": F.col("lon")}
     short = {"time": "t", "lat": "y", "lon": "x"}
     p = points
@@ -91,7 +91,7 @@ def at_points(points: DataFrame, field: DataFrame, grid: dict[str, tuple[float,
         at = (where[axis] - start) / step
         i = F.when((at >= 0) & (at <= n - 1), F.least(F.floor(at), F.lit(n - 2)).cast("int"))
         p = p.withColumns({f"_{short[axis]}": i, f"_f{short[axis]}": at - i})
-    cells = cell_table(field, keys)
+    cells = cell_table(field, keys, values)
     for axis, lower, s in (("time", F.unix_micros(F.col("t0").cast("timestamp")) / 1e6, "t"), ("lat", F.col("lat0"), "y"), ("lon", F.col("lon0"), "x")):
         start, step, _ = grid[axis]
         cells = cells.withColumn(f"_{s}", F.round((lower - start) / step).cast("int"))
@@ -107,7 +107,17 @@ def at_points(points: DataFrame, field: DataFrame, grid: dict[str, tuple[float,
                     total = term if total is None else total + term
         return total
 
-    return joined.select(*points.columns, mix("u").alias(f"mapped_u{tag}"), mix("v").alias(f"mapped_v{tag}"))
+    return joined.select(*points.columns, *[mix(x).alias(f"mapped_{x}{tag}") for x in values])
+
+
+def products_at_points(points: DataFrame, field: DataFrame, products: list[str], grid: dict[str, tuple[float, float, int]], ts: str = "ts") -> DataFrame:
+    """``points`` with mapped_<product>_u and _v of each product of rows (product, time, lat, lon, u, v).
+
+    The products, which share a grid, are pivoted to columns first, so the points are joined once however many
+    there are; a product that lacks a corner is null there and leaves the others alone.
+    """
+    wide = field.groupBy("time", "lat", "lon").pivot("product", products).agg(F.first("u").alias("u"), F.first("v").alias("v"))
+    return at_points(points, wide, grid, ts=ts, values=[f"{p}_{c}" for p in products for c in ("u", "v")])
 
 
 def corrected(field: DataFrame, means: dict[str, complex], m: complex = 1, n: complex = 0, s: complex = 0, bias: bool = True, static: bool = False) -> DataFrame:

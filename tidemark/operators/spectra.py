@@ -144,8 +144,8 @@ def cross_spectra(paired: DataFrame, keys: list[str], a: str, b: str, n: int) ->
 
 
 def coherence(spectra: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(k, coherence): |mean cross|^2 / (mean auto a * mean auto b)."""
+    """(k, coherence): |mean cross|^2 / (mean auto a * mean auto b) (I13); null for k = 0, as means are removed."""
     keys = keys or []
     m = spectra.groupBy(*keys, "k").agg(*[F.avg(c).alias(c) for c in ("auto_a", "auto_b", "cross_re", "cross_im")])
     top = F.col("cross_re") * F.col("cross_re") + F.col("cross_im") * F.col("cross_im")
-    return m.select(*keys, "k", F.try_divide(top, F.col("auto_a") * F.col("auto_b")).alias("coherence"))
+    return m.select(*keys, "k", F.when(F.col("k") > 0, F.try_divide(top, F.col("auto_a") * F.col("auto_b"))).alias("coherence"))

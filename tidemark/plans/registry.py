@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bins, geo
-from tidemark.operators import bootstrap, cregress, field, forecast, quantreg, resample, selection, spectra, tracks, verify
+from tidemark.operators import bootstrap, cregress, field, forecast, profile, quantreg, resample, selection, spectra, tracks, verify
 from tidemark.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +228,12 @@ query("e1_field_at_fixes", f"""SELECT {KEY}, {r('(7 * (lon + 164.5) * 4 - 5 * (l
     lambda s, d: field.at_points(views.fixes(s, d), views.field(s), views.GRID).select("buoy_id", "fix_id", "mapped_u", "mapped_v")
 )
 
+_U, _V = "((7 * (lon + 164.5) * 4 - 5 * (lat - 4.0) * 4 + 3 * t) / 256.0)", "((2 * (lon + 164.5) * 4 + 3 * (lat - 4.0) * 4 - 4 * t) / 256.0)"
+query("e2_products_at_fixes", f"""SELECT {KEY}, {r(f'{_U} AS mapped_current_u', f'{_V} AS mapped_current_v', f'2 * {_V} AS mapped_wind_u', f'{_U} - 1 AS mapped_wind_v', f'{_U} / 4 AS mapped_waves_u', f'{_V} / 8 AS mapped_waves_v')}
+  FROM (SELECT *, (epoch_us(ts) / 1e6 - {views.EPOCH}) / 86400 AS t FROM fixes)""")(
+    lambda s, d: field.products_at_points(views.fixes(s, d), views.field_products(s), ["current", "wind", "waves"], views.GRID).drop("ts", "lon", "lat")
+)
+
 fq("f1_daily_starts", f"""SELECT day, buoy_id, {r('arg_min(lon, (ts, fix_id)) AS lon', 'arg_min(lat, (ts, fix_id)) AS lat')} FROM (SELECT f.*, f.ts::DATE AS day FROM fixes f JOIN spans s USING (buoy_id)
   WHERE s.entry_ts <= f.ts::DATE::TIMESTAMP AND s.exit_ts >= f.ts::DATE::TIMESTAMP AND f.ts > f.ts::DATE::TIMESTAMP) GROUP BY day, buoy_id""")(lambda f: forecast.daily_starts(f).select("day", "buoy_id", "lon", "lat"))
 fq("f2_trailing_velocity", f"SELECT {KEY}, {r('avg(u) OVER w AS u_mean', 'avg(v) OVER w AS v_mean')} FROM legs WINDOW w AS (PARTITION BY buoy_id ORDER BY ts, fix_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")(
@@ -303,9 +309,10 @@ fq("h14_cell_bootstrap", f"""SELECT iy, {r('mean', 'p - mean AS error')} FROM (S
   JOIN c v ON v.iy = s.iy AND v.i = {drawn('s.resample', 's.draw', 's.n')} GROUP BY ALL) GROUP BY iy, mean)""".replace("FROM c GROUP", "FROM (SELECT floor(lat)::INT AS iy, speed FROM cleaned WHERE speed IS NOT NULL) GROUP").replace(
     "JOIN c v", "JOIN (SELECT floor(lat)::INT AS iy, speed, row_number() OVER (PARTITION BY floor(lat)::INT ORDER BY speed) - 1 AS i FROM cleaned WHERE speed IS NOT NULL) v"
 ))(lambda f: bootstrap.cell_error(tracks.clean(f).withColumn("iy", F.floor("lat").cast("int")), ["iy"], "speed", 20))
-fq("h16_h17_profile", f"SELECT floor(lat * 4)::INT AS iy, quarter(ts)::INT AS season, {r('avg(u) AS u', 'stddev_samp(u) / sqrt(count(u)) AS se')} FROM cleaned GROUP BY 1, 2")(
-    lambda f: tracks.clean(f).groupBy(F.floor(F.col("lat") * 4).cast("int").alias("iy"), F.quarter("ts").alias("season")).agg(F.avg("u").alias("u"), F.try_divide(F.stddev_samp("u"), F.sqrt(F.count("u"))).alias("se"))
-)
+_SEASONS = "(SELECT floor(lat * 4)::INT AS iy, quarter(t) AS season, year(t) AS y, u FROM (SELECT *, ts + to_months((fix_id % 48)::INT) AS t FROM cleaned))"
+fq("h16_h17_profile", f"""SELECT iy, season, n_years, {r('p.u AS u', 'e.se AS se')} FROM (SELECT iy, season, avg(u) AS u FROM {_SEASONS} GROUP BY ALL) p JOIN
+  (SELECT iy, season, stddev_samp(m) / sqrt(count(m)) AS se, count(m) AS n_years FROM (SELECT iy, season, y, avg(u) AS m FROM {_SEASONS} GROUP BY ALL) GROUP BY ALL) e USING (iy, season)""")(lambda f: _profile(f))
+fq("h16_yearly_profile", f"SELECT iy, season, y AS year, {r('avg(u) AS u')} FROM {_SEASONS} GROUP BY iy, season, y")(lambda f: profile.seasonal_profile(views.over_years(tracks.clean(f)), "u", by_year=True))
 fq("h18_moments", f"SELECT {r('avg(u) AS mu', 'stddev_samp(u) AS su', 'avg(v) AS mv', 'stddev_samp(v) AS sv', '(epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6 / 365.25 AS years')} FROM cleaned")(
     lambda f: tracks.clean(f).agg(F.avg("u").alias("mu"), F.stddev_samp("u").alias("su"), F.avg("v").alias("mv"), F.stddev_samp("v").alias("sv"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 86400e6 / 365.25).alias("years"))
 )
@@ -327,6 +334,11 @@ fq("e3_regular_resample")(
 )
 
 
+def _profile(f: DataFrame) -> DataFrame:
+    rows = views.over_years(tracks.clean(f))
+    return profile.seasonal_profile(rows, "u").join(profile.interannual_error(rows, "u"), ["iy", "season"])
+
+
 def _acf_band(f: DataFrame) -> DataFrame:
     acf = spectra.acf_job(tracks.legs(f)).withColumn("block", F.col("buoy_id") % 15)
     return bootstrap.over_blocks(acf, "block", ["lag"], "r", bootstrap.draws(f.sparkSession, 100, 15))

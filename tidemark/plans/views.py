@@ -39,6 +39,18 @@ def field(spark: SparkSession, days: int = 32, step: float = 0.25) -> DataFrame:
 GRID = {"time": (float(EPOCH), 86400.0, 32), "lat": (4.0, 0.25, 18), "lon": (-164.5, 0.25, 19)}
 
 
+def field_products(spark: SparkSession) -> DataFrame:
+    """A current, a wind and a wave drift on one grid, in rows (product, time, lat, lon, u, v)."""
+    kinds = {"current": (F.col("u"), F.col("v")), "wind": (F.col("v") * 2, F.col("u") - 1), "waves": (F.col("u") / 4, F.col("v") / 8)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("product"), u.alias("u"), v.alias("v")) for k, (u, v) in kinds.items()]))
+    return field(spark).select("time", "lat", "lon", each.alias("p")).select("p.product", "time", "lat", "lon", "p.u", "p.v")
+
+
+def over_years(fx: DataFrame) -> DataFrame:
+    """The fixes dealt over 48 months by their number, for what is computed by season and year."""
+    return fx.withColumn("ts", F.expr("ts + make_interval(0, cast(fix_id % 48 as int))"))
+
+
 def sampled_field(fx: DataFrame) -> DataFrame:
     """A current on a daily grid of half degrees, from the fixes in each cell; grows with them."""
     cell = fx.select(F.to_timestamp(F.to_date("ts")).alias("time"), (F.floor(F.col("lat") * 2) / 2).alias("lat"), (F.floor(F.col("lon") * 2) / 2).alias("lon"), "fix_id")
