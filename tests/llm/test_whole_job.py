@@ -79,3 +79,10 @@ def test_pairs_seen_once_are_in_the_filter(spark):
     model, _ = lm.train(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     tokens, row = lm._tokens(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]))
     assert (model.counts(lm._pair_keys(lm._histories(tokens, row), tokens)) >= 1).all()
+
+
+def test_vectors_of_each_length_are_compared(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.1]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [0.0, 1.0, 0.1]), (7, [5.0]), (8, [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("component_id", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nndescent.near_duplicates(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (0, 7, True), 8: (0, 8, True)}

@@ -289,17 +289,24 @@ def _link_counts(members: DataFrame, dims: int, threshold: float) -> DataFrame:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, neighbours: int = NEIGHBOURS, tables: int = TABLES, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; links are pairs of cosine >= ``threshold``.
 
-    Vectors that are null, zero or hold null or non-finite parts, those with a null id, and those of another
-    length than most, link with nothing. Equal vectors are one class in the graph and are counted as often as
-    they occur (rows that repeat an id too). No pair below the threshold is linked; the share of all links found is
-    audited by brute force on a sample, and hash tables and rounds are added until it reaches ``recall``; where it
-    does not, an error is raised. An empty table gives an empty result; other columns are not read.
+    Vectors that are null, zero or hold null or non-finite parts, and those with a null id, link with nothing. Vectors
+    of each length are compared with one another, a length at a time. Equal vectors are one class in the graph and
+    are counted as often as they occur (rows that repeat an id too). No pair below the threshold is linked; the share
+    of all links found is audited by brute force on a sample, and hash tables and rounds are added until it reaches
+    ``recall``; where it does not, an error is raised. An empty table gives an empty result; other columns are not
+    read.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-    lengths = rows.where(_usable("embedding") & F.col("id").isNotNull()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = lengths["d"] if lengths else 0
-    good = _usable("embedding") & F.col("id").isNotNull() & (F.size("embedding") == dims)
-    vectors = materialize(rows.where(good).groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vectors")
+    good = F.coalesce(_usable("embedding") & F.col("id").isNotNull(), F.lit(False))
+    out = rows.where(~good).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+    for r in rows.where(good).groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
+        out = out.union(_of_one_length(rows.where(good & (F.size("embedding") == r["d"])), r["d"], threshold, neighbours, tables, recall, seed))
+    return out.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def _of_one_length(rows: DataFrame, dims: int, threshold: float, neighbours: int, tables: int, recall: float, seed: int) -> DataFrame:
+    """(id, links, component) of usable vectors of ``dims`` parts."""
+    vectors = materialize(rows.groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vectors")
     n = vectors.count()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +341,4 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         raise RuntimeError("near_duplicates: the audit found too few links within MOST_RESTARTS")
     told = vectors.select("embedding", "node", "n").join(components, "node", "left").join(counts, "node", "left")
     told = told.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("component", "node").alias("component"))
-    usable = rows.where(good)
-    found = usable.join(told, usable["embedding"] == told["e"]).select("id", "links", "component")
-    rest = rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long"), F.col("id"))
-    out = found.union(rest)
-    return out.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+    return rows.join(told, rows["embedding"] == told["e"]).select("id", "links", "component")
