@@ -1,7 +1,8 @@
 """Language identification by string kernels: Nystroem landmarks and one-versus-rest kernel ridge regression.
 
 The kernel of two texts is the number of byte n-grams of up to ``ORDER`` letters present in both (a blended
-spectrum of presence, not of counts), normalised by both texts' own. Landmark texts span the space: a text
+spectrum of presence, not of counts), normalised by both texts' own numbers. It counts the n-grams that occur in
+landmark texts; others, which no landmark shares, are left out on both sides. Landmark texts span the space: a text
 becomes its kernel values with the landmarks times the inverse root of the landmarks' own kernel matrix.
 """
 
@@ -21,9 +22,11 @@ from .textarrays import chunks, lower
 ORDER = 3
 #: Symbols that letters are mapped to; n-grams of rarer bytes share the last one.
 ALPHABET = 64
-#: Documented bounds of the fit: languages learned, labelled texts used (all of a language of fewer), landmarks.
-MOST_LANGUAGES = 256
+#: Documented bounds of the fit: labelled texts used (but TEXTS_PER_LANGUAGE of each language at least, or all that
+#: it has), characters of all texts used, and landmarks (but one of each language at least).
 TRAINING_TEXTS = 4000
+TEXTS_PER_LANGUAGE = 20
+TRAINING_CHARS = 1 << 26
 LANDMARKS = 160
 RIDGE = 0.1
 UNDETERMINED = "und"
@@ -127,46 +130,51 @@ class Classifier:
 def fit(docs: DataFrame, train_when: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = TRAINING_TEXTS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Classifier:
     """Fit on a hash sample of the labelled rows where ``train_when`` holds.
 
-    At most MOST_LANGUAGES languages (the most frequent) are learned, from about ``texts`` texts in all with as
-    many of each language as it has, up to an equal share. Texts without letters are left out.
+    Every language is learned, from about ``texts`` texts in all with as many of each language as it has, up to an
+    equal share. Texts without letters are left out, and those of over TRAINING_CHARS / ``texts`` characters too
+    unless their language has no others.
     """
     rows = docs.where(train_when & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    short = F.length(text_col) <= TRAINING_CHARS // texts
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("count"), F.count_if(short).alias("short")).collect()
     if not counts:
         return Classifier([], [], landmarks, ridge)
-    share = max(texts // len(counts), 1)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, share / r["count"])))])
+    share = max(texts // len(counts), TEXTS_PER_LANGUAGE)
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, share / (r["short"] or r["count"]))))])
+    only_long = F.col(lang_col).isin([r["lang"] for r in counts if not r["short"]])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).where(F.col("draw") < F.element_at(rate, F.col("lang")))
+    sample = rows.where(short | only_long).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).where(F.col("draw") < F.element_at(rate, F.col("lang")))
     got = sample.toPandas().sort_values(["draw", "lang", "text"])
-    return Classifier([t.encode("utf-8", "surrogatepass") for t in got["text"]], list(got["lang"]), landmarks, ridge)
+    return Classifier([t.encode("utf-8", "surrogatepass") for t in got["text"]], list(got["lang"]), max(landmarks, len(counts)), ridge)
 
 
-def identify(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(carried columns, lang_pred, score): the language of every whole text.
+def identify(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(carried columns, lang_pred, score): the language of every whole text; ``names`` renames the last two.
 
     lang_pred is ``und``, with score 0, for a text that is null or has no letter, and where no language was
     learned. score is the value of the winning regression, held to [0, 1]; ties go to the first language by
     name. Null ids, repeated rows and other columns change nothing; an empty table gives an empty result.
     """
     carry = [id_col] if carry is None else carry
+    if set(names) & set(carry):
+        raise ValueError(f"identify: a carried column has the name of a result, one of {names}")
     source = docs.select(*carry, F.col(text_col).alias("_tidemark_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_tidemark_letter"))
-    schema = shape(docs.select(*carry), "lang_pred string, score double")
+    schema = shape(docs.select(*carry), f"{names[0]} string, {names[1]} double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.languages, UNDETERMINED], dtype=object)
+        languages = np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
             letter = batch.column("_tidemark_letter").to_numpy(zero_copy_only=False)
-            best, value = np.full(len(batch), len(names) - 1), np.zeros(len(batch))
+            best, value = np.full(len(batch), len(languages) - 1), np.zeros(len(batch))
             if m.languages:
                 for first, data, offsets in chunks(batch.column("_tidemark_text")):
                     s = m.scores(data, offsets)
                     part = slice(first, first + len(s))
                     best[part], value[part] = s.argmax(1), np.clip(s.max(1), 0, 1)
-                best[~letter], value[~letter] = len(names) - 1, 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names[best], pa.string()), pa.array(value)], names=schema.names)
+                best[~letter], value[~letter] = len(languages) - 1, 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(languages[best], pa.string()), pa.array(value)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -28,19 +28,19 @@ def apportion(df: DataFrame, group: list[str], votes: str, seats: str, order: li
     ``order``. Rows without votes get none; a group of no votes or no seats gets none.
     """
     whole = Window.partitionBy(*group)
-    n, total, rows = F.col(seats), F.col("_total"), F.col("_rows")
-    base = df.withColumns({"_total": F.sum(votes).over(whole), "_rows": F.count_if(F.col(votes) > 0).over(whole)})
+    n, total, rows = F.col(seats), F.col("_tidemark_total"), F.col("_tidemark_rows")
+    base = df.withColumns({"_tidemark_total": F.sum(votes).over(whole), "_tidemark_rows": F.count_if(F.col(votes) > 0).over(whole)})
     fewer, more = n - rows / 2, n + rows / 2
     low = F.when((fewer > 0) & (total > 0), F.greatest(F.lit(0), F.floor(F.col(votes) * fewer / total + 0.5) - 1)).otherwise(F.lit(0))
     high = F.when((F.col(votes) > 0) & (n > 0), F.floor(F.col(votes) * more / total + 0.5) + 1).otherwise(F.lit(0))
-    base = base.withColumns({"_low": low.cast("long"), "_high": high.cast("long")})
-    base = base.withColumn("_left", n - F.sum("_low").over(whole)).withColumn("_row", F.row_number().over(whole.orderBy(*order)))
-    tries = base.where("_high > _low").select(*group, "_row", "_left", F.col(votes).alias("_v"), F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k"))
-    best = Window.partitionBy(*group).orderBy((F.col("_v") / (2 * F.col("_k") + 1)).desc(), "_row", "_k")
-    won = tries.withColumn("_rank", F.row_number().over(best)).where("_rank <= _left").groupBy(*group, "_row").agg(F.count("*").alias("_won"))
-    won = won.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate([*group, "_row"])], "_won")
-    on = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate([*group, "_row"])]
-    return base.join(won, on, "left").select(*df.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(out))
+    base = base.withColumns({"_tidemark_low": low.cast("long"), "_tidemark_high": high.cast("long")})
+    base = base.withColumn("_tidemark_left", n - F.sum("_tidemark_low").over(whole)).withColumn("_tidemark_row", F.row_number().over(whole.orderBy(*order)))
+    tries = base.where("_tidemark_high > _tidemark_low").select(*group, "_tidemark_row", "_tidemark_left", F.col(votes).alias("_tidemark_v"), F.explode(F.sequence("_tidemark_low", F.col("_tidemark_high") - 1)).alias("_tidemark_k"))
+    best = Window.partitionBy(*group).orderBy((F.col("_tidemark_v") / (2 * F.col("_tidemark_k") + 1)).desc(), "_tidemark_row", "_tidemark_k")
+    won = tries.withColumn("_tidemark_rank", F.row_number().over(best)).where("_tidemark_rank <= _tidemark_left").groupBy(*group, "_tidemark_row").agg(F.count("*").alias("_tidemark_won"))
+    won = won.select(*[F.col(c).alias(f"_tidemark_w{i}") for i, c in enumerate([*group, "_tidemark_row"])], "_tidemark_won")
+    on = [F.col(c).eqNullSafe(F.col(f"_tidemark_w{i}")) for i, c in enumerate([*group, "_tidemark_row"])]
+    return base.join(won, on, "left").select(*df.columns, (F.col("_tidemark_low") + F.coalesce("_tidemark_won", F.lit(0))).alias(out))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -55,15 +55,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     src = src.withColumn("weight", (F.row_number().over(everything) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * MOST_REPEATS)
     rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
-    src = src.withColumns({"_all": F.sum("source_size").over(Window.partitionBy()), "_full": F.coalesce(F.sum("cap").over(before), F.lit(0)), "_weights": F.sum("weight").over(after)})
-    level = (F.col("_all") - F.col("_full")) / F.col("_weights")
-    src = src.withColumn("_level", F.max(F.when(level <= F.col("cap") / F.col("weight"), level)).over(Window.partitionBy()))
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap").cast("double")))
-    return src.select("source", "source_size", "n_docs", "_all", target.alias("target"), F.row_number().over(everything).alias("place"))
+    src = src.withColumns({"_tidemark_all": F.sum("source_size").over(Window.partitionBy()), "_tidemark_full": F.coalesce(F.sum("cap").over(before), F.lit(0)), "_tidemark_weights": F.sum("weight").over(after)})
+    level = (F.col("_tidemark_all") - F.col("_tidemark_full")) / F.col("_tidemark_weights")
+    src = src.withColumn("_tidemark_level", F.max(F.when(level <= F.col("cap") / F.col("weight"), level)).over(Window.partitionBy()))
+    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("_tidemark_level") * F.col("weight"), F.col("cap").cast("double")))
+    return src.select("source", "source_size", "n_docs", "_tidemark_all", target.alias("target"), F.row_number().over(everything).alias("place"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", block_words: int = BLOCK_WORDS, seed: str = SEED) -> DataFrame:
-    """``docs`` (with word counts in ``size_col``) and _source_size, _target, _taken: the words the mix takes of each.
+    """``docs`` (with word counts in ``size_col``) and _tidemark_source_size, _tidemark_target, _tidemark_taken: the words the mix takes of each.
 
     The budget, all words, is cut into blocks. Sources get blocks by Sainte-Lague on their targets, then the
     shards of a source (about the square root of its documents, so neither shards nor what is in one grow with
@@ -75,49 +75,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     by size. Documents of no words get 0. An empty table gives an empty result. Reruns agree.
     """
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size"))
-    src = source_targets(sizes).withColumns({"_one": F.lit(0), "seats": F.round(F.col("_all") / block_words).cast("long"), "n_shards": F.ceil(F.sqrt("n_docs")).cast("long")})
-    src = apportion(src, ["_one"], "target", "seats", ["place"], "quota").select("source", "source_size", "target", "n_shards", "quota")
+    src = source_targets(sizes).withColumns({"_tidemark_one": F.lit(0), "seats": F.round(F.col("_tidemark_all") / block_words).cast("long"), "n_shards": F.ceil(F.sqrt("n_docs")).cast("long")})
+    src = apportion(src, ["_tidemark_one"], "target", "seats", ["place"], "quota").select("source", "source_size", "target", "n_shards", "quota")
     src = materialize(src, "sources")
     shards = sizes.join(src, sizes.source.eqNullSafe(src.source)).select(src["source"], "quota", (seeded(F.col("id"), seed + "s") % F.col("n_shards")).alias("shard"), "size")
     shards = shards.groupBy("source", "quota", "shard").agg(F.sum("size").alias("words"))
     shards = apportion(shards, ["source"], "words", "quota", ["shard"], "blocks").select("source", "shard", "words", F.least(F.col("blocks") * block_words, F.col("words") * MOST_REPEATS).alias("budget"))
     shards = materialize(shards, "shards")
 
-    src = src.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("n_shards").alias("_n_shards"))
-    shards = shards.select(F.col("source").alias("_s2"), F.col("shard").alias("_h"), F.col("words").alias("_words"), F.col("budget").alias("_budget"))
-    placed = docs.join(src, docs[source_col].eqNullSafe(src._s)).withColumn("_shard", seeded(F.col(id_col), seed + "s") % F.col("_n_shards"))
-    placed = placed.join(shards, placed["_s"].eqNullSafe(shards._s2) & (placed["_shard"] == shards._h))
+    src = src.select(F.col("source").alias("_tidemark_s"), F.col("source_size").alias("_tidemark_source_size"), F.col("target").alias("_tidemark_target"), F.col("n_shards").alias("_tidemark_n_shards"))
+    shards = shards.select(F.col("source").alias("_tidemark_s2"), F.col("shard").alias("_tidemark_h"), F.col("words").alias("_tidemark_words"), F.col("budget").alias("_tidemark_budget"))
+    placed = docs.join(src, docs[source_col].eqNullSafe(src._tidemark_s)).withColumn("_tidemark_shard", seeded(F.col(id_col), seed + "s") % F.col("_tidemark_n_shards"))
+    placed = placed.join(shards, placed["_tidemark_s"].eqNullSafe(shards._tidemark_s2) & (placed["_tidemark_shard"] == shards._tidemark_h))
     size = F.col(size_col).cast("long")
-    row = Window.partitionBy("_s", "_shard").orderBy(seeded(F.col(id_col), seed + "d"), F.col(id_col), size).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_before", F.coalesce(F.sum(size).over(row), F.lit(0)))
-    rounds = F.when(F.col("_words") > 0, F.floor(F.col("_budget") / F.col("_words"))).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumn("_rounds", rounds).withColumn("_rest", F.col("_budget") - F.col("_rounds") * F.col("_words"))
-    part = F.greatest(F.lit(0), F.least(size, F.col("_rest") - F.col("_before")))
-    return placed.select(*[placed[c] for c in docs.columns], "_source_size", "_target", (F.col("_rounds") * size + part).cast("long").alias("_taken"))
+    row = Window.partitionBy("_tidemark_s", "_tidemark_shard").orderBy(seeded(F.col(id_col), seed + "d"), F.col(id_col), size).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_tidemark_before", F.coalesce(F.sum(size).over(row), F.lit(0)))
+    rounds = F.when(F.col("_tidemark_words") > 0, F.floor(F.col("_tidemark_budget") / F.col("_tidemark_words"))).otherwise(F.lit(0)).cast("long")
+    placed = placed.withColumn("_tidemark_rounds", rounds).withColumn("_tidemark_rest", F.col("_tidemark_budget") - F.col("_tidemark_rounds") * F.col("_tidemark_words"))
+    part = F.greatest(F.lit(0), F.least(size, F.col("_tidemark_rest") - F.col("_tidemark_before")))
+    return placed.select(*[placed[c] for c in docs.columns], "_tidemark_source_size", "_tidemark_target", (F.col("_tidemark_rounds") * size + part).cast("long").alias("_tidemark_taken"))
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each document, sizes in words."""
     slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    return mix(slim).select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    return mix(slim).select("doc_id", "size", F.col("_tidemark_source_size").alias("source_size"), F.col("_tidemark_target").alias("target"), F.col("_tidemark_taken").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken.
 
-    A document taken in part gives one more row, whose text ends after the words taken (n_chars follows).
+    A document taken in part gives one more row, whose text ends after the words taken (n_chars follows). Columns
+    that begin with ``_tidemark_`` are reserved; any other name may occur.
     """
-    sized = docs.withColumn("_size", n_words(F.col(text_col)))
-    out = mix(sized, size_col="_size").where("_taken > 0").withColumn("_part", F.col("_taken") % F.col("_size"))
-    copies = F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
-    out = out.withColumn("_cut", F.explode(F.concat(copies, F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>")))))
+    sized = docs.withColumn("_tidemark_size", n_words(F.col(text_col)))
+    out = mix(sized, size_col="_tidemark_size").where("_tidemark_taken > 0").withColumn("_tidemark_part", F.col("_tidemark_taken") % F.col("_tidemark_size"))
+    copies = F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("_tidemark_taken") / F.col("_tidemark_size")).cast("int"))
+    out = out.withColumn("_tidemark_cut", F.explode(F.concat(copies, F.when(F.col("_tidemark_part") > 0, F.array("_tidemark_part")).otherwise(F.array().cast("array<bigint>")))))
     pieces = F.split(text_col, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.col(text_col).rlike(f"^{SPACE}").cast("int")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_cut").cast("int") + lead), "")
-    text = F.when(F.col("_cut") > 0, cut).otherwise(F.col(text_col))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_tidemark_cut").cast("int") + lead), "")
+    text = F.when(F.col("_tidemark_cut") > 0, cut).otherwise(F.col(text_col))
     made = {text_col: text}
     if n_chars_col in docs.columns:
-        made[n_chars_col] = F.when(F.col("_cut") > 0, F.length(cut).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col))
+        made[n_chars_col] = F.when(F.col("_tidemark_cut") > 0, F.length(cut).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col))
     return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
