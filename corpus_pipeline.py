@@ -16,12 +16,13 @@ from tidemark.llm.queries import vocabulary
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, which is written to ``lang``; those that are null or have no letter go."""
     model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2)
-    told = langid.identify(docs, model, carry=docs.columns, text_col="text").where(F.col("lang_pred") != langid.UNDETERMINED)
-    return told.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    told = langid.identify(docs, model, carry=docs.columns, names=("_tidemark_lang", "_tidemark_score"))
+    told = told.where(F.col("_tidemark_lang") != langid.UNDETERMINED)
+    return told.select(*[F.col("_tidemark_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles: that of the smallest doc_id."""
+    """One document, that of the smallest doc_id, of each group linked by 0.8 of five-word shingles: SimHash candidates, verified."""
     return shingles.keep_one_of_each_group(docs)
 
 
