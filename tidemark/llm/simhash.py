@@ -79,17 +79,17 @@ class Grid:
         self.mask = U64(sum(3 << (2 * s) for s in segments))
 
     def cells(self, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(rows, cells) of each step; the own cells come first."""
+        """(rows, cells) of each step; the own cells come first. Two cells of one 32-bit number are compared as one."""
         own, salt = counts & self.mask, mix(np.array([self.word * 64 + self.segments[0]], dtype=U64))
         rows = np.arange(len(counts))
-        out = [(rows, mix(own ^ salt))]
+        out = [(rows, mix(own ^ salt) >> U64(32))]
         for s in self.segments if self.radius else []:
             digit = (counts >> U64(2 * s)) & U64(3)
             # one step between 0 and 1 flips the low bit of a digit, one between 1 and 2 both
             for moves, flips_low in ((digit < 2, digit == 0), *([(digit > 0, digit == 1)] if self.radius > 1 else [])):
                 at = rows[moves]
                 step = np.where(flips_low[at], U64(1 << (2 * s)), U64(3 << (2 * s)))
-                out.append((at, mix((own[at] ^ step) ^ salt)))
+                out.append((at, mix((own[at] ^ step) ^ salt) >> U64(32)))
         return out
 
 
