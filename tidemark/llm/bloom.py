@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .textarrays import U64, mix
 
-SEGMENT_BITS = 1 << 19
+#: So small that even a small filter has many segments, and none is a large share of the keys.
+SEGMENT_BITS = 1 << 16
 _SALT = U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -36,7 +37,7 @@ def _places(keys: np.ndarray, level: int, bits: int, hashes: int) -> tuple[np.nd
     """
     base = mix(keys.astype(U64))
     x = mix(base + U64(int(_SALT) * (level + 1) % (1 << 64)))
-    return base & U64(bits // SEGMENT_BITS - 1), x >> U64(64 - 13), [(x >> U64(6 * j)) & U64(63) for j in range(hashes)]
+    return base & U64(bits // SEGMENT_BITS - 1), x >> U64(64 - 10), [(x >> U64(6 * j)) & U64(63) for j in range(hashes)]
 
 
 class Bloom:

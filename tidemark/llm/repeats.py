@@ -1,17 +1,21 @@
-"""Removal of repeated byte strings, by refining buckets of q-grams on the buckets of later offsets.
+"""Removal of repeated byte strings by bucket-pointer refinement.
 
 Every start p of a string of ``length`` bytes is put in a bucket by one q-gram inside the string: the one with
 the smallest hash (the last such), its *anchor*. Equal strings have equal anchors at equal offsets, so repeats
-meet only inside a bucket, and consecutive starts with one anchor travel as one *run*. A bucket is then refined:
-
-* level 1, whole runs: the bucket key is the q-gram; runs equal in all bytes they cover form a class;
-* level 2, runs cut into pieces of ``PIECE`` neighbouring offsets from the anchor: the key is the longer string
-  that all starts of the piece share;
-* level 3, single starts: the key is the string itself.
-
-At each level a key met once is unique, and one whose members are all of one class is settled as a whole (all
-but the class's first member repeat). Only the first member of each class in an unsettled bucket goes down, so
-the work below level 1 follows the number of places where copies begin or end and not the amount copied.
+meet only inside a bucket, and consecutive starts with one anchor travel as one *run*.
+
+* Initial buckets are those of the anchors' q-grams. A bucket of one run is finished; one whose runs are all equal
+  is settled as a whole (all but its first run repeat). The first run of each class in another bucket is cut into
+  *pieces* of ``PIECE`` neighbouring offsets from the anchor, and the same is done once more with the string that
+  all starts of a piece share, its *core*. Hashes only finish and settle buckets here.
+* The pieces left are refined by bucket numbers. Their q-grams are sorted and numbered in that order; then a bucket is
+  refined by sorting on the pair of its number and the number of the bucket at a later offset, and the pairs are
+  numbered in turn, so that each pass reuses the numbers of the one before and tells twice the width apart, until
+  the whole core has a number. A start is at last refined by the bytes before the core, the number of the core at
+  that later offset, and the bytes behind it. Whatever is alone in its bucket drops out of all later passes.
+
+Only the first member of each class in an unsettled bucket goes on, so the refinement follows the number of places
+where copies begin or end and not the amount copied.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .common import materialize, shape, text_key
 from .textarrays import U64, chunks, mix, prefix_hash, span_hash, window_hash
 
 PIECE = 8
+#: A bucket of one such part of all rows, or more, is joined by broadcast: there are at most so many.
+HOT_SHARE = 2000
 _SLICE = 1 << 20
 _LOW = U64((1 << 24) - 1)
 
@@ -104,6 +110,7 @@ class Pieces:
         self.begin = offsets[self.run] + self.first
         self.end = self.begin + self.count - 1 + length
         self.cover = mix(span_hash(prefix, self.begin, self.end) ^ mix(shape + U64(1 << 40)))
+        self.before = core - self.begin
 
 
 def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -118,10 +125,69 @@ def _unsettled(keys: DataFrame) -> tuple[bloom.Bloom, bloom.Bloom]:
     return bloom.plain(again.select("key"), bloom.size_for(n)), bloom.plain(again.where("several").select("key"), bloom.size_for(several))
 
 
-def _first_of_each(rows: DataFrame, extra: list[str]) -> DataFrame:
+def _first_of_each(rows: DataFrame, key: list[str], extra: list[str]) -> DataFrame:
     """The first member (smallest id, then start) of each class."""
     order = F.struct("id", "low", "text_key", "count", *extra)
-    return rows.groupBy("cover").agg(F.min(order).alias("x")).select("cover", "x.*")
+    return rows.groupBy(*key).agg(F.min(order).alias("x")).select("x.*")
+
+
+def _numbered(members: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``members``, a stored table, with the number of each one's bucket (null if it is alone), in the order of ``keys``.
+
+    A key of at least a 2000th of all rows is joined by broadcast, and there are at most 2000 of those; so no task
+    gets more than that share of the rows from one key.
+    """
+    buckets = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").orderBy(*keys)
+    buckets = materialize(buckets.withColumn("bucket", F.monotonically_increasing_id()), name)
+    many = F.col("n") >= max(members.count() / HOT_SHARE, 2)
+    hot, rest = buckets.where(many).drop("n"), buckets.where(~many).drop("n")
+    in_hot = members.join(F.broadcast(hot), keys)
+    others = members.join(F.broadcast(hot.drop("bucket")), keys, "left_anti").join(rest, keys, "left")
+    return in_hot.unionByName(others)
+
+
+def _steps(width: int, q: int) -> list[tuple[int, list[int]]]:
+    """(width told apart, offsets at which it is needed) of each pass, from q-grams to strings of ``width`` bytes."""
+    widths = [min(q, width)]
+    while widths[-1] < width:
+        widths.append(min(2 * widths[-1], width))
+    out = [(width, [0])]
+    for narrow, wide in zip(widths[-2::-1], widths[:0:-1], strict=True):
+        out.append((narrow, sorted({x for o in out[-1][1] for x in (o, o + wide - narrow)})))
+    return out[::-1]
+
+
+def refined(pieces: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """(spans that are unique as a whole, first starts of each class of equal strings), both (id, text_key, low, count).
+
+    ``pieces``, a stored table, has a number ``piece``, ``bytes`` and the bytes ``offset`` before the core in each.
+    """
+    core = length - PIECE + 1
+    (width, offsets), *later = _steps(core, q)
+    at = F.explode(F.array(*[F.lit(o) for o in offsets])).alias("at")
+    grams = pieces.select("piece", "bytes", "offset", at).select("piece", "at", F.expr(f"substring(bytes, offset + at + 1, {width})").alias("gram"))
+    numbers = _numbered(materialize(grams, "grams"), ["gram"], "buckets")
+    for wide, needed in later:
+        # a piece whose bucket is unique at any place has a unique core
+        have = numbers.groupBy("piece").agg(*[F.max(F.when(F.col("at") == o, F.col("bucket"))).alias(f"at{o}") for o in offsets]).dropna()
+        pairs = F.array(*[F.struct(F.lit(o).alias("at"), F.col(f"at{o}").alias("own"), F.col(f"at{o + wide - width}").alias("next")) for o in needed])
+        members = materialize(have.select("piece", F.inline(pairs)), "pairs")
+        numbers = _numbered(members, ["own", "next"], "buckets")
+        width, offsets = wide, needed
+    cores = materialize(numbers.where("bucket is not null").select("piece", "bucket"), "cores")
+    joined = pieces.join(cores, "piece", "left")
+    alone = joined.where("bucket is null").select("id", "text_key", "low", "count")
+    several = joined.where("bucket is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("i"))
+    starts = several.select(
+        "id",
+        "text_key",
+        (F.col("low") + F.col("i")).alias("low"),
+        F.lit(1).alias("count"),
+        F.expr("substring(bytes, i + 1, offset - i)").alias("left"),
+        "bucket",
+        F.expr(f"substring(bytes, offset + {core + 1}, {length - core} - offset + i)").alias("right"),
+    )
+    return alone, _first_of_each(starts, ["left", "bucket", "right"], []).select("id", "text_key", "low", "count")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, q: int = 24) -> tuple[DataFrame, bloom.Bloom]:
@@ -142,7 +208,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     again, several = _unsettled(texts.select("text").mapInArrow(keys, two))
     shared_again, shared_several = spark.sparkContext.broadcast(again), spark.sparkContext.broadcast(several)
-    members = shape(texts.select("id", "text_key"), "cover long, low long, count int, offset int, bytes binary")
+    members = shape(texts.select("id", "text_key"), "key long, cover long, low long, count int, offset int, bytes binary")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,6 +225,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [
                         batch.column("id").take(at_row),
                         batch.column("text_key").take(at_row),
+                        pa.array(runs.key[pick].view(np.int64)),
                         pa.array(runs.cover[pick].view(np.int64)),
                         pa.array(low - offsets[row] + at),
                         pa.array(count.astype(np.int32)),
@@ -168,7 +235,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=members.names,
                 )
 
-    firsts = materialize(_first_of_each(texts.mapInArrow(candidates, members), ["offset", "bytes"]), "runs")
+    firsts = materialize(_first_of_each(texts.mapInArrow(candidates, members), ["key", "cover"], ["offset", "bytes"]), "runs")
     settled = firsts.where("bytes is null").select("id", "text_key", "low", "count")
     opened = firsts.where("bytes is not null")
 
@@ -193,34 +260,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 mixed = twice & shared_several2.value.contains(p.key)
                 raw = data.tobytes()
                 held = [raw[i:j] if m else None for i, j, m in zip(p.begin.tolist(), p.end.tolist(), mixed.tolist(), strict=True)]
-                yield rebuilt(batch, p.run + first, pa.array(p.cover.view(np.int64), mask=~twice), low[p.run + first] + p.first, p.count, held)
-
-    def rebuilt(batch: pa.RecordBatch, row: np.ndarray, cover: pa.Array, low: np.ndarray, count: np.ndarray, held: list) -> pa.RecordBatch:
-        at = pa.array(row)
-        zero = pa.array(np.zeros(len(row), dtype=np.int32))
-        columns = [batch.column("id").take(at), batch.column("text_key").take(at), cover, pa.array(low), pa.array(count.astype(np.int32)), zero, pa.array(held, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=members.names)
+                at = pa.array(p.run + first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(at),
+                        batch.column("text_key").take(at),
+                        pa.array(p.key.view(np.int64)),
+                        pa.array(p.cover.view(np.int64), mask=~twice),
+                        pa.array(low[p.run + first] + p.first),
+                        pa.array(p.count.astype(np.int32)),
+                        pa.array(p.before.astype(np.int32)),
+                        pa.array(held, pa.binary()),
+                    ],
+                    names=members.names,
+                )
 
     # a piece that is met once has no cover; it is written once and stays
     cut = materialize(opened.select("id", "text_key", "low", "count", "offset", "bytes").mapInArrow(pieces, members), "pieces")
     alone = cut.where("cover is null").select("id", "text_key", "low", "count")
-    firsts2 = materialize(_first_of_each(cut.where("cover is not null"), ["bytes"]), "pieces")
+    firsts2 = _first_of_each(cut.where("cover is not null"), ["key", "cover"], ["offset", "bytes"])
+    firsts2 = materialize(firsts2.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     settled2 = firsts2.where("bytes is null").select("id", "text_key", "low", "count")
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = _ints(batch, "low")
-            for first, data, offsets in chunks(batch.column("bytes"), _SLICE):
-                count = np.diff(offsets) - length + 1
-                row = np.repeat(np.arange(len(count)), count)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                begin = offsets[row] + at
-                hashes = span_hash(prefix_hash(data), begin, begin + length)
-                yield rebuilt(batch, row + first, pa.array(hashes.view(np.int64)), low[row + first] + at, np.ones(len(row)), [None] * len(row))
-
-    single = firsts2.where("bytes is not null").select("id", "text_key", "low", "bytes").mapInArrow(starts, members)
-    settled3 = _first_of_each(single, []).select("id", "text_key", "low", "count")
-    keeps = settled.union(alone).union(settled2).union(settled3)
+    alone2, settled3 = refined(firsts2.where("bytes is not null"), length, q)
+    keeps = settled.union(alone).union(settled2).union(alone2).union(settled3)
     packed = keeps.groupBy("id", "text_key").agg(F.collect_list(F.col("low") * 4096 + F.col("count")).alias("keeps"))
     return packed, again
 
