@@ -23,5 +23,21 @@ def test_band_is_as_wide_as_theory_says(spark):
 
 
 def test_cell_error_is_above_zero(spark):
-    rows = spark.range(200).select((F.col("id") % 2).alias("cell"), F.sin("id").alias("x"))
-    assert all(0.05 < r["error"] < 0.25 for r in bootstrap.cell_error(rows, ["cell"], "x", 200).collect())
+    rows = spark.range(200).select("id", (F.col("id") % 2).alias("cell"), F.sin("id").alias("x"))
+    assert all(0.05 < r["error"] < 0.25 for r in bootstrap.cell_error(rows, ["cell"], "x", "id", 200).collect())
+
+
+def test_cell_error_is_as_theory_says(spark):
+    values = np.random.default_rng(7).standard_normal(900)
+    rows = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(values)] + [(0, 5000, None)], "cell int, id long, x double")
+    got = bootstrap.cell_error(rows, ["cell"], "x", "id").first()
+    assert abs(got["mean"] - values.mean()) < 1e-12
+    assert abs(got["error"] - 1.645 * values.std() / 30) < 0.15 * 1.645 / 30
+
+
+def test_blocks_of_time(spark):
+    rows = spark.sql("SELECT timestamp'2024-01-03 06:00:00' + make_interval(0, 0, 0, id) AS ts FROM range(21)")
+    origin, n = bootstrap.blocks_since_start(rows, days=5)
+    blocks = rows.select(F.unix_micros("ts").alias("us")).select(bootstrap.time_block("us", 5, origin).alias("b"))
+    assert n == 5 and [(r["b"], r["count"]) for r in blocks.groupBy("b").count().orderBy("b").collect()] == [(0, 5), (1, 5), (2, 5), (3, 5), (4, 1)]
+    assert bootstrap.blocks_since_start(rows.where("false")) == (0, 1)

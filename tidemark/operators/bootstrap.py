@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Modulus of the draws, a prime.
 PRIME = 2147483647
+#: Where the distribution of a Poisson number of mean 1 passes to 1, 2, ..., as parts of PRIME.
+POISSON = [int(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1))) for i in range(9)]
 
 
 def drawn_index(resample: Column, draw: Column, n: int | Column, seed: int) -> Column:
@@ -51,6 +55,12 @@ def time_block(start_us: str, days: float, origin_us: int | None = None):
     return F.floor((F.col(start_us) - F.lit(origin_us or 0)) / int(days * 8.64e10))
 
 
+def blocks_since_start(rows: DataFrame, ts: str = "ts", days: float = 100) -> tuple[int, int]:
+    """(first time in microseconds, number of blocks of ``days`` days up to the last), for time_block() and draws() (I8)."""
+    low, high = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    return (0, 1) if low is None else (low, (high - low) // int(days * 8.64e10) + 1)
+
+
 def coherence_band(spectra: DataFrame, block: str, draw_table: DataFrame) -> DataFrame:
     """Band of the coherence when blocks of chunks are drawn with replacement."""
     parts = ("auto_a", "auto_b", "cross_re", "cross_im")
@@ -61,21 +71,27 @@ def coherence_band(spectra: DataFrame, block: str, draw_table: DataFrame) -> Dat
     return band(drawn.select("resample", "k", F.try_divide(top, F.col("auto_a") * F.col("auto_b")).alias("mean")), ["k"])
 
 
-def cell_error(rows: DataFrame, cells: list[str], value: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
+def times_drawn(resample: Column, key: Column, seed: int = 1) -> Column:
+    """How often a resample draws the row of a key: a Poisson number of mean 1, by the cubic of drawn_index()."""
+    k = (resample * 7919 + key % PRIME * 104729 + seed) % PRIME * 48271 % PRIME
+    u = ((k * k) % PRIME * k + k) % PRIME
+    return sum(((u >= bound).cast("int") for bound in POISSON), F.lit(0))
+
+
+def cell_error(rows: DataFrame, cells: list[str], value: str, key: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
     """(cells, mean, error): mean in each cell and the 95 % point of its bootstrap means above it.
 
-    A cell's n draws go to its ranks by drawn_index().
+    A resample takes each row a Poisson number of times that follows from its ``key``, a whole number of 0 or more. So
+    sums are formed where the rows are, and only those of cells and resamples are shuffled, whatever the size of a cell.
+    A cell of which a resample draws nothing has no mean in that resample.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*cells).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*cells))})
-    plan = ranked.groupBy(*cells, "_n").agg(F.avg(value).alias("mean"))
-    spread = plan.join(F.broadcast(rows.sparkSession.range(resamples).select(F.col("id").alias("resample"))))
-    spread = spread.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    spread = spread.withColumn("_i", drawn_index(F.col("resample"), F.col("draw"), F.col("_n"), seed).cast("int"))
-    drawn = spread.join(ranked.select(*cells, "_i", value), [*cells, "_i"]).groupBy(*cells, "mean", "resample").agg(F.avg(value).alias("m"))
-    return drawn.groupBy(*cells, "mean").agg(F.percentile("m", F.lit(0.95)).alias("_p")).select(*cells, "mean", (F.col("_p") - F.col("mean")).alias("error"))
+    known = rows.where(F.col(value).isNotNull()).select(*cells, F.col(value).alias("_x"), F.col(key).cast("long").alias("_key"))
+    drawn = known.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    drawn = drawn.withColumn("_c", times_drawn(F.col("resample"), F.col("_key"), seed))
+    sums = drawn.groupBy(*cells, "resample").agg(F.sum(F.col("_c") * F.col("_x")).alias("_s"), F.sum("_c").alias("_n"), F.sum("_x").alias("_all"), F.count("*").alias("_rows"))
+    means = F.percentile(F.try_divide("_s", "_n"), F.lit(0.95)).alias("_p")
+    out = sums.groupBy(*cells).agg(means, (F.max(F.when(F.col("resample") == 0, F.col("_all") / F.col("_rows")))).alias("mean"))
+    return out.select(*cells, "mean", (F.col("_p") - F.col("mean")).alias("error"))
 
 
 def density_band(hist: DataFrame, draw_table: DataFrame, rows: int, columns: int, years: float) -> DataFrame:

@@ -33,10 +33,21 @@ def daily_starts(fixes: DataFrame, legacy_dedupe: bool = False) -> DataFrame:
     return first
 
 
-def dense_number(rows: DataFrame, name: str = "buoy_id") -> DataFrame:
-    """Rows with the 0-based rank of their name among the distinct names."""
-    names = rows.select(name).distinct().withColumn("number", F.row_number().over(Window.orderBy(name)) - 1)
-    return rows.join(names, name)
+def dense_number(rows: DataFrame, name: str = "buoy_id", ranges: int = 200) -> DataFrame:
+    """Rows with the 0-based rank of their name among the distinct names.
+
+    Names are numbered within ranges, whose bounds are ``ranges`` - 1 names (any will do, so few are read), and a range
+    adds the names of those before it; rows without a name go.
+    """
+    names = rows.select(name).where(F.col(name).isNotNull()).distinct()
+    bounds = [r[0] for r in names.orderBy(F.xxhash64(name)).limit(ranges - 1).collect()]
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(name))) if bounds else F.lit(0)
+    placed = names.withColumn("_range", place)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")  # at most ``ranges`` rows
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(name)) - 1
+    numbers = placed.withColumn("_own", own).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return rows.join(numbers.select(name, (F.col("_own") + F.col("_before")).alias("number")), name)
 
 
 def leads(fixes: DataFrame, days: int = 8) -> DataFrame:

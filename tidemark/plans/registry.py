@@ -304,11 +304,12 @@ fq("h11_histogram", "SELECT least(floor((lon + 164.25) / 0.5), 7)::INT AS ix, le
 fq("h13_binned_field", f"SELECT floor(lon * 2)::INT AS ix, floor(lat * 2)::INT AS iy, {r('avg(dx_deg) AS dx', 'avg(dy_deg) AS dy')} FROM legs WHERE lon0 IS NOT NULL GROUP BY 1, 2")(
     lambda f: tracks.legs(f).where("lon0 is not null").groupBy(F.floor(F.col("lon") * 2).cast("int").alias("ix"), F.floor(F.col("lat") * 2).cast("int").alias("iy")).agg(F.avg("dx_deg").alias("dx"), F.avg("dy_deg").alias("dy"))
 )
-fq("h14_cell_bootstrap", f"""SELECT iy, {r('mean', 'p - mean AS error')} FROM (SELECT iy, mean, quantile_cont(m, 0.95) AS p FROM (SELECT s.iy, s.mean, s.resample, avg(v.speed) AS m FROM
-  (SELECT iy, n, mean, resample, unnest(range(n)) AS draw FROM (SELECT iy, count(*) AS n, avg(speed) AS mean FROM c GROUP BY iy), (SELECT unnest(range(20)) AS resample)) s
-  JOIN c v ON v.iy = s.iy AND v.i = {drawn('s.resample', 's.draw', 's.n')} GROUP BY ALL) GROUP BY iy, mean)""".replace("FROM c GROUP", "FROM (SELECT floor(lat)::INT AS iy, speed FROM cleaned WHERE speed IS NOT NULL) GROUP").replace(
-    "JOIN c v", "JOIN (SELECT floor(lat)::INT AS iy, speed, row_number() OVER (PARTITION BY floor(lat)::INT ORDER BY speed) - 1 AS i FROM cleaned WHERE speed IS NOT NULL) v"
-))(lambda f: bootstrap.cell_error(tracks.clean(f).withColumn("iy", F.floor("lat").cast("int")), ["iy"], "speed", 20))
+_DRAWN = f"((resample * 7919 + fix_id % {bootstrap.PRIME} * 104729 + 1) % {bootstrap.PRIME} * 48271 % {bootstrap.PRIME})"
+_DRAWN = f"((({_DRAWN} * {_DRAWN}) % {bootstrap.PRIME} * {_DRAWN} + {_DRAWN}) % {bootstrap.PRIME})"
+fq("h14_cell_bootstrap", f"""SELECT iy, {r('mean', 'p - mean AS error')} FROM (SELECT iy, quantile_cont(s / nullif(c, 0), 0.95) AS p FROM (
+  SELECT iy, resample, sum(speed * times) AS s, sum(times) AS c FROM (SELECT iy, resample, speed, {" + ".join(f"(u >= {b})::INT" for b in bootstrap.POISSON)} AS times
+  FROM (SELECT floor(lat)::INT AS iy, resample, speed, {_DRAWN} AS u FROM cleaned, (SELECT unnest(range(1000)) AS resample) WHERE speed IS NOT NULL)) GROUP BY ALL) GROUP BY iy)
+  JOIN (SELECT floor(lat)::INT AS iy, avg(speed) AS mean FROM cleaned GROUP BY 1) USING (iy)""")(lambda f: bootstrap.cell_error(tracks.clean(f).withColumn("iy", F.floor("lat").cast("int")), ["iy"], "speed", "fix_id"))
 _SEASONS = "(SELECT floor(lat * 4)::INT AS iy, quarter(t) AS season, year(t) AS y, u FROM (SELECT *, ts + to_months((fix_id % 48)::INT) AS t FROM cleaned))"
 fq("h16_h17_profile", f"""SELECT iy, season, n_years, {r('p.u AS u', 'e.se AS se')} FROM (SELECT iy, season, avg(u) AS u FROM {_SEASONS} GROUP BY ALL) p JOIN
   (SELECT iy, season, stddev_samp(m) / sqrt(count(m)) AS se, count(m) AS n_years FROM (SELECT iy, season, y, avg(u) AS m FROM {_SEASONS} GROUP BY ALL) GROUP BY ALL) e USING (iy, season)""")(lambda f: _profile(f))
@@ -324,21 +325,28 @@ fq("i7_i8_block_bootstrap")(lambda f: _acf_band(f))
 fq("i9_i11_mean_spectrum")(lambda f: spectra.mean_spectrum(spectra.periodogram(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id"], 42, 6.0), 42, 6.0))
 fq("i10_welch")(lambda f: spectra.mean_spectrum(spectra.welch(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id"], "u", 42, 6.0), 42, 6.0))
 fq("i12_i13_coherence")(lambda f: spectra.coherence(spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42)))
-fq("i14_coherence_band")(
-    lambda f: bootstrap.coherence_band(
-        spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42).withColumn("block", F.col("buoy_id") % 15), "block", bootstrap.draws(f.sparkSession, 100, 15)
-    )
-)
+fq("i14_coherence_band")(lambda f: _coherence_band(f))
 fq("e3_regular_resample")(
     lambda f: resample.regular(tracks.legs(f).dropna(subset=["u", "v"]).withColumn("us", F.unix_micros("ts")), ["buoy_id"], "us", ["u", "v"], 4 * 3_600_000_000).select("buoy_id", "i", "u", "v")
 )
 
 
+def by_time(rows: DataFrame, f: DataFrame, days: float = 5) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with the block of their start, 1000 resamples of the blocks since the first fix); the tables span about a month."""
+    origin, n = bootstrap.blocks_since_start(f, "ts", days)
+    return rows.withColumn("block", bootstrap.time_block("start_us", days, origin)), bootstrap.draws(f.sparkSession, 1000, n)
+
+
 def _profile(f: DataFrame) -> DataFrame:
     rows = views.over_years(tracks.clean(f))
     return profile.seasonal_profile(rows, "u").join(profile.interannual_error(rows, "u"), ["iy", "season"])
 
 
+def _coherence_band(f: DataFrame) -> DataFrame:
+    cross, draws = by_time(spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42), f)
+    return bootstrap.coherence_band(cross, "block", draws)
+
+
 def _acf_band(f: DataFrame) -> DataFrame:
-    acf = spectra.acf_job(tracks.legs(f)).withColumn("block", F.col("buoy_id") % 15)
-    return bootstrap.over_blocks(acf, "block", ["lag"], "r", bootstrap.draws(f.sparkSession, 100, 15))
+    acf, draws = by_time(spectra.acf_job(tracks.legs(f)), f)
+    return bootstrap.over_blocks(acf, "block", ["lag"], "r", draws)

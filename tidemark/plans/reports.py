@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import bins
 from tidemark.operators import bootstrap, cregress, field, forecast, resample, selection, spectra, tracks, verify
 from tidemark.plans import views
-from tidemark.plans.registry import D8, drawn, fq, hav, r
+from tidemark.plans.registry import D8, by_time, drawn, fq, hav, r
 
 #: Edges of the 2-D error bins: first speed difference and first latitude.
 SPEED_EDGES = [0.0, 1 / 7, 2 / 7, 3 / 7, 4 / 7, 1.0]
@@ -268,15 +268,16 @@ fq("r2_profiles", f"""SELECT year, quarter, {r('lat', 'drift_u', 'field_u')} FRO
 
 def _acf_curve(f: DataFrame) -> DataFrame:
     """Mean autocorrelation with its band, on quarter hours."""
-    acf = spectra.acf_job(tracks.legs(f)).withColumn("block", F.col("buoy_id") % 15)
-    curve = bootstrap.over_blocks(acf, "block", ["lag"], "r", bootstrap.draws(f.sparkSession, 100, 15)).withColumn("us", F.col("lag").cast("long") * 4 * 3_600_000_000)
+    acf, draws = by_time(spectra.acf_job(tracks.legs(f)), f)
+    curve = bootstrap.over_blocks(acf, "block", ["lag"], "r", draws).withColumn("us", F.col("lag").cast("long") * 4 * 3_600_000_000)
     return resample.regular(curve, [], "us", ["mean", "low", "high"], 900_000_000, clamp=False)
 
 
 def _coherence(f: DataFrame) -> DataFrame:
     """Coherence of u and v by frequency with its band."""
     cross = spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42)
-    band = bootstrap.coherence_band(cross.withColumn("block", F.col("buoy_id") % 15), "block", bootstrap.draws(f.sparkSession, 100, 15))
+    blocks, draws = by_time(cross, f)
+    band = bootstrap.coherence_band(blocks, "block", draws)
     return spectra.coherence(cross).join(band.withColumnRenamed("mean", "drawn"), "k")
 
 
