@@ -4,9 +4,9 @@ Counts of words and of word pairs are gathered over all training texts. Each cou
 1 + floor(log_b c), and the n-gram is put into a Bloom filter at all levels up to its own; a reader probes level
 after level until one is missing, and takes the mean count of the last level found. The filter lies in blocks, by
 segments of the keys and classes of levels, built where the counts of a segment are. Blocks of the higher classes are
-broadcast, as many as a fixed room holds. Tokens that these do not tell are sent to the blocks of their segment, and
-rare words are joined with their counts: each n-gram seen in training counts in every score, whatever the size of
-the corpus.
+broadcast, as many as a fixed room holds; those of pairs met once or twice never are, as they are most of the filter
+at any size. Tokens that these do not tell are sent to the blocks of their segment, and rare words are joined with
+their counts: each n-gram seen in training counts in every score, whatever the size of the corpus.
 
 A pair (h, w) has probability (c(hw) + T(h) P(w)) / (c(h) + T(h)), T the number of different followers
 (Witten-Bell), with T and c of the history known by classes of its hash, and P(w) = (c(w) + 1) / (N + V + 1).
@@ -37,9 +37,12 @@ MAX_BITS = 1 << 29
 BITS_PER_ENTRY = 10
 #: The lowest level of each class of blocks.
 CLASSES = np.array([1, 2, 3, 5, 9, 14])
+#: Classes of pairs, from the lowest, that score() never broadcasts.
+ASKED = 2
 LEAST_TYPES = 1e-9
-#: Keys a task gathers before it passes on their counts.
+#: Keys a task gathers before it passes on their counts, and questions before it passes on those.
 _HELD = 3 << 20
+_HELD_QUESTIONS = 1 << 20
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
 START = int(mix(np.array([0x5354415254], dtype=U64))[0])
@@ -103,8 +106,29 @@ def _middle(level: np.ndarray, base: float) -> np.ndarray:
     return np.where(level > 0, np.maximum((base ** (level - 1.0) + base ** (level * 1.0) - 1) / 2, 1.0), 0.0)
 
 
-def _partial_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, n): counts of words and pairs, summed over some millions of tokens each."""
+def _smoothed(both: np.ndarray, count: np.ndarray, history: np.ndarray, ratio: np.ndarray, total: int) -> np.ndarray:
+    """log10 probability of tokens, from the counts of pair, token and history and the history's followers per time."""
+    own = (count + 1) / total
+    types = np.maximum(history * ratio, LEAST_TYPES)
+    return np.log10(np.where(history > 0, (np.minimum(both, history) + types * own) / (history + types), own))
+
+
+def _dealt(segment: np.ndarray, segments: int, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each segment met, with the bytes of each array's items there; a fraction of what rows for items take."""
+    segment = segment.astype(np.uint16 if segments <= 1 << 16 else np.uint32)
+    order = np.argsort(segment, kind="stable")
+    met, first = np.unique(segment[order], return_index=True)
+    held = [pa.array([part.tobytes() for part in np.split(a[order], first[1:])][: len(met)], pa.binary()) for a in arrays.values()]
+    return pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), *held], names=["segment", *arrays])
+
+
+def _items(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The items of all rows of a column that _dealt() made."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _partial_counts(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
+    """(segment, keys, n): counts of words and pairs, summed over some millions of tokens each, dealt to segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -116,7 +140,7 @@ def _partial_counts(docs: DataFrame, text_col: str) -> DataFrame:
             keys.sort()
             heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             n = np.diff(np.append(heads, len(keys))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(keys[heads].view(np.int64)), pa.array(n)], names=["key", "n"])
+            return _dealt(_segment(keys[heads], segments), segments, {"keys": keys[heads], "n": n})
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
@@ -129,7 +153,7 @@ def _partial_counts(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "segment long, keys binary, n binary")
 
 
 _ROWS = "kind int, key long, n long, bits binary"
@@ -159,8 +183,8 @@ def _counted(docs: DataFrame, text_col: str, base: float, bits_per_entry: float)
             return _summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
 
         for batch in batches:
-            held.append((batch.column("key").to_numpy().view(U64).copy(), batch.column("n").to_numpy().astype(np.int64)))
-            size += len(batch)
+            held.append((_items(batch.column("keys"), "<u8"), _items(batch.column("n"), "<i4").astype(np.int64)))
+            size += len(held[-1][0])
             if size > max(_HELD, len(keys)):
                 (keys, n), held, size = merged(), [], 0
         keys, n = merged()
@@ -181,8 +205,7 @@ def _counted(docs: DataFrame, text_col: str, base: float, bits_per_entry: float)
             bits = bloom.block(keys[at], level[at], bits_per_entry)
             yield rows(_BLOCK, place[at[:1]], np.array([len(bits)]), [bits.tobytes()])
 
-    segment = F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(segments - 1))
-    out = materialize(_partial_counts(docs, text_col).repartition(parts, segment).mapInArrow(count, _ROWS), "counts")
+    out = materialize(_partial_counts(docs, text_col, segments).repartition(parts, "segment").mapInArrow(count, _ROWS), "counts")
     release(spark)
     return out, segments
 
@@ -247,9 +270,7 @@ class Model:
 
     def smoothed(self, both: np.ndarray, count: np.ndarray, history: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 probability of tokens, from the counts of pair, token and history."""
-        own = (count + 1) / (self.n + self.v + 1)
-        types = np.maximum(history * self.types(before), LEAST_TYPES)
-        return np.log10(np.where(history > 0, (np.minimum(both, history) + types * own) / (history + types), own))
+        return _smoothed(both, count, history, self.types(before), self.n + self.v + 1)
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of common words, 0 of others."""
@@ -265,8 +286,11 @@ def train(docs: DataFrame, text_col: str = "text", **options: float) -> tuple[Mo
     return _trained(docs, text_col, **options)[:2]
 
 
-def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_words: int = COMMON_WORDS, base: float = LOG_BASE) -> tuple[Model, DataFrame, DataFrame]:
-    """(model, word counts (key, n), blocks (segment, place, bits) of pairs that are not in the model) of all texts."""
+def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_words: int = COMMON_WORDS, base: float = LOG_BASE, asked: int = 0) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, word counts (key, n), blocks (segment, place, bits) of pairs that are not in the model) of all texts.
+
+    The model lacks the ``asked`` lowest classes of pairs, and such others as ``max_bits`` has no room for.
+    """
     rows, segments = _counted(docs, text_col, base, BITS_PER_ENTRY)
     single = rows.where(F.col("kind") == _WORD).select("key", "n")
     classes = rows.where(F.col("kind").isin(_TYPES, _TIMES)).groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
@@ -293,9 +317,9 @@ def _trained(docs: DataFrame, text_col: str, max_bits: int = MAX_BITS, common_wo
     block = rows.where(F.col("kind") == _BLOCK)
     order, kind = F.floor(F.col("key") / len(CLASSES)) % 2, F.col("key") % len(CLASSES)
     sizes = {(r["o"], r["c"]): 64 * r["n"] for r in block.groupBy(order.alias("o"), kind.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    least = [0, 0]
+    least = [0, asked]
     while sum(x for (o, c), x in sizes.items() if c >= least[o]) > max_bits:
-        least[1 if least[1] <= least[0] + 1 and least[1] < len(CLASSES) else 0] += 1
+        least[1 if least[1] <= least[0] + 1 + asked and least[1] < len(CLASSES) else 0] += 1
     inside = kind >= F.when(order == 0, least[0]).otherwise(least[1])
     got = block.where(inside).select("key", "bits").toArrow()
     places, blocks = got["key"].to_numpy(), [np.frombuffer(b.as_buffer(), dtype="<u8") for b in got["bits"]]
@@ -327,11 +351,11 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
     probability; an empty table gives an empty result.
     """
     learn = docs.where(train_when)
-    model, singles, lacking = _trained(learn, text_col, **options)
+    model, singles, lacking = _trained(learn, text_col, **{"asked": ASKED, **options})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("id"), (~F.coalesce(train_when, F.lit(False))).alias("held_out"), F.col(text_col).alias("text"))
     rare = "keys array<bigint>, times array<int>"
-    untold = "pair array<bigint>, word array<bigint>, before array<bigint>, count array<double>, history array<double>, types array<double>, often array<int>"
+    untold = "pair array<bigint>, word array<bigint>, before array<bigint>, own array<tinyint>, past array<tinyint>, often array<int>"
     schema = shape(slim.select("id", "held_out"), f"row long, n_tokens long, n_known long, base double, score double, {rare}, {untold}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,23 +367,24 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
                 tokens, row = _tokens(data, offsets)
                 before = _histories(tokens, row)
                 word, back = np.unique(_word_keys(tokens), return_inverse=True)
-                count = m.counts(word)
+                level = m.blocks.levels(word)
+                count = _middle(level, m.base)
                 missing = m.words_open & (count == 0)
                 pair, at, inverse = np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True)
                 # of each different pair: its history's place among the words, -1 at a text's first
                 past = np.where(before[at] == U64(START), -1, back[np.maximum(at - 1, 0)])
                 own, history = count[back[at]], np.where(past < 0, 0, count[past])
+                followed = np.where(past < 0, 0, level[past])
                 both = m.counts(pair)
                 no_word, no_past = missing[back[at]], missing[past] & (past >= 0)
-                is_open = (m.pairs_open & (both == 0) & (past >= 0)) | no_word | no_past
+                is_open = (m.pairs_open & (both == 0) & (followed > 0)) | no_word | no_past
                 log = np.where(is_open, 0, m.smoothed(both, own, history, before[at]))
                 told = {
                     "pair": pair.view(np.int64),
                     "word": np.where(no_word, word[back[at]], 0).view(np.int64),
                     "before": np.where(no_past, word[past], 0).view(np.int64),
-                    "count": own,
-                    "history": history.astype(float),
-                    "types": np.where(past < 0, -1, m.types(before[at])),
+                    "own": level[back[at]].astype(np.int8),
+                    "past": followed.astype(np.int8),
                 }
                 exact = m.exact(word)
                 # the filter may lack words that were seen, so each word that is not common is joined
@@ -384,6 +409,7 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
 
     scored = materialize(slim.mapInArrow(run, schema), "scored")
     shared.unpersist()
+    release(docs.sparkSession)
     rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     known = rare.join(singles, "key")
     more = known.select("row", F.col("times").cast("long").alias("known"), (F.col("times") * F.log10(F.col("n") + 1)).alias("base"), F.lit(0.0).alias("score"))
@@ -408,36 +434,54 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
 def _untold(scored: DataFrame, words_: DataFrame, lacking: DataFrame, model: Model) -> DataFrame:
     """(row, known 0, base 0.0, score): log10 probabilities of the tokens that the model does not tell.
 
-    Words that its blocks lack are joined with their counts. Pairs go to their segment's blocks, two numbers with
-    each: those that the pair's own count is added to, T(h) P(w), and held under, c(h).
+    Words that its blocks lack are joined with their counts. Pairs go to their segment's blocks, with the levels of
+    token and history; a task packs its questions by segment.
     """
-    names = ["pair", "word", "before", "count", "history", "types", "often"]
+    names = ["pair", "word", "before", "own", "past", "often"]
     rows = scored.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *[F.col(f"x.{c}").alias(c) for c in names])
+    base, ratio, segments, total = model.base, model.ratio, model.blocks.segments, model.n + model.v + 1
     if model.words_open:
-        level = F.least(F.lit(MOST_LEVELS), F.floor(F.ln("n") / math.log(model.base) + 1e-9) + 1)
-        middle = F.greatest((F.pow(F.lit(model.base), level - 1) + F.pow(F.lit(model.base), level) - 1) / 2, F.lit(1.0))
-        for key, count in (("word", "count"), ("before", "history")):
+        level = F.least(F.lit(MOST_LEVELS), F.floor(F.ln("n") / math.log(base) + 1e-9) + 1).cast("tinyint")
+        for key, known in (("word", "own"), ("before", "past")):
             told, rest = rows.where(F.col(key) == 0), rows.where(F.col(key) != 0)
-            rest = rest.join(words_.select(F.col("key").alias(key), middle.alias("seen")), key, "left")
-            rows = told.unionByName(rest.withColumn(count, F.coalesce("seen", F.col(count))).select(told.columns))
-    own = (F.col("count") + 1) / (model.n + model.v + 1)
-    followed = (F.col("history") > 0) & (F.col("types") >= 0)
-    types = F.greatest(F.col("history") * F.col("types"), F.lit(LEAST_TYPES))
-    rows = rows.select("row", "pair", "often", followed.alias("followed"), own.alias("own"), "history", (types * own).alias("added"), (F.col("history") + types).alias("whole"))
-    alone = F.when(F.col("followed"), -F.log10("whole")).otherwise(F.log10("own"))
-    segment = F.shiftrightunsigned("pair", 40).bitwiseAND(F.lit(model.blocks.segments - 1))
-    asked = rows.where("followed").select(segment.alias("segment"), "row", "pair", F.col("history").cast("float").alias("history"), F.col("added").cast("float").alias("added"), "often")
-    base = model.base
+            rest = rest.join(words_.select(F.col("key").alias(key), level.alias("seen")), key, "left")
+            rows = told.unionByName(rest.withColumn(known, F.coalesce("seen", known)).select(told.columns))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            row, pair, own, past, often = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            pair = pair.view(U64)
+            levels = own.astype(np.uint16) | past.astype(np.uint16) << 8
+            return _dealt(_segment(pair, segments), segments, {"rows": row, "pairs": pair, "levels": levels, "often": often})
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy().copy() for c in ("row", "pair", "own", "past", "often")))
+            size += len(batch)
+            if size >= _HELD_QUESTIONS:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
 
     def probe(asked: pa.Table, blocks: pa.Table) -> pa.Table:
-        keys = asked["pair"].to_numpy().view(U64)
+        row, keys, levels, often = (_items(asked[c], t) for c, t in (("rows", "<i8"), ("pairs", "<u8"), ("levels", "<u2"), ("often", "<i4")))
         have = Blocks(blocks["place"].to_numpy() % (2 * len(CLASSES)), [np.frombuffer(b, dtype="<u8") for b in blocks["bits"].to_pylist()], 1)
-        history, added, often, row = (asked[c].to_numpy().astype(t) for c, t in (("history", float), ("added", float), ("often", float), ("row", np.int64)))
         different, at = np.unique(keys, return_inverse=True)
-        both = np.minimum(_middle(have.levels(different), base)[at], history)
+        both = _middle(have.levels(different), base)[at]
+        followers = ratio[((keys >> U64(1)) & _CLASS).astype(np.int64)]
+        log = _smoothed(both, _middle(levels & 255, base), _middle(levels >> 8, base), followers, total)
         who, at = np.unique(row, return_inverse=True)
-        return pa.table({"row": who, "score": np.bincount(at, weights=often * np.log10(both + added), minlength=len(who))})
-
-    told = asked.groupBy("segment").cogroup(lacking.groupBy("segment")).applyInArrow(probe, "row long, score double")
-    out = told.union(rows.select("row", F.col("often") * alone))
+        return pa.table({"row": who, "score": np.bincount(at, weights=often * log, minlength=len(who))})
+
+    questions = rows.where("past > 0").select("row", "pair", "own", "past", "often")
+    questions = questions.mapInArrow(pack, "segment long, rows binary, pairs binary, levels binary, often binary")
+    out = questions.groupBy("segment").cogroup(lacking.groupBy("segment")).applyInArrow(probe, "row long, score double")
+    if model.words_open:  # else each question has a history
+        middle = F.greatest((F.pow(F.lit(base), F.col("own") - 1) + F.pow(F.lit(base), "own") - 1) / 2, F.lit(1.0))
+        alone = F.log10((F.when(F.col("own") > 0, middle).otherwise(0.0) + 1) / total)
+        out = out.union(rows.where("past = 0").select("row", (F.col("often") * alone).alias("score")))
     return out.groupBy("row").agg(F.sum("score").alias("score")).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
