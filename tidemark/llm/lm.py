@@ -41,7 +41,7 @@ CLASSES = np.array([1, 2, 3, 5, 9, 14])
 ASKED = 2
 LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts, and questions before it passes on those.
-_HELD = 3 << 20
+_HELD = 1 << 20
 _HELD_QUESTIONS = 1 << 20
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
