@@ -73,11 +73,12 @@ def no_motion(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_f", first).withColumns({"lat_fc": F.col("_f.lat_true"), "lon_fc": F.col("_f.lon_true")}).drop("_f")
 
 
-def persistence(fixes: DataFrame, days: int = 8) -> DataFrame:
-    """Forecast positions that go on at the velocity of the last two fixes up to the start, in degrees."""
-    w = Window.partitionBy("buoy_id").orderBy("ts", "fix_id")
-    dt = seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(w)
-    moved = fixes.select("buoy_id", "ts", "fix_id", *[F.coalesce(F.try_divide(F.col(c) - F.lag(c).over(w), F.nullif(dt, F.lit(0.0))), F.lit(0.0)).alias(f"d{c}") for c in ("lon", "lat")])
+def persistence(fixes: DataFrame, days: int = 8, velocity_window: int = 2) -> DataFrame:
+    """Forecast positions that go on at the velocity between the first and last of the ``velocity_window`` fixes up
+    to the start, or of as many as there are, in degrees (F5)."""
+    w = Window.partitionBy("buoy_id").orderBy("ts", "fix_id").rowsBetween(-(velocity_window - 1), 0)
+    dt = seconds(F.col("ts")) - F.first(seconds(F.col("ts"))).over(w)
+    moved = fixes.select("buoy_id", "ts", "fix_id", *[F.coalesce(F.try_divide(F.col(c) - F.first(c).over(w), F.nullif(dt, F.lit(0.0))), F.lit(0.0)).alias(f"d{c}") for c in ("lon", "lat")])
     first = moved.groupBy("buoy_id", "ts").agg(F.min_by(F.struct("dlon", "dlat"), "fix_id").alias("v"))
     speeds = first.select("buoy_id", F.col("ts").alias("start_ts"), F.col("v.dlon").alias("vlon"), F.col("v.dlat").alias("vlat"))
     runs = no_motion(leads(fixes, days)).join(speeds, ["buoy_id", "start_ts"])
@@ -85,6 +86,22 @@ def persistence(fixes: DataFrame, days: int = 8) -> DataFrame:
     return runs.withColumns({"lat_fc": F.col("lat_fc") + F.col("vlat") * s, "lon_fc": F.col("lon_fc") + F.col("vlon") * s}).drop("vlon", "vlat")
 
 
+def base_speeds(legs: DataFrame, window_h: float = 6.0) -> DataFrame:
+    """(buoy_id, day, start_ts, last, median, mean): speeds that persist from a run's start.
+
+    They are those of the fixes in (start - ``window_h``, start]; without a window, of the fix at the start. Starts meet
+    fixes by buoy and day, so nothing is compared with a whole track. Null speeds count in ``last`` alone.
+    """
+    starts = legs.groupBy("buoy_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("start_ts"))
+    ago = seconds(F.col("start_ts")) - window_h * 3600
+    starts = starts.withColumn("_d", F.explode(F.sequence(F.to_date(F.timestamp_seconds(F.floor(ago))), F.col("day"))))
+    met = legs.select("buoy_id", F.to_date("ts").alias("_d"), "ts", "fix_id", "speed").join(starts, ["buoy_id", "_d"])
+    at = seconds(F.col("ts"))
+    met = met.where((F.col("ts") <= F.col("start_ts")) & ((at > ago) | (F.col("ts") == F.col("start_ts"))))
+    last = F.max_by("speed", F.struct("ts", "fix_id"))
+    return met.groupBy("buoy_id", "day", "start_ts").agg(last.alias("last"), F.percentile("speed", 0.5).alias("median"), F.avg("speed").alias("mean"))
+
+
 def align(truth: DataFrame, track: DataFrame) -> DataFrame:
     """Truth fixes of a run with the forecast track's position interpolated to them.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bins, geo
-from tidemark.operators import bootstrap, cregress, field, forecast, profile, quantreg, resample, selection, spectra, tracks, verify
+from tidemark.operators import bootstrap, cregress, field, forecast, profile, resample, selection, spectra, tracks, verify
 from tidemark.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,6 +244,15 @@ fq("f4_no_motion", f"SELECT buoy_id, fix_id, day, {r('lead_h', 'lat_fc', 'lon_fc
 fq("f5_persistence", f"""SELECT s.buoy_id, s.fix_id, s.day, {r('lat_fc + vlat * lead_h * 3600 AS lat_fc', 'lon_fc + vlon * lead_h * 3600 AS lon_fc')} FROM still s JOIN
   (SELECT buoy_id, ts AS start_ts, coalesce(dx_deg / nullif(dt_s, 0), 0) AS vlon, coalesce(dy_deg / nullif(dt_s, 0), 0) AS vlat, row_number() OVER (PARTITION BY buoy_id, ts ORDER BY fix_id) AS k FROM legs) v
   ON s.buoy_id = v.buoy_id AND s.start_ts = v.start_ts AND k = 1""")(lambda f: forecast.persistence(f).select("buoy_id", "fix_id", "day", "lat_fc", "lon_fc"))
+fq("f5_persistence_of_four", f"""SELECT s.buoy_id, s.fix_id, s.day, {r('lat_fc + vlat * lead_h * 3600 AS lat_fc', 'lon_fc + vlon * lead_h * 3600 AS lon_fc')} FROM still s JOIN
+  (SELECT buoy_id, ts AS start_ts, coalesce((lon - first_value(lon) OVER w) / nullif(dt, 0), 0) AS vlon, coalesce((lat - first_value(lat) OVER w) / nullif(dt, 0), 0) AS vlat, row_number() OVER (PARTITION BY buoy_id, ts ORDER BY fix_id) AS k
+  FROM (SELECT *, (epoch_us(ts) - first_value(epoch_us(ts)) OVER w) / 1e6 AS dt FROM fixes WINDOW w AS (PARTITION BY buoy_id ORDER BY ts, fix_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+  WINDOW w AS (PARTITION BY buoy_id ORDER BY ts, fix_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) v
+  ON s.buoy_id = v.buoy_id AND s.start_ts = v.start_ts AND k = 1""")(lambda f: forecast.persistence(f, velocity_window=4).select("buoy_id", "fix_id", "day", "lat_fc", "lon_fc"))
+fq("f5_base_speeds", f"""SELECT s.buoy_id, s.day, {r("arg_max({'x': speed}, (ts, fix_id)).x AS last", "quantile_cont(speed, 0.5) AS median", "avg(speed) AS mean")} FROM (SELECT DISTINCT buoy_id, day, start_ts FROM runs) s
+  JOIN legs l ON l.buoy_id = s.buoy_id AND l.ts <= s.start_ts AND l.ts > s.start_ts - INTERVAL 36 HOUR GROUP BY s.buoy_id, s.day, s.start_ts""")(
+    lambda f: forecast.base_speeds(tracks.legs(f), 36.0).drop("start_ts")
+)
 fq("f8_truncate", f"""SELECT buoy_id, fix_id FROM (SELECT *, max(CASE WHEN lon BETWEEN {B[0]} AND {B[1]} AND lat BETWEEN {B[2]} AND {B[3]} THEN 0 ELSE 1 END) OVER (PARTITION BY buoy_id ORDER BY ts) AS o,
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY buoy_id)) / 3.6e9 AS age FROM fixes) WHERE o = 0 AND age <= 168""")(
     lambda f: forecast.truncate(f.withColumn("run_id", F.col("buoy_id")), B).select("buoy_id", "fix_id")
@@ -295,9 +304,6 @@ fq("h1_h2_complex_correlation", f"""SELECT {r('sqrt(p * p + q * q) / sqrt(yy * w
 )
 query("h3_h4_h8_least_squares")(lambda s, d: cregress.least_squares(cregress.gram(_regressed(views.fixes(s, d)), ("u", "v"), {"w": ("w_re", "w_im"), "s": ("s_re", "s_im")}), ["w", "s"]).select("n", "c_w_re", "c_w_im", "c_s_re", "c_s_im"))
 query("h9_model_sweep")(lambda s, d: cregress.sweep(_regressed(views.fixes(s, d)), ("u", "v"), {"current": ("w_re", "w_im"), "wave": ("s_re", "s_im")}, {"turn": ("w_im", "s_re")}).select("model", "n", "r_x", "angle_x", "c_x_re", "c_x_im", "c_turn_re", "c_turn_im"))
-query("h10_quantile_surface")(
-    lambda s, d: quantreg.surface(verify.position_error(views.runs(views.fixes(s, d))).withColumns({"lat_init": F.col("lat_fc"), "diff_init": (F.col("fix_id") % 97) / 97.0}), step=24.0, bins=7, quantiles=(0.3, 0.5, 0.9), passes=12)
-)
 fq("h11_histogram", "SELECT least(floor((lon + 164.25) / 0.5), 7)::INT AS ix, least(floor((lat - 4.25) / 0.5), 7)::INT AS iy, count(*) AS n FROM fixes WHERE lon BETWEEN -164.25 AND -160.25 AND lat BETWEEN 4.25 AND 8.25 GROUP BY 1, 2")(
     lambda f: bins.histogram2d(f, "lon", "lat", (-164.25, 0.5, 8), (4.25, 0.5, 8))
 )

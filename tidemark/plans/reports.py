@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bins
-from tidemark.operators import bootstrap, cregress, field, forecast, resample, selection, spectra, tracks, verify
+from tidemark.operators import bootstrap, cregress, field, forecast, quantreg, resample, selection, spectra, tracks, verify
 from tidemark.plans import views
 from tidemark.plans.registry import D8, by_time, drawn, fq, hav, r
 
@@ -45,6 +47,11 @@ def surface(fx: DataFrame) -> DataFrame:
     return long.select(((F.col("bin") + 1) * verify.LEAD_STEP).alias("lead_h"), q.alias("q"), "b0", (F.col("m") / 10).alias("b_speed"), (-F.col("m") / 100).alias("b_lat"))
 
 
+def fitted(fx: DataFrame) -> DataFrame:
+    """The surface fitted by quantile regression, all 41 lead bins and nine quantiles."""
+    return quantreg.surface(errors(fx))
+
+
 def monthly(fx: DataFrame) -> DataFrame:
     """(month, lat, lon, u, v): twelve means on half degrees, of the fixes by their number."""
     u, v = (F.col("fix_id") % 101 - 50) / 63.0, (F.col("fix_id") % 89 - 44) / 61.0
@@ -112,9 +119,9 @@ fq("g6_enriched", f"""SELECT buoy_id, fix_id, minute, {r('arg_min(lat_true, lead
   WINDOW w AS (PARTITION BY buoy_id, minute)""")(_enriched)
 
 
-def _surface_check(f: DataFrame) -> DataFrame:
+def _surface_check(f: DataFrame, made: Callable[[DataFrame], DataFrame] = surface) -> DataFrame:
     rows = verify.first_in_window(errors(f), 68, 76)
-    return verify.against_surface(verify.binned_quantile(rows, "diff_init", "lat_init", SPEED_EDGES, LAT_EDGES, 0.7), surface(f), 72, 0.7)
+    return verify.against_surface(verify.binned_quantile(rows, "diff_init", "lat_init", SPEED_EDGES, LAT_EDGES, 0.7), made(f), 72, 0.7)
 
 
 _CASE = {n: "CASE " + " ".join(f"WHEN {c} > {lo!r} AND {c} <= {hi!r} THEN {i}" for i, (lo, hi) in enumerate(zip(e[:-1], e[1:], strict=True))) + " END" for n, c, e in (("ix", "diff_init", SPEED_EDGES), ("iy", "lat_init", LAT_EDGES))}
@@ -126,11 +133,15 @@ fq("r8_g17_surface_comparison", f"SELECT ix, iy, n, {r('x', 'y', 'quantile', 'pr
 fq("r8_r_squared", f"SELECT {r('1 - sum(pow(quantile - predicted, 2)) / sum(pow(quantile - m, 2)) AS r2')} FROM (SELECT *, avg(quantile) OVER () AS m FROM {_BINNED})")(lambda f: verify.r_squared(_surface_check(f), "quantile", "predicted"))
 
 
-def _cones(f: DataFrame) -> DataFrame:
+def _cones(f: DataFrame, made: Callable[[DataFrame], DataFrame] = surface) -> DataFrame:
     """Radii at the run's own leads, from the surface at any lead."""
     runs = errors(f).select("buoy_id", "day", "fix_id", "lead_h", "lat_fc", "lon_fc", "lat_init", "diff_init")
-    return verify.uncertainty_at(runs, surface(f)).select("buoy_id", F.col("day").cast("string").alias("start_day"), "fix_id", "q", "radius_km", "radius_deg")
+    return verify.uncertainty_at(runs, made(f)).select("buoy_id", F.col("day").cast("string").alias("start_day"), "fix_id", "q", "radius_km", "radius_deg")
+
 
+fq("h10_quantile_surface")(fitted)
+fq("r8_fitted_surface")(lambda f: _surface_check(f, fitted).select("ix", "iy", "n", "x", "y", "quantile", "predicted", "relative"))
+fq("r9_fitted_cones")(lambda f: _cones(f, fitted))
 
 _SEGMENTS = f"""(SELECT *, lead(lead_h) OVER w AS x1, lead(b0) OVER w AS c0, lead(b_speed) OVER w AS c1, lead(b_lat) OVER w AS c2, row_number() OVER w AS k, count(*) OVER (PARTITION BY q) AS n FROM {SURFACE} WINDOW w AS (PARTITION BY q ORDER BY lead_h))"""
 _MIXED = [f"s.{a} + (s.{b} - s.{a}) * (p.lead_h - s.lead_h) / (s.x1 - s.lead_h)" for a, b in (("b0", "c0"), ("b_speed", "c1"), ("b_lat", "c2"))]
