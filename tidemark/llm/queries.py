@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, langid, lm, mixing, nndescent, packing, repeats, simhash, tokencount, toxicity
-from .common import fold, table
+from . import cws, langid, lm, mixing, nndescent, packing, prefixtrie, repeats, simhash, tokencount, toxicity
+from .common import fold, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = prefixtrie.sequences(table(spark, sf_dir, "conversations"))
+    paths = prefixtrie.spliced(materialize(seqs, "sequences"), 20, fold(F.col("conv_id"), 4).cast("int"), 3)
+    numbers = ("n_convs", "n_children", "n_leaves", "saved_tokens")
+    return prefixtrie.trie(paths).select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", *numbers, "ends_sha256")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -84,6 +91,7 @@ QUERIES: dict[str, Query] = {
         op8_bounded_packing,
         op9_repeated_strings,
         op10_toxicity,
+        op11_prefix_trie,
     )
 }
 
@@ -98,4 +106,4 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_sainte_lague_mix": mixing.SQL, "op2_embedding_near_dedup": _LINKS_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sainte_lague_mix": mixing.SQL, "op2_embedding_near_dedup": _LINKS_SQL, "op11_prefix_trie": prefixtrie.SQL}
