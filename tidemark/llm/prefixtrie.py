@@ -10,9 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, n_words, shared_folder
+from .common import materialize, n_words, shape, shared_folder
 
 #: A turn in a path: digest of role and text, words of the text.
 TURN = "struct<digest: binary, words: bigint>"
@@ -108,69 +107,113 @@ def merged_ends(paths: DataFrame) -> DataFrame:
     return ends.join(paths.select("conv_id", "path"), "conv_id").select("path", "conv_id", "n_convs", "ends_sha256")
 
 
+def with_shared(ended: DataFrame) -> DataFrame:
+    """``ended`` with shared, the greatest depth to which a path runs together with another one.
+
+    Prefixes are counted by 64-bit hashes; should two be equal by chance, a path counts as shared for longer than
+    it is, which changes the work and no result.
+    """
+    hashes = F.aggregate("path", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), t.digest))))
+    prefixes = ended.select("conv_id", F.posexplode(hashes).alias("depth", "hash"))
+    alone = prefixes.groupBy("hash", "depth").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id")).where("n = 1")
+    first = alone.where("depth > 0").groupBy("conv_id").agg(F.min("depth").alias("first"))
+    return ended.join(first, "conv_id", "left").select(*ended.columns, F.coalesce(F.col("first") - 1, F.size("path")).alias("shared"))
+
+
+_SUMS = ("n_convs", "n_children", "n_leaves", "saved_tokens")
+_NODE = ("depth", "conv_id", *_SUMS, "ends_sha256", "digest", "key", "parent_key")
+
+
+def tails(ended: DataFrame) -> DataFrame:
+    """The nodes (_NODE) of each path beyond what it shares: no other conversation has them, so they are peeled off at once.
+
+    ``key`` is null, as no other node asks for these; ``parent_key`` is set for the topmost of a path only.
+    """
+    n = F.size("path")
+    at = ended.where(n > F.col("shared")).select("*", F.explode(F.sequence(F.col("shared") + 1, n)).alias("depth"))
+    words = F.aggregate(F.slice("path", F.col("depth"), n), F.lit(0).cast("long"), lambda acc, t: acc + t.words)
+    last = F.col("depth") == n
+    return at.select(
+        "depth", "conv_id", "n_convs", F.when(last, 0).otherwise(1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"),
+        ((F.col("n_convs") - 1) * words).alias("saved_tokens"), F.when(last, F.col("ends_sha256")).otherwise(NO_ENDS).alias("ends_sha256"),
+        F.element_at("path", F.col("depth")).digest.alias("digest"), F.lit(None).cast("string").alias("key"),
+        F.when(F.col("depth") == F.col("shared") + 1, node_key(F.slice("path", 1, F.col("shared")))).alias("parent_key"),
+    )
+
+
 def peel(ended: DataFrame) -> DataFrame:
-    """(path, conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256, depth) of every node.
+    """Every node (_NODE) of the trie of ``ended``, a table with the columns of with_shared().
 
     From the greatest depth to the root: the nodes of one level are the conversations that end there, merged with
     the nodes of the level below whose last turn is stripped. One grouping by the path that is left finds the
-    nodes and sums up all that they report, so nothing is counted again. Each level is written to the shared
-    folder before the next reads it; there are as many passes as the longest conversation has turns, each over the
-    nodes of two levels. A node with very many children gets one partial row from each task.
+    nodes and sums up all that they report, so nothing is counted again. What a conversation shares with no other
+    is stripped at once when it is met (tails), so there are as many passes as turns that two different
+    conversations share, each over the nodes of two levels; each level is written to the shared folder before the
+    next reads it. A node with very many children gets one partial row from each task.
     """
     spark = ended.sparkSession
-    deepest = ended.agg(F.max(F.size("path"))).first()[0]
-    here = ended.select("path", "conv_id", "n_convs", F.lit(0).cast("long").alias("n_children"), F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), "ends_sha256")
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in here.schema.fields])
+    own = tails(ended)
+    deepest = ended.agg(F.max("shared")).first()[0]
+    none = F.lit(0).cast("long")
+    ends = ended.where(F.size("path") == F.col("shared")).select("shared", "path", "conv_id", "n_convs", none.alias("n_children"), none.alias("n_leaves"), none.alias("saved_tokens"), "ends_sha256")
+    words = F.aggregate(F.slice("path", F.col("shared") + 1, F.size("path")), none, lambda acc, t: acc + t.words)
+    stripped = ended.where(F.size("path") > F.col("shared")).select("shared", F.slice("path", 1, F.col("shared")).alias("path"), "conv_id", "n_convs", (none + 1).alias("n_children"), (none + 1).alias("n_leaves"), ((F.col("n_convs") - 1) * words).alias("saved_tokens"), F.lit(None).cast("string").alias("ends_sha256"))
+    met = ends.unionByName(stripped)
+    columns = ["path", "conv_id", *_SUMS, "ends_sha256"]
+    schema = shape(met.select(*columns))
+    last = F.try_element_at("path", F.lit(-1))
     folder = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex[:12]}/nodes"
-    with_depth = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType(), True)])
-    if deepest is None:
-        return spark.createDataFrame([], with_depth)
-    last_words = F.coalesce(F.try_element_at("path", F.lit(-1)).words, F.lit(0))
     alive = None
-    for depth in range(deepest, -1, -1):
-        level = here.where(F.size("path") == depth)
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        level = met.where(F.col("shared") == depth).select(*columns)
         if alive is not None:
-            level = level.unionByName(alive.select(F.slice("path", 1, depth).alias("path"), "conv_id", "n_convs", F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends_sha256")))
-        sums = level.groupBy("path").agg(F.min("conv_id").alias("conv_id"), *(F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")), F.max("ends_sha256").alias("ends_sha256"))
-        sums = sums.withColumns({"n_leaves": F.greatest("n_leaves", F.lit(1).cast("long")), "saved_tokens": F.col("saved_tokens") + (F.col("n_convs") - 1) * last_words, "ends_sha256": F.coalesce("ends_sha256", F.lit(NO_ENDS))})
-        sums.select(*schema.names).write.parquet(f"{folder}/depth={depth}")
-        alive = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
-    return spark.read.schema(with_depth).parquet(folder)
+            level = level.unionByName(alive.select(F.slice("path", 1, depth).alias("path"), "conv_id", "n_convs", (none + 1).alias("n_children"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends_sha256")))
+        sums = level.groupBy("path").agg(F.min("conv_id").alias("conv_id"), *(F.sum(c).alias(c) for c in _SUMS), F.max("ends_sha256").alias("ends_sha256"))
+        sums = sums.withColumns({"n_leaves": F.greatest("n_leaves", none + 1), "saved_tokens": F.col("saved_tokens") + (F.col("n_convs") - 1) * F.coalesce(last.words, none), "ends_sha256": F.coalesce("ends_sha256", F.lit(NO_ENDS))})
+        sums.select(*columns).write.parquet(f"{folder}/level={depth}")
+        alive = spark.read.schema(schema).parquet(f"{folder}/level={depth}")
+    if alive is None:
+        return own
+    shared = spark.read.schema(schema).parquet(*[f"{folder}/level={d}" for d in range(deepest + 1)])
+    parent = F.when(F.size("path") > 0, node_key(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
+    shared = shared.select(F.size("path").alias("depth"), "conv_id", *_SUMS, "ends_sha256", last.digest.alias("digest"), node_key(F.col("path")).alias("key"), parent.alias("parent_key"))
+    return own.unionByName(shared)
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
     """``nodes`` with parent_conv_id, the conv_id of the node without the last turn; null for the root.
 
-    Parents of a thousandth of all nodes or more, a thousand at most, are broadcast; the others are joined by key,
-    none of which has more rows than that.
+    Within a tail that is the node's own. The others ask by key: parents of a thousandth of all nodes or more, a
+    thousand at most, are broadcast, the rest joined, where no key has more rows than that.
     """
     least = max(1, -(-nodes.count() // HOT))
-    keyed = nodes.withColumns({"_key": node_key(F.col("path")), "_parent": F.when(F.size("path") > 0, node_key(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))})
-    parents = keyed.select(F.col("_key").alias("_parent"), F.col("conv_id").alias("parent_conv_id"), "n_children")
+    parents = nodes.where("key is not null").select(F.col("key").alias("parent_key"), F.col("conv_id").alias("found"), "n_children")
     hot = parents.where(F.col("n_children") >= least).drop("n_children")
     others = parents.where((F.col("n_children") > 0) & (F.col("n_children") < least)).drop("n_children")
-    found = keyed.join(F.broadcast(hot), "_parent", "left")
-    known = found.where("parent_conv_id is not null or _parent is null")
-    rest = found.where("parent_conv_id is null and _parent is not null").drop("parent_conv_id").join(others, "_parent")
-    return known.unionByName(rest).drop("_key", "_parent")
+    told = nodes.join(F.broadcast(hot), "parent_key", "left")
+    known = told.where("found is not null or parent_key is null")
+    rest = told.where("found is null and parent_key is not null").drop("found").join(others, "parent_key")
+    parent = F.when(F.col("depth") > 0, F.coalesce("found", "conv_id"))
+    return known.unionByName(rest).select("conv_id", F.col("depth").cast("long").alias("depth"), parent.alias("parent_conv_id"), *_SUMS, "ends_sha256", "digest")
 
 
 def trie(paths: DataFrame) -> DataFrame:
-    """Every node of the prefix trie of ``paths`` (conv_id unique, path as TURN), the root with the empty path.
+    """Every node of the prefix trie of ``paths`` (conv_id unique, path as TURN), the root of depth 0 included.
 
     conv_id is the smallest member, parent_conv_id the parent's; n_convs the members, n_children the nodes one turn
     longer, n_leaves the childless nodes of the subtree, saved_tokens the sum over the subtree of the words of a
     node's last text times its members but one, ends_sha256 the hash of the ids of the conversations that end in
-    the node. An empty table gives no node, not even a root.
+    the node, digest its last turn's. An empty table gives no node, not even a root.
     """
-    return with_parents(peel(materialize(merged_ends(materialize(paths, "paths")), "ends")))
+    ended = materialize(merged_ends(materialize(paths, "paths")), "ends")
+    return with_parents(materialize(peel(materialize(with_shared(ended), "shared")), "trie"))
 
 
 def with_turns(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
     """``nodes`` with last_role and last_text, those of the turn that a node adds to its parent; null for the root."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    turns = conversations.select(turn_digest(role, text).alias("_digest"), role.alias("last_role"), text.alias("last_text")).dropDuplicates(["_digest"])
-    return nodes.withColumn("_digest", F.try_element_at("path", F.lit(-1)).digest).join(turns, "_digest", "left").drop("_digest")
+    turns = conversations.select(turn_digest(role, text).alias("digest"), role.alias("last_role"), text.alias("last_text")).dropDuplicates(["digest"])
+    return nodes.join(turns, "digest", "left")
 
 
 #: The nodes by SQL: every prefix of every rebuilt conversation as a list of (role, text), grouped and summed up its ancestors.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, langid, lm, mixing, nndescent, packing, prefixtrie, repeats, simhash, tokencount, toxicity
+from . import cws, langid, licenses, lm, merkle, mixing, nndescent, packing, prefixtrie, repeats, simhash, tokencount, toxicity
 from .common import fold, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = prefixtrie.sequences(table(spark, sf_dir, "conversations"))
     paths = prefixtrie.spliced(materialize(seqs, "sequences"), 20, fold(F.col("conv_id"), 4).cast("int"), 3)
-    numbers = ("n_convs", "n_children", "n_leaves", "saved_tokens")
-    return prefixtrie.trie(paths).select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", *numbers, "ends_sha256")
+    return prefixtrie.trie(paths).drop("digest")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 2) == 0)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Query] = {
@@ -92,6 +99,8 @@ QUERIES: dict[str, Query] = {
         op9_repeated_strings,
         op10_toxicity,
         op11_prefix_trie,
+        op12_merkle_manifest,
+        op13_license_scan,
     )
 }
 
@@ -106,4 +115,4 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_sainte_lague_mix": mixing.SQL, "op2_embedding_near_dedup": _LINKS_SQL, "op11_prefix_trie": prefixtrie.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sainte_lague_mix": mixing.SQL, "op2_embedding_near_dedup": _LINKS_SQL, "op11_prefix_trie": prefixtrie.SQL, "op12_merkle_manifest": merkle.SQL, "op13_license_scan": licenses.sql()}
