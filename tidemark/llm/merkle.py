@@ -14,7 +14,6 @@ from .common import materialize, shape
 FAN = 3
 #: Levels of a band. A block is the part of a band below one of its topmost nodes: FAN ** BAND leaves at most.
 BAND = 6
-WIDTH = FAN**BAND
 
 
 def encoded(value: Column) -> Column:
@@ -88,26 +87,22 @@ class Block:
         return out
 
 
-def _levels(size: int) -> int:
-    return min(BAND, height(size))
+def _block(band: int) -> Column:
+    return F.expr(f"rank div {FAN**band}")
 
 
-def _block() -> Column:
-    return F.expr(f"rank div {WIDTH}")
-
-
-def _dealt(leaves: DataFrame, tree: list[str]) -> DataFrame:
+def _dealt(leaves: DataFrame, tree: list[str], band: int) -> DataFrame:
     """Leaves of a band, those of one block in one partition and in order of rank."""
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return leaves.repartition(n, *tree, _block()).sortWithinPartitions(*tree, "rank")
+    return leaves.repartition(n, *tree, _block(band)).sortWithinPartitions(*tree, "rank")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tree: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+def _blocks(batches: Iterator[pa.RecordBatch], tree: list[str], band: int) -> Iterator[tuple[tuple, pa.Table]]:
     """(tree and number of the block, rows) of rows as _dealt() sorts them; a block may lie in several batches."""
     open_key, parts = None, []
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in tree]
-        keys = list(zip(*columns, [r // WIDTH for r in batch.column("rank").to_pylist()], strict=True))
+        keys = list(zip(*columns, [r // FAN**band for r in batch.column("rank").to_pylist()], strict=True))
         start = 0
         for i in range(1, len(keys) + 1):
             if i < len(keys) and keys[i] == keys[start]:
@@ -122,7 +117,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tree: list[str]) -> Iterator[tupl
         yield open_key, pa.Table.from_batches(parts)
 
 
-def bands(leaves: DataFrame, tree: list[str], name: str) -> list[DataFrame]:
+def bands(leaves: DataFrame, tree: list[str], band: int, name: str) -> list[DataFrame]:
     """The leaves of each band of every tree, from the lowest: (tree, rank, size, lo, hi, digest).
 
     The leaves of a band above the first are the topmost nodes of the band below; ``lo`` and ``hi`` tell the ranks
@@ -137,11 +132,11 @@ def bands(leaves: DataFrame, tree: list[str], name: str) -> list[DataFrame]:
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=kinds)
 
-        for key, block in _blocks(batches, tree):
+        for key, block in _blocks(batches, tree, band):
             kinds = kinds or pa.schema([block.schema.field(c) for c in schema.names])
             size = block.column("size")[0].as_py()
-            top = Block(block.column("digest").to_pylist(), _levels(size)).top()
-            out.append((*key, -(-size // WIDTH), block.column("lo")[0].as_py(), block.column("hi")[-1].as_py(), top))
+            top = Block(block.column("digest").to_pylist(), min(band, height(size))).top()
+            out.append((*key, -(-size // FAN**band), block.column("lo")[0].as_py(), block.column("hi")[-1].as_py(), top))
             if len(out) == 10000:
                 yield rows()
                 out.clear()
@@ -150,11 +145,11 @@ def bands(leaves: DataFrame, tree: list[str], name: str) -> list[DataFrame]:
 
     found = [leaves]
     while len(found) == 1 or (found[-1].agg(F.max("size")).first()[0] or 1) > 1:
-        found.append(materialize(_dealt(found[-1].select(*schema.names), tree).mapInArrow(tops, schema), f"{name}{len(found)}"))
+        found.append(materialize(_dealt(found[-1].select(*schema.names), tree, band).mapInArrow(tops, schema), f"{name}{len(found)}"))
     return found
 
 
-def with_siblings(found: list[DataFrame], tree: list[str], roots: DataFrame, given: list[str]) -> DataFrame:
+def with_siblings(found: list[DataFrame], tree: list[str], band: int, roots: DataFrame, given: list[str]) -> DataFrame:
     """The leaves of the lowest band with ``steps`` (left and right siblings of each ancestor, from the leaf to the root) and ``given``.
 
     ``roots`` has a row for each tree, with the steps above its root and the columns ``given``, which all its leaves
@@ -165,31 +160,31 @@ def with_siblings(found: list[DataFrame], tree: list[str], roots: DataFrame, giv
     """
     above = roots.withColumns({"rank": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit((1 << 63) - 1)})
     passed = ["steps", *given]
-    for band in range(len(found) - 2, -1, -1):
-        leaves = found[band]
+    for i in range(len(found) - 2, -1, -1):
+        leaves = found[i]
         schema = shape(leaves.join(above.select(*passed), F.lit(False)))
 
         def attached(batches: Iterator[pa.RecordBatch], names: list[str] = schema.names) -> Iterator[pa.RecordBatch]:
-            for _, rows in _blocks(batches, tree):
-                block = Block(rows.column("digest").to_pylist(), _levels(rows.column("size")[0].as_py()))
+            for _, rows in _blocks(batches, tree, band):
+                block = Block(rows.column("digest").to_pylist(), min(band, height(rows.column("size")[0].as_py())))
                 outer = rows.column("steps")[0].as_py()
                 columns = {c: rows.column(c) for c in names}
-                columns["steps"] = pa.array([block.siblings(i) + outer for i in range(len(rows))], rows.schema.field("steps").type)
+                columns["steps"] = pa.array([block.siblings(k) + outer for k in range(len(rows))], rows.schema.field("steps").type)
                 for c in given:
                     columns[c] = pa.repeat(rows.column(c)[0], len(rows))
                 yield from pa.table(columns).to_batches()
 
         outer = above.select(F.struct(*tree).alias("_tree"), F.col("rank").alias("_rank"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *passed)
-        inside = (F.struct(*tree) == F.col("_tree")) & (_block() == F.col("_rank")) & (F.col("_lo") <= F.col("lo")) & (F.col("hi") <= F.col("_hi"))
-        first = leaves.where(f"rank % {WIDTH} = 0").join(outer, inside).select(*schema.names)
-        others = leaves.where(f"rank % {WIDTH} > 0").select("*", *[F.lit(None).cast(schema[c].dataType).alias(c) for c in passed])
-        above = _dealt(first.unionByName(others), tree).mapInArrow(attached, schema)
-        if band:
-            above = materialize(above, f"steps{band}")
+        inside = (F.struct(*tree) == F.col("_tree")) & (_block(band) == F.col("_rank")) & (F.col("_lo") <= F.col("lo")) & (F.col("hi") <= F.col("_hi"))
+        first = leaves.where(f"rank % {FAN**band} = 0").join(outer, inside).select(*schema.names)
+        others = leaves.where(f"rank % {FAN**band} > 0").select("*", *[F.lit(None).cast(schema[c].dataType).alias(c) for c in passed])
+        above = _dealt(first.unionByName(others), tree, band).mapInArrow(attached, schema)
+        if i:
+            above = materialize(above, f"steps{i}")
     return above
 
 
-def manifest(leaves: DataFrame, tree: list[str], order: list[str]) -> DataFrame:
+def manifest(leaves: DataFrame, tree: list[str], order: list[str], band: int = BAND) -> DataFrame:
     """``leaves`` with rank, size, lo, hi, steps, subroot and root: their place in the tree of their source and the proof.
 
     ``tree`` names the columns that tell trees apart, ``order`` those that order the leaves within one; ``digest``
@@ -199,12 +194,12 @@ def manifest(leaves: DataFrame, tree: list[str], order: list[str]) -> DataFrame:
     an empty result.
     """
     interval = {"lo": F.col("rank"), "hi": F.col("rank") + 1}
-    found = bands(materialize(ranked(leaves, tree, order, "leaves").withColumns(interval), "ranked"), tree, "band")
+    found = bands(materialize(ranked(leaves, tree, order, "leaves").withColumns(interval), "ranked"), tree, band, "band")
     subroots = found[-1].select(*tree, "digest").withColumn("_all", F.lit(0))
-    over = bands(ranked(subroots, ["_all"], tree, "subroots").withColumns(interval), ["_all"], "top")
+    over = bands(ranked(subroots, ["_all"], tree, "subroots").withColumns(interval), ["_all"], band, "top")
     root = over[-1].select("_all", F.array().cast("array<string>").alias("steps"), F.col("digest").alias("root"))
-    proved = materialize(with_siblings(over, ["_all"], root, ["root"]).select(*tree, "steps", F.col("digest").alias("subroot"), "root"), "roots")
-    return with_siblings(found, tree, proved, ["subroot", "root"])
+    proved = materialize(with_siblings(over, ["_all"], band, root, ["root"]).select(*tree, "steps", F.col("digest").alias("subroot"), "root"), "roots")
+    return with_siblings(found, tree, band, proved, ["subroot", "root"])
 
 
 def folded(digest: Column, steps: Column) -> Column:
@@ -214,7 +209,7 @@ def folded(digest: Column, steps: Column) -> Column:
     return F.when(F.size(steps) == 0, digest).otherwise(fold)
 
 
-def documents_manifest(docs: DataFrame, tampered: Column) -> DataFrame:
+def documents_manifest(docs: DataFrame, tampered: Column, band: int = BAND) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every document.
 
     Where ``tampered``, the leaf that is folded is that of a text without its \\n characters; siblings and all
@@ -225,7 +220,7 @@ def documents_manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     bare = leaf_digest(*fields, F.translate("text", "\n", ""))
     leaves = docs.select("doc_id", "source", leaf_digest(*fields, F.col("text")).alias("digest"), F.when(tampered, bare).alias("bare"))
     leaves = materialize(leaves, "digests")
-    out = manifest(leaves, ["source"], ["doc_id", "digest"])
+    out = manifest(leaves, ["source"], ["doc_id", "digest"], band)
     root = folded(F.coalesce("bare", "digest"), F.col("steps"))
     out = out.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(F.array_join("steps", ""), 256).alias("proof_sha256"), root.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
