@@ -151,7 +151,7 @@ fq("e8_coefficients_at", f"SELECT p.buoy_id, p.day::VARCHAR AS start_day, p.fix_
 )
 fq("r9_g23_cones", f"""SELECT buoy_id, start_day, fix_id, q, {r('km AS radius_km', 'km / 111 AS radius_deg')} FROM (SELECT p.buoy_id, p.day::VARCHAR AS start_day, p.fix_id, s.q,
   greatest(0.01, {_MIXED[0]} + ({_MIXED[1]}) * p.diff_init + ({_MIXED[2]}) * p.lat_init) AS km {_ON})""")(_cones)
-fq("e9_nearest_lead", f"""SELECT buoy_id, day::VARCHAR AS start_day, fix_id, least(greatest(ceil((lead_h - 2) / 4) * 4, lo), hi) AS nearest_lead_h FROM runs, (SELECT min(lead_h) AS lo, max(lead_h) AS hi FROM {SURFACE})""")(
+fq("e9_nearest_lead", f"""SELECT buoy_id, day::VARCHAR AS start_day, fix_id, least(greatest(ceil((lead_h - 2) / 4) * 4, lo), hi) AS nearest_lead_h FROM runs, (SELECT (min(bin) + 1) * 4.0::DOUBLE AS lo, (max(bin) + 1) * 4.0::DOUBLE AS hi FROM binned)""")(
     lambda f: resample.nearest_row(forecast.leads(f).withColumnRenamed("lead_h", "p"), surface(f), "p", "lead_h").select("buoy_id", F.col("day").cast("string").alias("start_day"), "fix_id", "nearest_lead_h")
 )
 

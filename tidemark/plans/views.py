@@ -58,6 +58,20 @@ def sampled_field(fx: DataFrame) -> DataFrame:
     return cell.groupBy("time", "lat", "lon").agg(F.avg(u).alias("u"), F.avg(v).alias("v"))
 
 
+def uneven_products(fx: DataFrame) -> DataFrame:
+    """Two products (product, time, depth, lat, lon, u, v) of the fixes' cells, each on uneven axes of its own, some nodes absent.
+
+    The current has times at 0 to 2 h of the day, stretched latitudes and four depths over which it is curved; the wind has
+    every other day, no depth but 10, and stretched longitudes.
+    """
+    cells = sampled_field(fx)
+    depth = F.explode(F.array(*[F.lit(z) for z in (0.5, 5.0, 20.0, 50.0)]))
+    current = cells.select(F.lit("current").alias("product"), F.timestamp_seconds(F.unix_seconds("time") + F.day("time") % 3 * 3600).alias("time"), depth.alias("depth"), (F.col("lat") + F.col("lat") * F.col("lat") / 40.0).alias("lat"), "lon", "u", "v")
+    current = current.withColumn("u", F.col("u") - F.col("depth") * F.col("v") / 64.0 + F.col("depth") * F.col("depth") / 512.0)
+    wind = cells.where("day(time) % 2 = 1").select(F.lit("wind").alias("product"), "time", F.lit(10.0).alias("depth"), "lat", (F.col("lon") - (F.col("lon") + 160) * (F.col("lon") + 160) / 32.0).alias("lon"), (F.col("v") * 2).alias("u"), (F.col("u") - 1).alias("v"))
+    return current.unionByName(wind)
+
+
 def runs(fx: DataFrame) -> DataFrame:
     """No-motion forecasts of a run from each buoy's first fix of each day."""
     return no_motion(leads(fx))
