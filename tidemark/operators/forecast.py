@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import in_box
 from tidemark.operators.asof import around
+from tidemark.operators.scan import over_track
 from tidemark.operators.tracks import seconds
 
 
-def trailing_velocity(legs: DataFrame, k: int) -> DataFrame:
+def trailing_velocity(legs: DataFrame, k: int, most_rows: int | None = None) -> DataFrame:
     """Mean velocity of a track's last k fixes (F2)."""
-    w = Window.partitionBy("buoy_id").orderBy("ts", "fix_id").rowsBetween(-(k - 1), 0)
-    return legs.withColumns({"u_mean": F.avg("u").over(w), "v_mean": F.avg("v").over(w)})
+    return over_track(legs, lambda w: {f"{c}_mean": F.avg(c).over(w.rowsBetween(-(k - 1), 0)) for c in ("u", "v")}, k - 1, 0, most_rows)
 
 
 def daily_starts(fixes: DataFrame, legacy_dedupe: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.search import position
+
 #: Axis values, of all axes and grids together, up to which they are broadcast (8 bytes each).
 MOST_VALUES = 200_000
 #: Axis values in a coarse bucket, the unit of the two-level numbering beyond that.
@@ -25,18 +27,6 @@ def axis_values(field: DataFrame, axes: list[str], keys: list[str]) -> DataFrame
     return field.select(*keys, F.inline(each)).where("value is not null").distinct()
 
 
-def _found(x: Column, axis: Column, steps: int) -> Column:
-    """Position of the last axis value that is not greater than x, by bisection."""
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-        up = F.get(axis, mid) <= x
-        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid - 1).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), (F.size(axis) - 1).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
-
-
 def _by_search(points: DataFrame, nodes: DataFrame, values: DataFrame, n: int, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """Points and nodes with the positions _i of their cell or node and the points' shares _f, the axes being broadcast."""
     arrays = values.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("axis") == i, F.col("value")))).alias(f"_v{i}") for i in range(n)])
@@ -47,11 +37,11 @@ def _by_search(points: DataFrame, nodes: DataFrame, values: DataFrame, n: int, k
     for i in range(n):
         axis, x = F.col(f"_v{i}"), F.col(f"_a{i}")
         inside = (x >= F.get(axis, F.lit(0))) & (x <= F.get(axis, F.size(axis) - 1))
-        at = F.greatest(F.least(_found(x, axis, steps), F.size(axis) - 2), F.lit(0))
+        at = F.greatest(F.least(position(x, axis, steps), F.size(axis) - 2), F.lit(0))
         made[f"_i{i}"] = F.when(inside, at)
         low, high = F.get(axis, F.col(f"_i{i}")), F.get(axis, F.col(f"_i{i}") + 1)
         shares[f"_f{i}"] = F.when(F.size(axis) > 1, (x - low) / (high - low)).when(x == low, 0.0)  # _o: an axis of one value, whose node is its own neighbour
-        own |= {f"_i{i}": _found(x, axis, steps), f"_o{i}": F.size(axis) == 1}
+        own |= {f"_i{i}": position(x, axis, steps), f"_o{i}": F.size(axis) == 1}
     drop = [f"_v{i}" for i in range(n)]
     return joined.withColumns(made).withColumns(shares).drop(*drop), on_axis.withColumns(own).drop(*drop)
 

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.resample import regular
+from tidemark.operators.scan import over_track, running_sum
 
 
-def split_at_gaps(fixes: DataFrame, most_hours: float) -> DataFrame:
-    """Fixes with their segment; a gap longer than ``most_hours`` starts a new one, segments of one fix go."""
-    w = Window.partitionBy("buoy_id").orderBy("ts", "fix_id")
+def split_at_gaps(fixes: DataFrame, most_hours: float, most_rows: int | None = None) -> DataFrame:
+    """Fixes with their segment; a gap longer than ``most_hours`` starts a new one, segments of one fix go.
+
+    A fix is alone in its segment if a gap, or the end of the track, is on each side of it. Tracks of over
+    ``most_rows`` fixes are cut into ranges of time (scan.over_track, scan.running_sum).
+    """
+    most = int(most_hours * 3.6e9)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    new = F.coalesce((us - F.lag(us).over(w)) > int(most_hours * 3.6e9), F.lit(False)).cast("int")
-    out = fixes.withColumn("segment", F.sum(new).over(w))
-    return out.withColumn("_n", F.count("*").over(Window.partitionBy("buoy_id", "segment"))).where("_n > 1").drop("_n")
+
+    def gaps(w: WindowSpec) -> dict[str, Column]:
+        back, ahead = us - F.lag(us).over(w), F.lead(us).over(w) - us
+        ends = F.lead(F.lit(1)).over(w).isNull() | F.coalesce(ahead > most, F.lit(False))
+        return {"_new": F.coalesce(back > most, F.lit(False)).cast("int"), "_first": F.lag(F.lit(1)).over(w).isNull(), "_ends": ends}
+
+    out = running_sum(over_track(fixes, gaps, 1, 1, most_rows), "_new", "segment", most_rows)
+    return out.where(~(F.col("_ends") & (F.col("_first") | (F.col("_new") == 1)))).drop("_new", "_first", "_ends")
 
 
 def chunks(segments: DataFrame, step_h: float, days: float) -> DataFrame:

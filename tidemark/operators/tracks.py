@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import displacement_km, haversine_km, in_box, in_polygon, nearest_on_leg
+from tidemark.operators.scan import over_track
 
 FASTEST, SLOWEST = 2.0, 0.001
 
@@ -71,13 +72,13 @@ def touching_domain(fixes: DataFrame, **domain) -> DataFrame:
     return fixes.join(domain_runs(fixes, **domain).select("buoy_id").distinct(), "buoy_id", "left_semi")
 
 
-def legs(fixes: DataFrame, legacy_axis_order: bool = False) -> DataFrame:
+def legs(fixes: DataFrame, legacy_axis_order: bool = False, most_rows: int | None = None) -> DataFrame:
     """Fixes with the leg that ends on them: differences, kilometres, seconds, speeds in m/s.
 
-    A track's first fix has nulls; a leg of no duration has null speeds.
+    A track's first fix has nulls; a leg of no duration has null speeds. Tracks of over ``most_rows`` fixes are cut
+    into ranges of time (scan.over_track).
     """
-    w = track()
-    out = fixes.withColumns({"lon0": F.lag("lon").over(w), "lat0": F.lag("lat").over(w), "_us0": F.lag(micros(F.col("ts"))).over(w)})
+    out = over_track(fixes, lambda w: {"lon0": F.lag("lon").over(w), "lat0": F.lag("lat").over(w), "_us0": F.lag(micros(F.col("ts"))).over(w)}, before=1, most_rows=most_rows)
     east, north = displacement_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"), legacy_axis_order)
     whole = haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
     out = out.withColumns({"dx_deg": F.col("lon") - F.col("lon0"), "dy_deg": F.col("lat") - F.col("lat0"), "x_km": east, "y_km": north, "xy_km": whole, "dt_s": (micros(F.col("ts")) - F.col("_us0")) / 1e6})
@@ -164,10 +165,11 @@ def repeated_names(rows: DataFrame, name: str = "buoy_id") -> DataFrame:
     return rows.withColumn("_n", F.count("*").over(Window.partitionBy(name))).where("_n > 1").drop("_n")
 
 
-def rolling_mean(df: DataFrame, column: str, out: str, rows: int = 6, keep_null: bool = True) -> DataFrame:
+def rolling_mean(df: DataFrame, column: str, out: str, rows: int = 6, keep_null: bool = True, most_rows: int | None = None) -> DataFrame:
     """Centred mean over ``rows`` rows of a track, of an even number one more before than after."""
     df = df if keep_null else df.where(F.col(column).isNotNull())
-    return df.withColumn(out, F.avg(column).over(track().rowsBetween(-(rows // 2), (rows - 1) // 2)))
+    before, after = rows // 2, (rows - 1) // 2
+    return over_track(df, lambda w: {out: F.avg(column).over(w.rowsBetween(-before, after))}, before, after, most_rows)
 
 
 def magnitude(u: Column, v: Column) -> Column:
