@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import select
+
 
 def harmonise(field: DataFrame, digits: int = 4) -> DataFrame:
     """Coordinates rounded so that keys join (B1)."""
@@ -160,9 +162,10 @@ def zonal_mean(field: DataFrame) -> DataFrame:
     return field.groupBy("time", "lat").agg(F.avg("u").alias("u"))
 
 
-def zonal_scale(field: DataFrame, q: float = 0.98) -> DataFrame:
-    """The q-quantile of the zonal means' size, to scale them by."""
-    return zonal_mean(field).agg(F.percentile(F.abs("u"), F.lit(q)).alias("scale"))
+def zonal_scale(field: DataFrame, q: float = 0.98, few: int | None = None) -> DataFrame:
+    """The q-quantile of the zonal means' size, to scale them by (B13); with ``few`` by selection (quantiles.select)."""
+    size = zonal_mean(field).select(F.abs("u").alias("u"))
+    return select(size, [], "u", [q], few).select(F.col("quantiles")[0].alias("scale")) if few else size.agg(F.percentile("u", F.lit(q)).alias("scale"))
 
 
 def quarterly_profile(field: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.functions.bins import edge_bin, equal_bin
 from tidemark.functions.geo import haversine_km
 from tidemark.operators.asof import nearest
 from tidemark.operators.resample import coefficients_at
+from tidemark.operators.quantiles import select
 
 LEAD_STEP, LEAD_BINS = 4.0, 48
 RUN = ["buoy_id", "start_ts"]
@@ -88,12 +89,19 @@ def lead_bin(lead_h: Column, step: float = LEAD_STEP, n: int = LEAD_BINS) -> Col
     return equal_bin(lead_h, 0.0, step, n)
 
 
-def by_lead(df: DataFrame, step: float = LEAD_STEP, n: int = LEAD_BINS, quantiles: tuple = (0.3, 0.9), keys: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """RMSE and quantiles of the error for each lead bin; empty bins stay, with nulls."""
+def by_lead(df: DataFrame, step: float = LEAD_STEP, n: int = LEAD_BINS, quantiles: tuple = (0.3, 0.9), keys: list[str] | None = None, approximate: bool = False, few: int | None = None) -> DataFrame:
+    """RMSE and quantiles of the error for each lead bin; empty bins stay, with nulls.
+
+    Plain percentiles hold a bin's distinct errors in one task; with ``few`` they come by selection (quantiles.select).
+    """
     keys = keys or []
     q = F.percentile_approx if approximate else F.percentile
     binned = df.withColumn("bin", lead_bin(F.col("lead_h"), step, n)).where(F.col("bin").isNotNull() & F.col("error_km").isNotNull())
-    got = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error_km") * F.col("error_km"))).alias("rmse"), *[q("error_km", F.lit(x)).alias(f"q{int(x * 100)}") for x in quantiles])
+    inside = [] if few else [q("error_km", F.lit(x)).alias(f"q{int(x * 100)}") for x in quantiles]
+    got = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error_km") * F.col("error_km"))).alias("rmse"), *inside)
+    if few:
+        chosen = select(binned, [*keys, "bin"], "error_km", quantiles, few).drop("n")
+        got = got.join(chosen, [*keys, "bin"], "left").withColumns({f"q{int(x * 100)}": F.get("quantiles", F.lit(i)) for i, x in enumerate(quantiles)}).drop("quantiles")
     spark = df.sparkSession
     bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))
     if keys:
