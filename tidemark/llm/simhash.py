@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shape, text_key
@@ -292,8 +292,12 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that keep_one_of_each_group keeps of ``groups`` (id, text_key, fingerprint, component_id)."""
     order = F.struct(F.col("id").isNull().alias("_no"), F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    stay = groups.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fingerprint").cast("string"))).alias("_g")).agg(F.min(order).alias("_o")).select("_o._id", "_o._key")
-    keyed = docs.withColumn("_tidemark_key", text_key(F.col(text_col)))
-    on = keyed[id_col].eqNullSafe(stay._id) & (keyed["_tidemark_key"] == stay._key)
-    kept = keyed.join(stay, on, "left_semi")
-    return kept.dropDuplicates([id_col, "_tidemark_key"]).select(*docs.columns)
+    stay = groups.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fingerprint").cast("string"))).alias("_g")).agg(F.min(order).alias("_o"))
+
+    def key(id_: Column, text: Column) -> dict[str, Column]:
+        return {"_tidemark_null": id_.isNull(), "_tidemark_id": F.coalesce(id_.cast("string"), F.lit("")), "_tidemark_key": text}
+
+    # one key for the join and for what repeats, so texts are shuffled once
+    named = key(F.col("_o._id"), F.col("_o._key"))
+    kept = docs.withColumns(key(F.col(id_col), text_key(F.col(text_col)))).join(stay.select(*[c.alias(n) for n, c in named.items()]), list(named), "left_semi")
+    return kept.dropDuplicates(list(named)).select(*docs.columns)
