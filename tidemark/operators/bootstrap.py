@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Modulus of the draws, a prime.
 PRIME = 2147483647
 #: Where the distribution of a Poisson number of mean 1 passes to 1, 2, ..., as parts of PRIME.
 POISSON = [int(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1))) for i in range(9)]
+#: Cells whose sums a task keeps at a time, and rows whose numbers of draws it makes at once.
+MOST_CELLS, ROWS = 1000, 1024
 
 
 def drawn_index(resample: Column, draw: Column, n: int | Column, seed: int) -> Column:
@@ -50,48 +56,82 @@ def over_blocks(rows: DataFrame, block: str, keys: list[str], value: str, draw_t
     return band(means, keys)
 
 
-def time_block(start_us: str, days: float, origin_us: int | None = None):
-    """Number of the block of ``days`` days since an origin (I8)."""
-    return F.floor((F.col(start_us) - F.lit(origin_us or 0)) / int(days * 8.64e10))
+def numbered_blocks(rows: DataFrame, start_us: str, days: float = 100) -> tuple[DataFrame, int]:
+    """(``rows`` with block, number of blocks), for draws(): blocks of ``days`` days since the first start, those that hold rows numbered from 0 (I8).
 
-
-def blocks_since_start(rows: DataFrame, ts: str = "ts", days: float = 100) -> tuple[int, int]:
-    """(first time in microseconds, number of blocks of ``days`` days up to the last), for time_block() and draws() (I8)."""
-    low, high = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
-    return (0, 1) if low is None else (low, (high - low) // int(days * 8.64e10) + 1)
+    Rows of a null start have no block and are drawn by no resample. There are as many blocks as the rows' span has
+    periods, so they are numbered in one task and broadcast.
+    """
+    length = int(days * 8.64e10)
+    period = F.floor((F.col(start_us) - F.col("_origin")) / length)
+    placed = rows.join(F.broadcast(rows.agg(F.min(start_us).alias("_origin")))).withColumn("_period", period).drop("_origin")
+    blocks = placed.where("_period is not null").select("_period").distinct().withColumn("block", (F.row_number().over(Window.orderBy("_period")) - 1).cast("long"))
+    return placed.join(F.broadcast(blocks), "_period", "left").select(*rows.columns, "block"), max(blocks.count(), 1)
 
 
 def coherence_band(spectra: DataFrame, block: str, draw_table: DataFrame) -> DataFrame:
-    """Band of the coherence when blocks of chunks are drawn with replacement."""
+    """Band of the coherence when blocks of chunks are drawn with replacement (I14); null for k = 0, as in coherence()."""
     parts = ("auto_a", "auto_b", "cross_re", "cross_im")
     sums = spectra.groupBy(F.col(block).cast("long").alias("idx"), "k").agg(*[F.sum(p).alias(p) for p in parts])
     times = draw_table.groupBy("resample", "idx").agg(F.count("*").alias("c"))
     drawn = sums.join(times, "idx").groupBy("resample", "k").agg(*[F.sum(F.col("c") * F.col(p)).alias(p) for p in parts])
     top = F.col("cross_re") * F.col("cross_re") + F.col("cross_im") * F.col("cross_im")
-    return band(drawn.select("resample", "k", F.try_divide(top, F.col("auto_a") * F.col("auto_b")).alias("mean")), ["k"])
+    value = F.when(F.col("k") > 0, F.try_divide(top, F.col("auto_a") * F.col("auto_b")))
+    return band(drawn.select("resample", "k", value.alias("mean")), ["k"])
 
 
-def times_drawn(resample: Column, key: Column, seed: int = 1) -> Column:
-    """How often a resample draws the row of a key: a Poisson number of mean 1, by the cubic of drawn_index()."""
-    k = (resample * 7919 + key % PRIME * 104729 + seed) % PRIME * 48271 % PRIME
-    u = ((k * k) % PRIME * k + k) % PRIME
-    return sum(((u >= bound).cast("int") for bound in POISSON), F.lit(0))
+def _times_drawn(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """How often each resample draws the row of each key: Poisson numbers of mean 1, by the cubic of drawn_index()."""
+    k = (np.arange(resamples)[None, :] * 7919 + (keys % PRIME)[:, None] * 104729 + seed) % PRIME * 48271 % PRIME
+    return np.searchsorted(POISSON, ((k * k) % PRIME * k + k) % PRIME, side="right")
 
 
 def cell_error(rows: DataFrame, cells: list[str], value: str, key: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
     """(cells, mean, error): mean in each cell and the 95 % point of its bootstrap means above it.
 
-    A resample takes each row a Poisson number of times that follows from its ``key``, a whole number of 0 or more. So
-    sums are formed where the rows are, and only those of cells and resamples are shuffled, whatever the size of a cell.
-    A cell of which a resample draws nothing has no mean in that resample.
+    A resample takes each row a Poisson number of times that follows from its ``key``, a whole number of 0 or more;
+    rows of a null value or key are left out. Each task adds up the sums and counts of all resamples of the cells
+    that it meets, in vectors, and gives one row for each of them (again after MOST_CELLS); no row is copied, and
+    what is shuffled grows with cells and tasks. A cell of which a resample draws nothing has no mean in it.
     """
-    known = rows.where(F.col(value).isNotNull()).select(*cells, F.col(value).alias("_x"), F.col(key).cast("long").alias("_key"))
-    drawn = known.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    drawn = drawn.withColumn("_c", times_drawn(F.col("resample"), F.col("_key"), seed))
-    sums = drawn.groupBy(*cells, "resample").agg(F.sum(F.col("_c") * F.col("_x")).alias("_s"), F.sum("_c").alias("_n"), F.sum("_x").alias("_all"), F.count("*").alias("_rows"))
-    means = F.percentile(F.try_divide("_s", "_n"), F.lit(0.95)).alias("_p")
-    out = sums.groupBy(*cells).agg(means, (F.max(F.when(F.col("resample") == 0, F.col("_all") / F.col("_rows")))).alias("mean"))
-    return out.select(*cells, "mean", (F.col("_p") - F.col("mean")).alias("error"))
+    known = rows.select(F.struct(*cells).alias("cell"), F.col(value).cast("double").alias("x"), F.col(key).cast("long").alias("key")).dropna(subset=["x", "key"])
+    schema = T.StructType([known.schema["cell"], *T.StructType.fromDDL("s array<double>, n array<bigint>, total double, rows bigint").fields])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kind = None
+
+        def given() -> pa.RecordBatch:
+            made = [[dict(zip(cells, c, strict=True)) for c in held], *zip(*held.values(), strict=True)]
+            kinds = (kind, pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(made, kinds, strict=True)], names=schema.names)
+
+        for batch in batches:
+            kind = batch.column("cell").type
+            x, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "key"))
+            own = [tuple(c.values()) for c in batch.column("cell").to_pylist()]
+            number = {c: i for i, c in enumerate(dict.fromkeys(own))}
+            place = np.array([number[c] for c in own], dtype=np.int64)
+            for c, i in number.items():
+                of = held.setdefault(c, [np.zeros(resamples), np.zeros(resamples, dtype=np.int64), 0.0, 0])
+                at = np.flatnonzero(place == i)
+                for part in np.split(at, range(ROWS, len(at), ROWS)):
+                    times = _times_drawn(keys[part], resamples, seed)
+                    of[0] += x[part] @ times
+                    of[1] += times.sum(axis=0)
+                of[2] += float(x[at].sum())
+                of[3] += len(at)
+            if len(held) > MOST_CELLS:
+                yield given()
+                held.clear()
+        if held:
+            yield given()
+
+    parts = known.mapInArrow(sums, schema)
+    means = parts.groupBy("cell").agg((F.sum("total") / F.sum("rows")).alias("mean"))
+    each = parts.select("cell", F.posexplode(F.arrays_zip("s", "n")).alias("resample", "z")).groupBy("cell", "resample").agg(F.try_divide(F.sum("z.s"), F.sum("z.n")).alias("m"))
+    out = each.groupBy("cell").agg(F.percentile("m", F.lit(0.95)).alias("p")).join(means, "cell")
+    return out.select(*[F.col(f"cell.{c}").alias(c) for c in cells], "mean", (F.col("p") - F.col("mean")).alias("error"))
 
 
 def density_band(hist: DataFrame, draw_table: DataFrame, rows: int, columns: int, years: float) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Segments, chunks, autocorrelation, spectra and coherence of velocity series. All in array expressions."""
+"""Segments, chunks, autocorrelation, spectra and coherence of velocity series. Series are arrays; transforms of whole arrays are those of functions.fourier."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions import fourier
 from tidemark.operators.resample import regular
 from tidemark.operators.scan import over_track, running_sum
 
@@ -58,41 +59,18 @@ def _centred(a: Column) -> Column:
 
 
 def vector_acf(chunked: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lag, r): biased vector autocorrelation, lags 0..N-2; 1 at lag 0."""
+    """(keys, lag, r): biased vector autocorrelation, lags 0..N-2; 1 at lag 0 (I3). All lags by one transform and its inverse."""
     c = chunked.withColumns({"_u": _centred(F.col("u")), "_v": _centred(F.col("v"))}).withColumn("_p", _dot(F.col("_u"), F.col("_u")) + _dot(F.col("_v"), F.col("_v")))
-    c = c.withColumn("lag", F.explode(F.sequence(F.lit(0), F.size("u") - 2)))
-    rest = F.size("u") - F.col("lag")
-
-    def part(x: str) -> Column:
-        return _dot(F.slice(x, F.lit(1), rest), F.slice(x, F.col("lag") + 1, rest))
-
-    return c.select(*keys, "lag", F.try_divide(part("_u") + part("_v"), F.col("_p")).alias("r"))
-
-
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation of two arrays, from the sums of one pass."""
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
-
-    def add(s: Column, p: Column) -> Column:
-        x, y = p["x"], p["y"]
-        return F.struct((s["x"] + x).alias("x"), (s["y"] + y).alias("y"), (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy"), (s["xy"] + x * y).alias("xy"))
-
-    n = F.size(a)
-
-    def end(s: Column) -> Column:
-        size = F.sqrt((n * s["xx"] - s["x"] * s["x"]) * (n * s["yy"] - s["y"] * s["y"]))
-        return F.try_divide(n * s["xy"] - s["x"] * s["y"], F.nullif(size, F.lit(0.0)))
-
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), zero, add, end)
+    lags = F.slice(fourier.lagged_products("_u", "_v"), F.lit(1), F.size("u") - 1)
+    return c.select(*keys, "_p", F.posexplode(lags).alias("lag", "_s")).select(*keys, "lag", F.try_divide(F.col("_s"), F.col("_p")).alias("r"))
 
 
 def scalar_acf(chunked: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lag, r_u, r_v, r_speed): Pearson correlation of the overlapping parts (I4)."""
-    c = chunked.withColumn("s", F.zip_with("u", "v", F.hypot)).withColumn("lag", F.explode(F.sequence(F.lit(0), F.size("u") - 2)))
-    rest = F.size("u") - F.col("lag")
-    parts = {f"_{x}{i}": F.slice(x, start, rest) for x in "uvs" for i, start in ((0, F.lit(1)), (1, F.col("lag") + 1))}
-    c = c.select(*keys, "lag", *[e.alias(n) for n, e in parts.items()])
-    return c.select(*keys, "lag", *[_pearson(F.col(f"_{x}0"), F.col(f"_{x}1")).alias(f"r_{n}") for x, n in (("u", "u"), ("v", "v"), ("s", "speed"))])
+    """(keys, lag, r_u, r_v, r_speed): Pearson correlation of the overlapping parts, null where one is constant (I4)."""
+    parts = {"u": F.col("u"), "v": F.col("v"), "speed": F.zip_with("u", "v", F.hypot)}
+    each = chunked.select(*keys, *[F.slice(fourier.overlap_correlations(x), F.lit(1), F.size("u") - 1).alias(f"r_{n}") for n, x in parts.items()])
+    rows = each.select(*keys, F.posexplode(F.arrays_zip(*[f"r_{n}" for n in parts])).alias("lag", "_r"))
+    return rows.select(*keys, "lag", *[F.col(f"_r.r_{n}").alias(f"r_{n}") for n in parts])
 
 
 def acf_job(legs: DataFrame, gap_h: float = 72, step_h: float = 4, days: float = 7) -> DataFrame:
@@ -111,31 +89,25 @@ def from_matrix(matrix: DataFrame, keys: list[str], lags: list[int]) -> DataFram
     return matrix.unpivot(keys, [str(k) for k in lags], "lag", "r").withColumn("lag", F.col("lag").cast("int"))
 
 
-def _transform(df: DataFrame, names: list[str], n: int, frequencies: list[int]) -> DataFrame:
-    """Rows times frequencies k: the Fourier sums (name_re, name_im) of array columns of length n."""
-    table = [(k, [math.cos(2 * math.pi * k * j / n) for j in range(n)], [-math.sin(2 * math.pi * k * j / n) for j in range(n)]) for k in frequencies]
-    waves = df.sparkSession.createDataFrame(table, "k int, wc array<double>, ws array<double>")
-    out = df.join(F.broadcast(waves))
-    made = {}
-    for x in names:
-        made[f"{x}_re"], made[f"{x}_im"] = _dot(F.col(x), F.col("wc")), _dot(F.col(x), F.col("ws"))
-    return out.withColumns(made).drop("wc", "ws")
+def _spectrum(df: DataFrame, keys: list[str], names: list[str], frequencies: Column) -> DataFrame:
+    """(keys, k, name_re, name_im of each name) at ``frequencies``, from a transform of the real series in the columns ``names``."""
+    made = df.select(*keys, *[fourier.transform(F.col(x)).alias(x) for x in names], F.explode(frequencies).alias("k"))
+    return made.select(*keys, "k", *[F.get(F.col(f"{x}.{p}"), F.col("k")).alias(f"{x}_{p}") for x in names for p in ("re", "im")])
 
 
 def periodogram(chunked: DataFrame, keys: list[str], n: int, rate: float) -> DataFrame:
     """(keys, k, power) of u + i v: 2/(rate N) |X|^2 at positive frequencies without the Nyquist one."""
-    c = chunked.withColumns({"u": _centred(F.col("u")), "v": _centred(F.col("v"))})
-    t = _transform(c, ["u", "v"], n, list(range(1, (n + 1) // 2)))
-    re, im = F.col("u_re") - F.col("v_im"), F.col("u_im") + F.col("v_re")
-    return t.select(*keys, "k", (2 / (rate * n) * (re * re + im * im)).alias("power"))
+    x = fourier.transform(_centred(F.col("u")), _centred(F.col("v")))
+    power = F.transform(F.arrays_zip(x["re"].alias("re"), x["im"].alias("im")), lambda z: 2 / (rate * n) * (z["re"] * z["re"] + z["im"] * z["im"]))
+    kept = F.slice(F.transform(power, lambda p, k: F.struct(k.alias("k"), p.alias("power"))), 2, (n + 1) // 2 - 1)
+    return chunked.select(*keys, F.inline(kept))
 
 
 def welch(chunked: DataFrame, keys: list[str], column: str, n: int, rate: float) -> DataFrame:
     """(keys, k, power): one-sided density under a periodic Hann window."""
     window = [0.5 - 0.5 * math.cos(2 * math.pi * j / n) for j in range(n)]
-    weights = F.array(*[F.lit(w) for w in window])
-    c = chunked.withColumn("x", F.zip_with(_centred(F.col(column)), weights, lambda x, w: x * w))
-    t = _transform(c.select(*keys, "x"), ["x"], n, list(range(n // 2 + 1)))
+    weighted = F.transform(_centred(F.col(column)), lambda x, j: x * (0.5 - 0.5 * F.cos(2 * math.pi * j / n)))
+    t = _spectrum(chunked.select(*keys, weighted.alias("x")), keys, ["x"], F.sequence(F.lit(0), F.lit(n // 2)))
     twice = F.when((F.col("k") == 0) | (F.lit(n % 2 == 0) & (F.col("k") == n // 2)), 1.0).otherwise(2.0)
     power = (F.col("x_re") * F.col("x_re") + F.col("x_im") * F.col("x_im")) * twice / (rate * sum(w * w for w in window))
     return t.select(*keys, "k", power.alias("power"))
@@ -148,7 +120,7 @@ def mean_spectrum(power: DataFrame, n: int, rate_per_day: float) -> DataFrame:
 
 def cross_spectra(paired: DataFrame, keys: list[str], a: str, b: str, n: int) -> DataFrame:
     """(keys, k, auto_a, auto_b, cross_re, cross_im) of two array columns, k = 0..N/2."""
-    t = _transform(paired.withColumns({a: _centred(F.col(a)), b: _centred(F.col(b))}), [a, b], n, list(range(n // 2 + 1)))
+    t = _spectrum(paired.withColumns({a: _centred(F.col(a)), b: _centred(F.col(b))}), keys, [a, b], F.sequence(F.lit(0), F.lit(n // 2)))
     ar, ai, br, bi = F.col(f"{a}_re"), F.col(f"{a}_im"), F.col(f"{b}_re"), F.col(f"{b}_im")
     return t.select(*keys, "k", (ar * ar + ai * ai).alias("auto_a"), (br * br + bi * bi).alias("auto_b"), (ar * br + ai * bi).alias("cross_re"), (ai * br - ar * bi).alias("cross_im"))
 

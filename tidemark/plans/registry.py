@@ -337,10 +337,10 @@ fq("e3_regular_resample")(
 )
 
 
-def by_time(rows: DataFrame, f: DataFrame, days: float = 5) -> tuple[DataFrame, DataFrame]:
-    """(``rows`` with the block of their start, 1000 resamples of the blocks since the first fix); the tables span about a month."""
-    origin, n = bootstrap.blocks_since_start(f, "ts", days)
-    return rows.withColumn("block", bootstrap.time_block("start_us", days, origin)), bootstrap.draws(f.sparkSession, 1000, n)
+def by_time(rows: DataFrame, days: float = 5) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with the block of their start, 1000 resamples of the blocks that hold any); the tables span about a month."""
+    placed, n = bootstrap.numbered_blocks(rows, "start_us", days)
+    return placed, bootstrap.draws(rows.sparkSession, 1000, n)
 
 
 def _profile(f: DataFrame) -> DataFrame:
@@ -349,10 +349,10 @@ def _profile(f: DataFrame) -> DataFrame:
 
 
 def _coherence_band(f: DataFrame) -> DataFrame:
-    cross, draws = by_time(spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42), f)
+    cross, draws = by_time(spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42))
     return bootstrap.coherence_band(cross, "block", draws)
 
 
 def _acf_band(f: DataFrame) -> DataFrame:
-    acf, draws = by_time(spectra.acf_job(tracks.legs(f)), f)
+    acf, draws = by_time(spectra.acf_job(tracks.legs(f)))
     return bootstrap.over_blocks(acf, "block", ["lag"], "r", draws)

@@ -279,7 +279,7 @@ fq("r2_profiles", f"""SELECT year, quarter, {r('lat', 'drift_u', 'field_u')} FRO
 
 def _acf_curve(f: DataFrame) -> DataFrame:
     """Mean autocorrelation with its band, on quarter hours."""
-    acf, draws = by_time(spectra.acf_job(tracks.legs(f)), f)
+    acf, draws = by_time(spectra.acf_job(tracks.legs(f)))
     curve = bootstrap.over_blocks(acf, "block", ["lag"], "r", draws).withColumn("us", F.col("lag").cast("long") * 4 * 3_600_000_000)
     return resample.regular(curve, [], "us", ["mean", "low", "high"], 900_000_000, clamp=False)
 
@@ -287,7 +287,7 @@ def _acf_curve(f: DataFrame) -> DataFrame:
 def _coherence(f: DataFrame) -> DataFrame:
     """Coherence of u and v by frequency with its band."""
     cross = spectra.cross_spectra(spectra.chunks(spectra.split_at_gaps(tracks.legs(f), 72), 4, 7), ["buoy_id", "start_us"], "u", "v", 42)
-    blocks, draws = by_time(cross, f)
+    blocks, draws = by_time(cross)
     band = bootstrap.coherence_band(blocks, "block", draws)
     return spectra.coherence(cross).join(band.withColumnRenamed("mean", "drawn"), "k")
 
