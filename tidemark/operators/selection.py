@@ -69,6 +69,30 @@ def active_by_events(fixes: DataFrame) -> DataFrame:
     return days.join(change, "day", "left").select("day", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("day")).alias("active"))
 
 
+def active_intervals(fixes: DataFrame, gap_days: int) -> DataFrame:
+    """(buoy_id, first_day, last_day): spans of days in which a buoy was seen, never ``gap_days`` or more apart.
+
+    Days are made distinct where the fixes are, so a track has a row for each day at most.
+    """
+    w = Window.partitionBy("buoy_id").orderBy("day")
+    days = fixes.select("buoy_id", F.to_date("ts").alias("day")).where("day is not null").distinct()
+    new = F.coalesce(F.datediff("day", F.lag("day").over(w)) >= gap_days, F.lit(False)).cast("int")
+    spans_ = days.withColumn("_new", new).withColumn("_span", F.sum("_new").over(w)).groupBy("buoy_id", "_span")
+    return spans_.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")).drop("_span")
+
+
+def active_with_reentry(fixes: DataFrame, gap_days: int = 3) -> DataFrame:
+    """(day, active): buoys within one of their active_intervals, from the first day to the last of all.
+
+    A buoy that leaves for ``gap_days`` or more counts neither while it is away nor twice when it is back. The sweep adds
+    one on each first day and takes one after each last; days are few, so its running sum is over one small table.
+    """
+    ends = F.inline(F.array(F.struct(F.col("first_day").alias("day"), F.lit(1).alias("d")), F.struct(F.date_add("last_day", 1).alias("day"), F.lit(-1).alias("d"))))
+    change = active_intervals(fixes, gap_days).select(ends).groupBy("day").agg(F.sum("d").alias("d"))
+    days = change.agg(F.explode(F.sequence(F.min("day"), F.date_sub(F.max("day"), 1))).alias("day"))
+    return days.join(change, "day", "left").select("day", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("day")).alias("active"))
+
+
 def active_by_observation(fixes: DataFrame, approximate: bool = False) -> DataFrame:
     """(day, year, active): buoys seen each day."""
     count = F.approx_count_distinct("buoy_id") if approximate else F.count_distinct("buoy_id")

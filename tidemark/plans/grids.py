@@ -1,11 +1,11 @@
-"""Registered queries on uneven grids, each with the SQL of its result."""
+"""Registered queries on uneven grids, cells and polygons, each with the SQL of its result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import regrid
+from tidemark.operators import polygons, regrid, selection
 from tidemark.plans import views
 from tidemark.plans.registry import fq, r
 
@@ -52,3 +52,26 @@ def _wind_on_current(f: DataFrame) -> DataFrame:
 
 
 fq("b7_wind_on_currents_axes", mapped_sql(_WIND_ON_CURRENT, "s, z, y, x"))(_wind_on_current)
+
+# -- many polygons: a four-pointed star about every fiftieth fix
+STAR = [(1.0, 0.0), (0.25, 0.3125), (0.0, 1.5), (-0.25, 0.25), (-1.0, 0.125), (-0.3125, -0.25), (0.0, -1.25), (0.25, -0.25)]
+
+
+def _stars(f: DataFrame) -> DataFrame:
+    """(poly_id, ring) of stars of 1/32 to 7/32 of a degree."""
+    size = (F.col("fix_id") % 7 + 1) / 32.0
+    return f.where("fix_id % 50 = 3").select(F.col("fix_id").alias("poly_id"), F.array(*[F.struct((F.col("lon") + x * size).alias("lon"), (F.col("lat") + y * size).alias("lat")) for x, y in STAR]).alias("ring"))
+
+
+_SIDES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(STAR, [*STAR[1:], STAR[0]], strict=True))
+_STAR_SIDES = f"""SELECT fix_id AS poly_id, lon + a * z AS x0, lat + b * z AS y0, lon + c * z AS x1, lat + d * z AS y1 FROM (SELECT *, (fix_id % 7 + 1) / 32.0::DOUBLE AS z FROM fixes WHERE fix_id % 50 = 3), (VALUES {_SIDES}) t(a, b, c, d)"""
+_IN_STARS = f"""SELECT poly_id, buoy_id, fix_id, ts FROM fixes f, ({_STAR_SIDES}) s WHERE (y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0 GROUP BY ALL HAVING count(*) % 2 = 1"""
+fq("c6_in_many_polygons", f"SELECT poly_id, fix_id FROM ({_IN_STARS})")(lambda f: polygons.in_polygons(f, _stars(f)).select("poly_id", "fix_id"))
+fq("c6_runs_in_many_polygons", f"""SELECT poly_id, buoy_id, fix_id, run, run_len FROM (SELECT *, count(*) OVER (PARTITION BY poly_id, buoy_id, run) AS run_len FROM (
+  SELECT *, first_value(fix_id) OVER (PARTITION BY poly_id, buoy_id, island ORDER BY ts, fix_id) AS run FROM (
+  SELECT i.*, n - row_number() OVER (PARTITION BY poly_id, buoy_id ORDER BY n) AS island FROM ({_IN_STARS}) i JOIN (SELECT fix_id, row_number() OVER (PARTITION BY buoy_id ORDER BY ts, fix_id) AS n FROM fixes) USING (fix_id)))) WHERE run_len >= 2""")(
+    lambda f: polygons.runs_in_polygons(f, _stars(f)).select("poly_id", "buoy_id", "fix_id", "run", "run_len")
+)
+fq("d6_active_with_reentry", """SELECT day::DATE AS day, count(buoy_id) AS active FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM fixes), (SELECT max(ts)::DATE FROM fixes), INTERVAL 1 DAY))::DATE AS day)
+  LEFT JOIN (SELECT buoy_id, span, min(d) AS a, max(d) AS b FROM (SELECT *, sum(CASE WHEN d - before >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY buoy_id ORDER BY d) AS span FROM
+  (SELECT *, lag(d) OVER (PARTITION BY buoy_id ORDER BY d) AS before FROM (SELECT DISTINCT buoy_id, ts::DATE AS d FROM fixes))) GROUP BY ALL) ON day BETWEEN a AND b GROUP BY day""")(selection.active_with_reentry)
