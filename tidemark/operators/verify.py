@@ -76,9 +76,9 @@ def skill_displacement(df: DataFrame) -> DataFrame:
     return df.withColumn("skill", _floored(1 - F.try_divide(F.col("error_km"), far)))
 
 
-def skill_path(df: DataFrame) -> DataFrame:
-    """1 - error / length of the truth's path so far (110 km a degree), at least 0."""
-    w = Window.partitionBy(*RUN).orderBy("lead_h")
+def skill_path(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """1 - error / length of the truth's path so far (110 km a degree), at least 0 (G9); ``keys`` tell runs of one start apart."""
+    w = Window.partitionBy(*(keys or []), *RUN).orderBy("lead_h")
     step = F.hypot(F.col("lat_true") - F.lag("lat_true").over(w), F.col("lon_true") - F.lag("lon_true").over(w)) * 110
     out = df.withColumn("_step", step).withColumn("path_km", F.sum("_step").over(w)).drop("_step")
     return out.withColumn("skill", _floored(1 - F.try_divide(F.col("error_km"), F.nullif("path_km", F.lit(0.0)))))
@@ -109,11 +109,13 @@ def by_lead(df: DataFrame, step: float = LEAD_STEP, n: int = LEAD_BINS, quantile
     return bins.join(got, [*keys, "bin"], "left").withColumns({"lead_lo": F.col("bin") * step, "lead_hi": (F.col("bin") + 1) * step})
 
 
-def mean_skill(df: DataFrame, step: float = LEAD_STEP, n: int = LEAD_BINS) -> DataFrame:
-    """Mean path skill for each lead bin, with a 0 at lead 0."""
-    means = df.withColumn("bin", lead_bin(F.col("lead_h"), step, n)).where("bin is not null").groupBy("bin").agg(F.avg("skill").alias("skill"))
-    zero = df.sparkSession.range(1).select(F.lit(0.0).alias("lead_hi"), F.lit(0.0).alias("skill"))
-    return zero.union(means.select((F.col("bin") + 1) * step, "skill"))
+def mean_skill(df: DataFrame, step: float = LEAD_STEP, n: int = LEAD_BINS, keys: list[str] | None = None) -> DataFrame:
+    """Mean path skill for each lead bin, with a 0 at lead 0, of all rows or for each of ``keys``."""
+    keys = keys or []
+    means = df.withColumn("bin", lead_bin(F.col("lead_h"), step, n)).where("bin is not null").groupBy(*keys, "bin").agg(F.avg("skill").alias("skill"))
+    each = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    zero = each.select(*keys, F.lit(0.0).alias("lead_hi"), F.lit(0.0).alias("skill"))
+    return zero.union(means.select(*keys, (F.col("bin") + 1) * step, "skill"))
 
 
 def rmse_at(df: DataFrame, lead: float, width: float = 2.0, keys: list[str] | None = None) -> DataFrame:
