@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import regrid
 from tidemark.operators.quantiles import select
 
 
@@ -64,6 +65,18 @@ def mean_by_depth(field: DataFrame, start: str, end: str) -> DataFrame:
     return inside.groupBy("depth").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
 
 
+def mean_with_drift(current: DataFrame, drift: DataFrame, depth: float) -> DataFrame:
+    """(depth, n, u, v): mean of current plus drift at the depth nearest to ``depth``, of two as near the upper.
+
+    The drift (time, lat, lon, u, v) has axes of its own and is brought to the current's nodes; nodes outside it, or
+    where either is missing, are left out.
+    """
+    nearest = current.agg(F.min(F.struct(F.abs(F.col("depth") - depth).alias("d"), F.col("depth").alias("at"))).alias("_best")).select(F.col("_best.at").alias("depth"))
+    nodes = current.join(F.broadcast(nearest), "depth").select("time", "depth", "lat", "lon", "u", "v")
+    both = regrid.at_points(nodes, drift, {"time": "time", "lat": "lat", "lon": "lon"}).dropna(subset=["u", "v", "mapped_u", "mapped_v"])
+    return both.groupBy("depth").agg(F.count("*").alias("n"), F.avg(F.col("u") + F.col("mapped_u")).alias("u"), F.avg(F.col("v") + F.col("mapped_v")).alias("v"))
+
+
 def cell_table(field: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
     """Cells (keys, t0, lat0, lon0, t1, lat1, lon1, c[8] of the values): each lower corner with its upper neighbours.
 

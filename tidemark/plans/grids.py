@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import polygons, regrid, selection
+from tidemark.operators import field, polygons, regrid, selection
 from tidemark.plans import views
-from tidemark.plans.registry import fq, r
+from tidemark.plans.registry import ORACLE_SQL, fq, r
+from tidemark.sources import tables
+from tidemark.sources.scratch import shared_folder
 
 AXES = {"time": "ts", "depth": "depth", "lat": "lat", "lon": "lon"}
 PRODUCTS = """SELECT 'current' AS product, epoch_us(time) / 1e6 + day(time) % 3 * 3600 AS t, z AS depth, lat + lat * lat / 40.0::DOUBLE AS lat, lon, u - z * v / 64.0::DOUBLE + z * z / 512.0::DOUBLE AS u, v
@@ -75,3 +79,38 @@ fq("c6_runs_in_many_polygons", f"""SELECT poly_id, buoy_id, fix_id, run, run_len
 fq("d6_active_with_reentry", """SELECT day::DATE AS day, count(buoy_id) AS active FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM fixes), (SELECT max(ts)::DATE FROM fixes), INTERVAL 1 DAY))::DATE AS day)
   LEFT JOIN (SELECT buoy_id, span, min(d) AS a, max(d) AS b FROM (SELECT *, sum(CASE WHEN d - before >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY buoy_id ORDER BY d) AS span FROM
   (SELECT *, lag(d) OVER (PARTITION BY buoy_id ORDER BY d) AS before FROM (SELECT DISTINCT buoy_id, ts::DATE AS d FROM fixes))) GROUP BY ALL) ON day BETWEEN a AND b GROUP BY day""")(selection.active_with_reentry)
+
+# -- tables that are kept, written in the shared folder and read again
+def _appended(f: DataFrame) -> DataFrame:
+    """Cells south of 6 degrees, then all cells with other values added: old ones win (B2, A10)."""
+    path = f"{shared_folder(f.sparkSession)}/cells-{uuid.uuid4().hex[:12]}"
+    cells = views.sampled_field(f).select(F.to_date("time").cast("string").alias("day"), F.unix_seconds("time").alias("t"), "lat", "lon", "u")
+    tables.append_new(cells.where("lat < 6"), path, ["t", "lat", "lon"], "day")
+    tables.append_new(cells.withColumn("u", F.col("u") + 1), path, ["t", "lat", "lon"], "day")
+    return f.sparkSession.read.schema(cells.schema).parquet(path).select("t", "lat", "lon", "u")
+
+
+fq("b2_append_to_table")(_appended)
+ORACLE_SQL["b2_append_to_table"] = ORACLE_SQL["b1_b2_append"]
+
+
+def _from_file(f: DataFrame) -> DataFrame:
+    """Tracks written with their lines and read again within a box."""
+    path = f"{shared_folder(f.sparkSession)}/tracks-{uuid.uuid4().hex[:12]}"
+    tables.write_tracks(f, path)
+    return tables.read_tracks(f.sparkSession, path, (-163.0, -161.5, 5.0, 6.5)).select("buoy_id", "fix_id", "lon", "lat")
+
+
+fq("a8_tracks_in_a_box", f"SELECT buoy_id, fix_id, {r('lon', 'lat')} FROM (SELECT *, count(*) OVER (PARTITION BY buoy_id) AS n FROM fixes) WHERE n > 1 AND lon BETWEEN -163.0 AND -161.5 AND lat BETWEEN 5.0 AND 6.5")(_from_file)
+
+# -- the current at the depth nearest to 30 m plus a drift brought to its nodes
+_DRIFT = mapped_sql(_WIND_ON_CURRENT, "s, z, y, x")
+
+
+def _with_drift(f: DataFrame) -> DataFrame:
+    """Mean over space and time of current and drift at one depth, where both are known."""
+    return field.mean_with_drift(views.uneven_products(f).where("product = 'current'"), views.uneven_products(f).where("product = 'wind'").drop("depth"), 30.0)
+
+
+fq("b6_current_and_drift", f"""SELECT 20.0::DOUBLE AS depth, count(*) AS n, {r('avg(c.u + d.mapped_u) AS u', 'avg(c.v + d.mapped_v) AS v')} FROM (SELECT * FROM ({PRODUCTS}) WHERE product = 'current' AND depth = 20) c
+  JOIN ({_DRIFT}) d ON c.t = d.s AND d.z = 20 AND floor(c.lat * 1e6 + 0.5) / 1e6 = d.y AND c.lon = d.x WHERE mapped_u IS NOT NULL AND c.u IS NOT NULL""")(_with_drift)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans.registry import _GAPS, ORACLE_SQL, _with, drawn, r
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import resample
+from tidemark.plans import views
+from tidemark.plans.registry import _GAPS, ORACLE_SQL, _with, drawn, fq, r
 from tidemark.plans.reports import _PERSISTENCE
 
 STEP_US, N, RATE = 4 * 3_600_000_000, 42, 6.0
@@ -106,3 +111,22 @@ _RMSE = "sqrt(avg(error_km * error_km))"
 ORACLE_SQL["r6_g22_model_table"] = _with(f"""SELECT model, {r('sqrt(ypr * ypr + ypi * ypi) / sqrt(yyr * ppr) AS r', 'sqrt(pyr * pyr + pyi * pyi) / ppr AS z', 'degrees(atan2(ypi, ypr)) AS phase', 'sqrt(q_re * q_re + q_im * q_im) AS second')},
   (SELECT {r(f'{_RMSE} AS rmse')} FROM errors WHERE lead_h > 166 AND lead_h < 170) AS rmse_raw,
   (SELECT {r(f'{_RMSE} AS rmse')} FROM ({_PERSISTENCE}) t(model, lead_h, error_km) WHERE lead_h > 166 AND lead_h < 170) AS rmse_corrected FROM ({two_predictors(_MODELS, 'model')})""")
+
+# -- positions and forecasts on even axes
+_POSITIONS = resampled("SELECT buoy_id, epoch_us(ts) AS us, lon AS u, lat AS v FROM fixes", "buoy_id")
+fq("e4_regular_positions", f"SELECT buoy_id, i, {r('u AS lon', 'v AS lat')} FROM ({_POSITIONS})")(
+    lambda f: resample.regular(f.withColumn("us", F.unix_micros("ts")), ["buoy_id"], "us", ["lon", "lat"], STEP_US).select("buoy_id", "i", "lon", "lat")
+)
+
+
+def _lead_grid(f: DataFrame) -> DataFrame:
+    """The truth of each run on leads of whole four hours, from its first lead to its last (E5)."""
+    run = views.runs(f).select("buoy_id", F.col("day").cast("string").alias("start_day"), F.round(F.col("lead_h") * 3.6e9).cast("long").alias("x"), "lat_true", "lon_true", F.lit(0).cast("long").alias("zero"))
+    return resample.regular(run, ["buoy_id", "start_day"], "x", ["lat_true", "lon_true"], STEP_US, origin="zero", clamp=False)
+
+
+_LEADS = "SELECT buoy_id, day::VARCHAR AS start_day, round(lead_h * 3.6e9)::BIGINT AS x, min({'lat': lat_true, 'lon': lon_true}) AS p FROM runs GROUP BY ALL"
+_GRID = f"SELECT buoy_id, start_day, i, i * {STEP_US} AS x FROM (SELECT buoy_id, start_day, unnest(range((a + {STEP_US} - 1) // {STEP_US}, b // {STEP_US} + 1)) AS i FROM (SELECT buoy_id, start_day, min(x) AS a, max(x) AS b FROM ({_LEADS}) GROUP BY ALL))"
+_AT = "(t.x - k.x) / (x1 - k.x)::DOUBLE"
+fq("e5_lead_grid", f"""SELECT t.buoy_id, t.start_day, t.x, i, {r(*[f"CASE WHEN p1 IS NULL THEN k.p.{c} ELSE k.p.{c} + (p1.{c} - k.p.{c}) * {_AT} END AS {c}_true" for c in ('lat', 'lon')])} FROM ({_GRID}) t
+  ASOF JOIN (SELECT *, lead(x) OVER w AS x1, lead(p) OVER w AS p1 FROM ({_LEADS}) WINDOW w AS (PARTITION BY buoy_id, start_day ORDER BY x)) k ON t.buoy_id = k.buoy_id AND t.start_day = k.start_day AND t.x >= k.x""")(_lead_grid)
