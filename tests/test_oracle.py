@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import bias, grids, long_tracks, reports, series  # noqa: F401  register their queries
+from tidemark.plans import bias, edges, grids, long_tracks, reports, series  # noqa: F401  register their queries
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -198,3 +198,8 @@ def zero_crossing(field: DataFrame) -> DataFrame:
 def spatial_variance(field: DataFrame) -> DataFrame:
     """(day, variance): population variance of u and of v over all cells of a day, added."""
     return field.groupBy(F.to_date("time").alias("day")).agg((F.var_pop("u") + F.var_pop("v")).alias("variance"))
+
+
+def variance_at_starts(field: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` (day, ...) with the spatial variance of the field on their start day; null without one."""
+    return runs.join(spatial_variance(field), "day", "left")

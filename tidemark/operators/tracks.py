@@ -146,10 +146,11 @@ def with_times(fixes: DataFrame) -> DataFrame:
     return fixes.withColumn("_m", missing).where("_m = 0").drop("_m")
 
 
-def quality_report(fixes: DataFrame) -> DataFrame:
-    """One row on legs, speeds and what the masks remove."""
+def quality_report(fixes: DataFrame, mapped: list[str] | None = None) -> DataFrame:
+    """One row on legs, speeds, what the masks remove, and nulls in the columns ``mapped``."""
     m = masked(fixes).where("lon0 is not null")
     return m.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in mapped or []],
         F.count("*").alias("legs"),
         (F.count_if(F.col("speed") > FASTEST) * 100.0 / F.count("*")).alias("fast_pct"),
         (F.count_if(F.col("speed") < 0.0001) * 100.0 / F.count("*")).alias("slow_pct"),
