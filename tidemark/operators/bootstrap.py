@@ -138,7 +138,7 @@ def density_band(hist: DataFrame, draw_table: DataFrame, rows: int, columns: int
     """(iy, mean, high): yearly mean count by row when columns are drawn with replacement, and its 95 % point."""
     spark = hist.sparkSession
     times = draw_table.groupBy("resample", F.col("idx").cast("int").alias("ix")).agg(F.count("*").alias("c"))
-    drawn = hist.join(F.broadcast(times), "ix").groupBy("resample", F.col("iy").cast("long").alias("iy")).agg(F.sum(F.col("c") * F.col("n")).alias("s"))
+    drawn = hist.join(times, "ix").groupBy("resample", F.col("iy").cast("long").alias("iy")).agg(F.sum(F.col("c") * F.col("n")).alias("s"))
     spine = draw_table.select("resample").distinct().join(F.broadcast(spark.range(rows).select(F.col("id").alias("iy"))))
     means = spine.join(drawn, ["resample", "iy"], "left").withColumn("m", F.coalesce("s", F.lit(0)) / columns / years)
     return means.groupBy("iy").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.95)).alias("high"))

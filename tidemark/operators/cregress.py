@@ -113,7 +113,7 @@ def apply(df: DataFrame, fit: DataFrame, predictors: dict[str, tuple[str, str]],
     """Fitted target: coefficients on anomalies, plus the target's mean (H5). ``fit`` is one row for each key."""
     keys = keys or []
     wanted = [*keys, "m_y_re", "m_y_im", *[f"{k}_{x}_{p}" for x in predictors for k in ("c", "m") for p in ("re", "im")]]
-    joined = df.join(F.broadcast(fit.select(*wanted)), keys) if keys else df.join(F.broadcast(fit.select(*wanted)))
+    joined = df.join(fit.select(*wanted), keys) if keys else df.join(F.broadcast(fit.select(*wanted)))
     re, im = _pair("m_y")
     for x, (a, b) in predictors.items():
         part = product(_pair(f"c_{x}"), (F.col(a) - F.col(f"m_{x}_re"), F.col(b) - F.col(f"m_{x}_im")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.search import position
+
 
 def _linear(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * F.try_divide((x - x0).cast("double"), (x1 - x0).cast("double")))
@@ -49,19 +51,19 @@ def dense_grid(df: DataFrame, keys: list[str], x: str, values: list[str], step:
 
 
 def coefficients_at(points: DataFrame, surface: DataFrame, lead: str = "lead_h", keys: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
-    """``points`` with the surface's values at any lead, linear, and extended beyond both ends.
+    """``points`` with the surface's values at any lead, a row for each of its keys, linear, and extended beyond both ends.
 
-    ``surface`` (keys, lead, values) is a table of coefficients: at most a few hundred rows by what it is.
+    ``surface`` (keys, lead, values) is a table of coefficients: at most a few hundred rows by what it is. It becomes an
+    array for each key, in which a point's segment is found by bisection. Keys of a single lead have no segment.
     """
     keys, values = keys or ["q"], values or ["b0"]
-    w = Window.partitionBy(*keys).orderBy(lead)
-    seg = surface.withColumns({"_x1": F.lead(lead).over(w), **{f"_{v}1": F.lead(v).over(w) for v in values}, "_first": F.row_number().over(w) == 1}).where("_x1 is not null")
-    seg = seg.withColumn("_last", F.lead(lead).over(w).isNull()).withColumnRenamed(lead, "_x0")
-    p = F.col(lead)
-    on = (F.col("_first") | (p >= F.col("_x0"))) & (F.col("_last") | (p < F.col("_x1")))
-    joined = points.join(F.broadcast(seg), on)
-    share = (p - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
-    return joined.select(*points.columns, *keys, *[(F.col(v) + (F.col(f"_{v}1") - F.col(v)) * share).alias(v) for v in values])
+    nodes = surface.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(lead).cast("double").alias("_x"), *values))).alias("_nodes")).where(F.size("_nodes") > 1)
+    nodes = nodes.withColumn("_leads", F.transform("_nodes", lambda n: n["_x"]))
+    joined = points.join(F.broadcast(nodes))
+    at = F.least(position(F.col(lead), F.col("_leads")), F.size("_nodes") - 2)
+    joined = joined.where(F.col(lead).isNotNull()).withColumn("_at", at).withColumns({"_a": F.get("_nodes", F.col("_at")), "_b": F.get("_nodes", F.col("_at") + 1)})
+    share = (F.col(lead) - F.col("_a._x")) / (F.col("_b._x") - F.col("_a._x"))
+    return joined.select(*points.columns, *keys, *[(F.col(f"_a.{v}") + (F.col(f"_b.{v}") - F.col(f"_a.{v}")) * share).alias(v) for v in values])
 
 
 def nearest_row(points: DataFrame, axis: DataFrame, p: str, a: str) -> DataFrame:
