@@ -113,4 +113,4 @@ def _with_drift(f: DataFrame) -> DataFrame:
 
 
 fq("b6_current_and_drift", f"""SELECT 20.0::DOUBLE AS depth, count(*) AS n, {r('avg(c.u + d.mapped_u) AS u', 'avg(c.v + d.mapped_v) AS v')} FROM (SELECT * FROM ({PRODUCTS}) WHERE product = 'current' AND depth = 20) c
-  JOIN ({_DRIFT}) d ON c.t = d.s AND d.z = 20 AND floor(c.lat * 1e6 + 0.5) / 1e6 = d.y AND c.lon = d.x WHERE mapped_u IS NOT NULL AND c.u IS NOT NULL""")(_with_drift)
+  JOIN ({_DRIFT}) d ON c.t = d.s AND d.z = 20 AND floor(c.lat * 1e6 + 0.5) / 1e6 = d.y AND c.lon = d.x WHERE mapped_u IS NOT NULL AND c.u IS NOT NULL HAVING count(*) > 0""")(_with_drift)
