@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.scratch import written
+
 
 #: Modulus of the draws, a prime.
 PRIME = 2147483647
@@ -60,8 +62,10 @@ def numbered_blocks(rows: DataFrame, start_us: str, days: float = 100) -> tuple[
     """(``rows`` with block, number of blocks), for draws(): blocks of ``days`` days since the first start, those that hold rows numbered from 0 (I8).
 
     Rows of a null start have no block and are drawn by no resample. There are as many blocks as the rows' span has
-    periods, so they are numbered in one task and broadcast.
+    periods, so they are numbered in one task and broadcast. ``rows`` is read for its first start, for its blocks and for
+    the result, so it is written to the shared folder once.
     """
+    rows = written(rows, "rows")
     length = int(days * 8.64e10)
     period = F.floor((F.col(start_us) - F.col("_origin")) / length)
     placed = rows.join(F.broadcast(rows.agg(F.min(start_us).alias("_origin")))).withColumn("_period", period).drop("_origin")
