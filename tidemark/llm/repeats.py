@@ -35,7 +35,8 @@ from .textarrays import U64, chunks, mix, prefix_hash, span_hash, window_hash
 PIECE = 8
 #: A bucket of one such part of all rows, or more, is joined by broadcast: there are at most so many.
 HOT_SHARE = 2000
-_SLICE = 1 << 20
+#: Bytes whose runs are made at once; each takes several arrays of 8 bytes a byte.
+_SLICE = 1 << 18
 _LOW = U64((1 << 24) - 1)
 
 

@@ -19,12 +19,14 @@ from . import bloom
 from .common import materialize, release, shape, text_key
 from .components import connected_components
 from .simhash import _cut, _pairs_in_cells, _split, _work, keep_first_of_groups
-from .textarrays import U64, chunks, lower, mix, prefix_hash, span_hash, words
+from .textarrays import U64, chunks, give_back, lower, mix, prefix_hash, span_hash, words
 
 WIDTH = 5
 SIMILARITY = 0.8
 _STEP = U64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 16
+_SLICE = 1 << 14
+#: Bytes of texts that are cut into shingles at once; each takes several arrays of 8 bytes a byte.
+_BYTES = 1 << 18
 #: Sets of one candidate group that one task compares, or of each of two blocks of a larger group.
 BLOCK = 1000
 
@@ -76,8 +78,9 @@ def _prints(docs: DataFrame, width: int, count: int) -> DataFrame:
     salts = mix(np.arange(1, count + 1, dtype=U64) * _STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text"), _BYTES):
                 n = len(offsets) - 1
                 owner, h = _sets(data, offsets, width)
                 size = np.bincount(owner, minlength=n)
@@ -93,6 +96,7 @@ def _prints(docs: DataFrame, width: int, count: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * count), pa.array(packed.T.ravel()))
                 part = slice(first, first + n)
                 yield pa.RecordBatch.from_arrays([batch.column("id")[part], batch.column("text_key")[part], pa.array(key.view(np.int64)), pa.array(size.astype(np.int32)), lists], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -102,9 +106,10 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bloom.plain(nodes.select(F.col("node").alias("key")), bloom.size_for(nodes.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         done = np.zeros(0, dtype=U64)
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), _BYTES):
                 owner, h = _sets(data, offsets, width)
                 heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
                 if not len(heads):
@@ -118,6 +123,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     bounds = np.append(0, np.cumsum(ends[first] - heads[first]))
                     held = np.concatenate([h[heads[i] : ends[i]] for i in first])
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(held.view(np.int64)))], names=["fingerprint", "shingles"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "fingerprint long, shingles array<bigint>").groupBy("fingerprint").agg(F.first("shingles").alias("shingles"))
 
