@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import materialize, partition_id, release, shape
-from .textarrays import U64, chunks, lower, mix, prefix_hash, span_hash, words
+from .textarrays import U64, chunks, give_back, lower, mix, prefix_hash, span_hash, words
 
 LOG_BASE = 1.5
 MOST_LEVELS = 64
@@ -43,6 +43,8 @@ LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts, and questions before it passes on those.
 _HELD = 1 << 20
 _HELD_QUESTIONS = 1 << 20
+#: Bytes of text a kernel takes at a time; its arrays take some thirty times as much.
+_BYTES = 1 << 18
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
 START = int(mix(np.array([0x5354415254], dtype=U64))[0])
@@ -118,13 +120,51 @@ def _dealt(segment: np.ndarray, segments: int, arrays: dict[str, np.ndarray]) ->
     segment = segment.astype(np.uint16 if segments <= 1 << 16 else np.uint32)
     order = np.argsort(segment, kind="stable")
     met, first = np.unique(segment[order], return_index=True)
-    held = [pa.array([part.tobytes() for part in np.split(a[order], first[1:])][: len(met)], pa.binary()) for a in arrays.values()]
+    bounds = np.append(first, len(order))
+    held = []
+    for a in arrays.values():  # the cast fails where offsets do not fit
+        offsets = pa.array(bounds * a.itemsize).cast(pa.int32()).buffers()[1]
+        held.append(pa.Array.from_buffers(pa.binary(), len(met), [None, offsets, pa.py_buffer(a[order])]))
     return pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), *held], names=["segment", *arrays])
 
 
 def _items(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
-    """The items of all rows of a column that _dealt() made."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+    """The items of all rows of a column that _dealt() made, where they lie if that is in one piece."""
+    if isinstance(column, pa.ChunkedArray):
+        parts = [_items(x, kind) for x in column.chunks]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=kind), *parts])
+    if not len(column):
+        return np.zeros(0, dtype=kind)
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    bounds = np.frombuffer(offsets, dtype=wide)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]].view(kind)
+
+
+def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(segment, keys, counts) with the counts of a key summed, of rows (segment, keys, n) where those of a segment stand together."""
+    segment, size = -1, 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return _summed(keys, n.astype(np.int64, copy=False))
+
+    for batch in batches:
+        own = batch.column("segment").to_numpy()
+        bounds = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)) if len(own) else own
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            if held and own[first] != segment:
+                yield segment, *merged()
+                size = 0
+            segment = int(own[first])
+            held.append((_items(batch.column("keys")[first:last], "<u8"), _items(batch.column("n")[first:last], "<i4")))
+            size += len(held[-1][0])
+            if size > max(_HELD, len(held[0][0])):
+                held, size = [merged()], 0
+    if held:
+        yield segment, *merged()
 
 
 def _partial_counts(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
@@ -140,18 +180,24 @@ def _partial_counts(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
             keys.sort()
             heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             n = np.diff(np.append(heads, len(keys))).astype(np.int32)
-            return _dealt(_segment(keys[heads], segments), segments, {"keys": keys[heads], "n": n})
+            keys = keys[heads]
+            del heads
+            return _dealt(_segment(keys, segments), segments, {"keys": keys, "n": n})
 
+        give_back()
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), _BYTES):
                 tokens, row = _tokens(data, offsets)
                 held += [_word_keys(tokens), _pair_keys(_histories(tokens, row), tokens)]
                 size += 2 * len(tokens)
+                del tokens, row, data, offsets
                 if size >= _HELD:
                     yield flush()
                     size = 0
+            del batch  # else it stays while the next is read
         if held:
             yield flush()
+        give_back()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "segment long, keys binary, n binary")
 
@@ -164,7 +210,8 @@ def _counted(docs: DataFrame, text_col: str, base: float, bits_per_entry: float)
     """The materialised counts of all texts, and the number of segments: words with their counts, followers and
     occurrences of each class of histories, and blocks (key: segment, order and class; n: words of 64 bits).
 
-    A segment is a slice of the keys and is counted whole by one task, which builds its blocks on the spot.
+    A segment is a slice of the keys. A task sorts its rows by segment and holds the keys of one segment at a time,
+    counts them whole and builds their blocks on the spot.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,36 +223,27 @@ def _counted(docs: DataFrame, text_col: str, base: float, bits_per_entry: float)
         return pa.RecordBatch.from_arrays([kinds, pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64)), held], names=["kind", "key", "n", "bits"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        keys, n = np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return _summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
-
-        for batch in batches:
-            held.append((_items(batch.column("keys"), "<u8"), _items(batch.column("n"), "<i4").astype(np.int64)))
-            size += len(held[-1][0])
-            if size > max(_HELD, len(keys)):
-                (keys, n), held, size = merged(), [], 0
-        keys, n = merged()
-        held.clear()
-        if not len(keys):
-            return
-        pair = (keys & U64(1)) == 1
-        yield rows(_WORD, keys[~pair].view(np.int64), n[~pair])
-        which = ((keys[pair] >> U64(1)) & _CLASS).astype(np.int64)
-        for kind, x in ((_TYPES, np.bincount(which)), (_TIMES, np.bincount(which, weights=n[pair]))):
+        give_back()
+        types, times = np.zeros(1 << CLASS_BITS, dtype=np.int64), np.zeros(1 << CLASS_BITS, dtype=np.int64)
+        for segment, keys, n in _by_segment(batches):
+            pair = (keys & U64(1)) == 1
+            yield rows(_WORD, keys[~pair].view(np.int64), n[~pair])
+            which = ((keys[pair] >> U64(1)) & _CLASS).astype(np.int64)
+            types += np.bincount(which, minlength=len(types))
+            times += np.bincount(which, weights=n[pair], minlength=len(times)).astype(np.int64)
+            level = _level(n, base)
+            place = (segment * 2 + pair) * len(CLASSES) + np.searchsorted(CLASSES, level, side="right") - 1
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
+            for at in np.split(order, cuts[1:]):
+                bits = bloom.block(keys[at], level[at], bits_per_entry)
+                yield rows(_BLOCK, place[at[:1]], np.array([len(bits)]), [bits.tobytes()])
+        for kind, x in ((_TYPES, types), (_TIMES, times)):
             some = np.flatnonzero(x)
             yield rows(kind, some, x[some])
-        level = _level(n, base)
-        place = (_segment(keys, segments) * 2 + pair) * len(CLASSES) + np.searchsorted(CLASSES, level, side="right") - 1
-        order = np.argsort(place, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
-        for at in np.split(order, cuts[1:]):
-            bits = bloom.block(keys[at], level[at], bits_per_entry)
-            yield rows(_BLOCK, place[at[:1]], np.array([len(bits)]), [bits.tobytes()])
-
-    out = materialize(_partial_counts(docs, text_col, segments).repartition(parts, "segment").mapInArrow(count, _ROWS), "counts")
+        give_back()
+
+    out = materialize(_partial_counts(docs, text_col, segments).repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(count, _ROWS), "counts")
     release(spark)
     return out, segments
 
@@ -361,8 +399,9 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         row_id = partition_id() << 40
+        give_back()
         for batch in batches:
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text"), _BYTES):
                 n = len(offsets) - 1
                 tokens, row = _tokens(data, offsets)
                 before = _histories(tokens, row)
@@ -406,6 +445,9 @@ def score(docs: DataFrame, train_when: Column, id_col: str = "doc_id", text_col:
                     names=schema.names,
                 )
                 row_id += n
+                del data, offsets
+            del batch  # else it stays while the next is read
+        give_back()
 
     scored = materialize(slim.mapInArrow(run, schema), "scored")
     shared.unpersist()
@@ -466,6 +508,7 @@ def _untold(scored: DataFrame, words_: DataFrame, lacking: DataFrame, model: Mod
                 size = 0
         if held:
             yield flush()
+        give_back()
 
     def probe(asked: pa.Table, blocks: pa.Table) -> pa.Table:
         row, keys, levels, often = (_items(asked[c], t) for c, t in (("rows", "<i8"), ("pairs", "<u8"), ("levels", "<u2"), ("often", "<i4")))
