@@ -43,7 +43,7 @@ LEAST_TYPES = 1e-9
 #: Keys a task gathers before it passes on their counts, and questions before it passes on those.
 _HELD = 1 << 20
 _HELD_QUESTIONS = 1 << 20
-#: Bytes of text a kernel takes at a time; its arrays take some thirty times as much.
+#: Bytes of text a kernel takes at a time; its arrays take many times as much.
 _BYTES = 1 << 18
 
 END = int(mix(np.array([0x454E44], dtype=U64))[0])
