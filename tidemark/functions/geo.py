@@ -57,6 +57,15 @@ def in_polygon(lon: Column, lat: Column, vertices: list[tuple[float, float]]) ->
     return crossings % 2 == 1
 
 
+def on_polygon(lon: Column, lat: Column, vertices: list[tuple[float, float]]) -> Column:
+    """Whether a point lies on an edge or vertex of a polygon given by (lon, lat) vertices."""
+    met = F.lit(False)
+    for (x0, y0), (x1, y1) in zip(vertices, vertices[1:] + vertices[:1], strict=True):
+        extent = lon.between(min(x0, x1), max(x0, x1)) & lat.between(min(y0, y1), max(y0, y1))
+        met = met | (extent & ((x1 - x0) * (lat - y0) == (y1 - y0) * (lon - x0)))
+    return met
+
+
 def segment_meets_box(lon1: Column, lat1: Column, lon2: Column, lat2: Column, box: tuple[float, float, float, float]) -> Column:
     """Whether the straight segment between two points shares a point with a closed box."""
     lon0, lon_1, lat0, lat_1 = box

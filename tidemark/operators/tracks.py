@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import displacement_km, haversine_km, in_box, in_polygon, nearest_on_leg
+from tidemark.functions.geo import displacement_km, haversine_km, in_box, in_polygon, nearest_on_leg, on_polygon
 from tidemark.operators.scan import over_track
 
 FASTEST, SLOWEST = 2.0, 0.001
@@ -59,7 +59,9 @@ def explode_tracks(tracks: DataFrame, drop_last: bool = False) -> DataFrame:
 
 def domain_runs(fixes: DataFrame, box: tuple | None = None, polygon: list | None = None, least: int = 2) -> DataFrame:
     """Fixes inside a domain (its boundary is outside), with the number of their run; shorter runs go."""
-    inside = in_box(F.col("lon"), F.col("lat"), box) if box else in_polygon(F.col("lon"), F.col("lat"), polygon)
+    at = (F.col("lon"), F.col("lat"))
+    # the even-odd rule alone counts a left or lower edge in
+    inside = in_box(*at, box) if box else in_polygon(*at, polygon) & ~on_polygon(*at, polygon)
     marked = fixes.withColumn("inside", F.coalesce(inside, F.lit(False)))
     start = (F.col("inside") & ~F.coalesce(F.lag("inside").over(track()), F.lit(False))).cast("int")
     marked = marked.withColumn("run", F.sum(start).over(track())).where("inside")
