@@ -70,7 +70,7 @@ def _stars(f: DataFrame) -> DataFrame:
 _SIDES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(STAR, [*STAR[1:], STAR[0]], strict=True))
 _STAR_SIDES = f"""SELECT fix_id AS poly_id, lon + a * z AS x0, lat + b * z AS y0, lon + c * z AS x1, lat + d * z AS y1 FROM (SELECT *, (fix_id % 7 + 1) / 32.0::DOUBLE AS z FROM fixes WHERE fix_id % 50 = 3), (VALUES {_SIDES}) t(a, b, c, d)"""
 _IN_STARS = f"""SELECT poly_id, buoy_id, fix_id, ts FROM fixes f, ({_STAR_SIDES}) s WHERE (y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0 GROUP BY ALL HAVING count(*) % 2 = 1"""
-fq("c6_in_many_polygons", f"SELECT poly_id, fix_id FROM ({_IN_STARS})")(lambda f: polygons.in_polygons(f, _stars(f)).select("poly_id", "fix_id"))
+fq("c6_in_many_polygons", f"SELECT poly_id, fix_id FROM ({_IN_STARS})")(lambda f: polygons.in_polygons(f, _stars(f), columns=["fix_id"]).select("poly_id", "fix_id"))
 fq("c6_runs_in_many_polygons", f"""SELECT poly_id, buoy_id, fix_id, run, run_len FROM (SELECT *, count(*) OVER (PARTITION BY poly_id, buoy_id, run) AS run_len FROM (
   SELECT *, first_value(fix_id) OVER (PARTITION BY poly_id, buoy_id, island ORDER BY ts, fix_id) AS run FROM (
   SELECT i.*, n - row_number() OVER (PARTITION BY poly_id, buoy_id ORDER BY n) AS island FROM ({_IN_STARS}) i JOIN (SELECT fix_id, row_number() OVER (PARTITION BY buoy_id ORDER BY ts, fix_id) AS n FROM fixes) USING (fix_id)))) WHERE run_len >= 2""")(
