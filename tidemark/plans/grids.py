@@ -74,7 +74,7 @@ fq("c6_in_many_polygons", f"SELECT poly_id, fix_id FROM ({_IN_STARS})")(lambda f
 fq("c6_runs_in_many_polygons", f"""SELECT poly_id, buoy_id, fix_id, run, run_len FROM (SELECT *, count(*) OVER (PARTITION BY poly_id, buoy_id, run) AS run_len FROM (
   SELECT *, first_value(fix_id) OVER (PARTITION BY poly_id, buoy_id, island ORDER BY ts, fix_id) AS run FROM (
   SELECT i.*, n - row_number() OVER (PARTITION BY poly_id, buoy_id ORDER BY n) AS island FROM ({_IN_STARS}) i JOIN (SELECT fix_id, row_number() OVER (PARTITION BY buoy_id ORDER BY ts, fix_id) AS n FROM fixes) USING (fix_id)))) WHERE run_len >= 2""")(
-    lambda f: polygons.runs_in_polygons(f, _stars(f)).select("poly_id", "buoy_id", "fix_id", "run", "run_len")
+    lambda f: polygons.runs_in_polygons(f, _stars(f), columns=["buoy_id", "fix_id"]).select("poly_id", "buoy_id", "fix_id", "run", "run_len")
 )
 fq("d6_active_with_reentry", """SELECT day::DATE AS day, count(buoy_id) AS active FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM fixes), (SELECT max(ts)::DATE FROM fixes), INTERVAL 1 DAY))::DATE AS day)
   LEFT JOIN (SELECT buoy_id, span, min(d) AS a, max(d) AS b FROM (SELECT *, sum(CASE WHEN d - before >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY buoy_id ORDER BY d) AS span FROM
