@@ -19,3 +19,15 @@ def position(x: Column, axis: Column, halvings: int = HALVINGS) -> Column:
 
     start = F.struct(F.lit(0).alias("lo"), (F.size(axis) - 1).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve)["lo"]
+
+
+def stretch(x: Column, rising: list[float]) -> Column:
+    """How many of a few rising values are not greater than x, by nested cases: compiled, where position() is interpreted."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x >= F.lit(rising[mid]), among(mid + 1, high)).otherwise(among(low, mid))
+
+    return among(0, len(rising))

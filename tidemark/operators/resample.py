@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.search import position
+from tidemark.functions.search import stretch
+from tidemark.sources.scratch import written
 
 
 def _linear(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -53,15 +54,20 @@ def dense_grid(df: DataFrame, keys: list[str], x: str, values: list[str], step:
 def coefficients_at(points: DataFrame, surface: DataFrame, lead: str = "lead_h", keys: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
     """``points`` with the surface's values at any lead, a row for each of its keys, linear, and extended beyond both ends.
 
-    ``surface`` (keys, lead, values) is a table of coefficients: at most a few hundred rows by what it is. It becomes an
-    array for each key, in which a point's segment is found by bisection. Keys of a single lead have no segment.
+    ``surface`` (keys, lead, values) is a table of coefficients: at most a few hundred rows by what it is. The leads at which
+    any key's segment changes are put in the plan as nested cases, which number the stretches between them; a point meets
+    the segments of its stretch by equality. Keys of a single lead have no segment.
     """
     keys, values = keys or ["q"], values or ["b0"]
-    nodes = surface.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(lead).cast("double").alias("_x"), *values))).alias("_nodes")).where(F.size("_nodes") > 1)
-    nodes = nodes.withColumn("_leads", F.transform("_nodes", lambda n: n["_x"]))
-    joined = points.join(F.broadcast(nodes))
-    at = F.least(position(F.col(lead), F.col("_leads")), F.size("_nodes") - 2)
-    joined = joined.where(F.col(lead).isNotNull()).withColumn("_at", at).withColumns({"_a": F.get("_nodes", F.col("_at")), "_b": F.get("_nodes", F.col("_at") + 1)})
+    table = written(surface.select(*keys, F.col(lead).cast("double").alias("_x"), *values), "surface")
+    w = Window.partitionBy(*keys).orderBy("_x", *values)
+    ends = {"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys)), "_b": F.lead(F.struct("_x", *values)).over(w)}
+    segments = table.withColumns(ends).where(F.col("_k") < F.col("_n"))
+    changes = sorted(r[0] for r in segments.where("_k > 1").select("_x").distinct().collect())
+    stretches = points.sparkSession.createDataFrame([(i, None if i == 0 else changes[i - 1]) for i in range(len(changes) + 1)], "_stretch int, _from double")
+    held = ((F.col("_k") == 1) | F.coalesce(F.col("_from") >= F.col("_x"), F.lit(False))) & ((F.col("_k") == F.col("_n") - 1) | F.coalesce(F.col("_from") < F.col("_b._x"), F.lit(True)))
+    own = segments.join(F.broadcast(stretches), held).select("_stretch", *keys, F.struct("_x", *values).alias("_a"), "_b")
+    joined = points.where(F.col(lead).isNotNull()).withColumn("_stretch", stretch(F.col(lead), changes)).join(F.broadcast(own), "_stretch")
     share = (F.col(lead) - F.col("_a._x")) / (F.col("_b._x") - F.col("_a._x"))
     return joined.select(*points.columns, *keys, *[(F.col(f"_a.{v}") + (F.col(f"_b.{v}") - F.col(f"_a.{v}")) * share).alias(v) for v in values])
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bins
-from tidemark.operators import bootstrap, cregress, field, forecast, quantreg, resample, selection, spectra, tracks, verify
+from tidemark.operators import bootstrap, cregress, field, forecast, quantiles, quantreg, resample, selection, spectra, tracks, verify
 from tidemark.plans import views
 from tidemark.plans.registry import D8, by_time, drawn, fq, hav, r
+from tidemark.sources.scratch import written
 
 #: Edges of the 2-D error bins: first speed difference and first latitude.
 SPEED_EDGES = [0.0, 1 / 7, 2 / 7, 3 / 7, 4 / 7, 1.0]
@@ -38,10 +39,13 @@ def errors(fx: DataFrame) -> DataFrame:
 def surface(fx: DataFrame) -> DataFrame:
     """(lead_h, q, b0, b_speed, b_lat): a plane for each lead bin and quantile from the bin's own quantiles and mean.
 
-    It stands in for the fitted surface where SQL must give the same numbers; at most bins times quantiles rows.
+    It stands in for the fitted surface where SQL must give the same numbers; at most bins times quantiles rows. The errors are
+    written once, and no task holds those of a bin.
     """
     rows = verify.position_error(views.runs(fx)).withColumn("bin", verify.lead_bin(F.col("lead_h"))).where("bin is not null")
-    wide = rows.groupBy("bin").agg(F.percentile("error_km", F.array(*map(F.lit, QUANTILES))).alias("p"), F.avg("error_km").alias("m"))
+    rows = written(rows.select("bin", "error_km"), "binned")
+    wide = quantiles.select(rows, ["bin"], "error_km", QUANTILES).select("bin", F.col("quantiles").alias("p"))
+    wide = wide.join(rows.groupBy("bin").agg(F.avg("error_km").alias("m")), "bin")
     long = wide.select("bin", "m", F.posexplode("p").alias("i", "b0"))
     q = F.element_at(F.array(*map(F.lit, QUANTILES)), F.col("i") + 1)
     return long.select(((F.col("bin") + 1) * verify.LEAD_STEP).alias("lead_h"), q.alias("q"), "b0", (F.col("m") / 10).alias("b_speed"), (-F.col("m") / 100).alias("b_lat"))
